@@ -17,5 +17,12 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict = {"op8_pack": op8_pack}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.simhash import fingerprint_hex, near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+QUERIES: dict = {"op3_simhash": op3_simhash, "op8_pack": op8_pack}
 ORACLE_SQL: dict = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +25,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES: dict = {"op3_simhash": op3_simhash, "op8_pack": op8_pack}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import toxicity
+    from tessella.llm.common import fold
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.training_rows(docs, labels.filter(fold() != 0)))
+    return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict = {"op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op8_pack": op8_pack}
 ORACLE_SQL: dict = {}

@@ -34,5 +34,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict = {"op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op8_pack": op8_pack}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(quality.trusted_rows(docs, _table(spark, sf_dir, "labels"))))
+
+
+QUERIES: dict = {"op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_quality": op6_quality, "op8_pack": op8_pack}
 ORACLE_SQL: dict = {}

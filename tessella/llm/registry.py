@@ -18,6 +18,12 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import secrets
+
+    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.train())
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.simhash import fingerprint_hex, near_duplicates
 
@@ -41,5 +47,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(quality.trusted_rows(docs, _table(spark, sf_dir, "labels"))))
 
 
-QUERIES: dict = {"op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_quality": op6_quality, "op8_pack": op8_pack}
+QUERIES: dict = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_quality": op6_quality, "op8_pack": op8_pack}
 ORACLE_SQL: dict = {}

@@ -47,5 +47,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(quality.trusted_rows(docs, _table(spark, sf_dir, "labels"))))
 
 
-QUERIES: dict = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_quality": op6_quality, "op8_pack": op8_pack}
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import ann
+
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES: dict = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_quality": op6_quality, "op8_pack": op8_pack, "op9_search": op9_search}
 ORACLE_SQL: dict = {}

@@ -40,6 +40,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.winnowing import as_text, compare_edited
+
+    found = compare_edited(_table(spark, sf_dir, "documents"))
+    prints = as_text("own_hashes").alias("fingerprint"), as_text("edited_hashes").alias("edited_fingerprint")
+    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import quality
 
@@ -53,5 +61,5 @@ def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_quality": op6_quality, "op8_pack": op8_pack, "op9_search": op9_search}
+QUERIES: dict = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_winnow": op5_winnow, "op6_quality": op6_quality, "op8_pack": op8_pack, "op9_search": op9_search}
 ORACLE_SQL: dict = {}

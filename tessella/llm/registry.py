@@ -10,6 +10,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessella.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,5 +69,5 @@ def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_winnow": op5_winnow, "op6_quality": op6_quality, "op8_pack": op8_pack, "op9_search": op9_search}
+QUERIES: dict = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_winnow": op5_winnow, "op6_quality": op6_quality, "op7_language": op7_language, "op8_pack": op8_pack, "op9_search": op9_search}
 ORACLE_SQL: dict = {}

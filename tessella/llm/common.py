@@ -54,17 +54,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_SOLID = np.ones(256, bool)
+_SOLID[[ord(c) for c in BLANK]] = False
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.StringArray]:
-    """Lower-case A-Z, split at ASCII white space: words per text, and all words in order. Null counts as empty."""
-    low = pc.utf8_trim(pc.ascii_lower(pc.fill_null(texts, "")), characters=BLANK)
-    parts = pc.split_pattern_regex(low, pattern="[\\x20\\x09-\\x0D]+")
-    flat = parts.flatten()
-    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    empty = pc.equal(pc.binary_length(low), 0).to_numpy(zero_copy_only=False)
-    if empty.any():
-        counts[empty] = 0
-        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
-    return counts, flat
+    """Lower-case A-Z, split at ASCII white space: words per text, and all words in order. Null counts as empty.
+
+    Works on the bytes of all texts at once: a word starts at a byte that is not blank after one that is, or at the first
+    of its text.
+    """
+    texts = pc.fill_null(texts, "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    edges = offsets - offsets[0]
+    solid = _SOLID[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    heads = edges[:-1][edges[:-1] < len(data)]
+    first[heads] = solid[heads]
+    at = np.flatnonzero(first)
+    counts = np.diff(np.searchsorted(at, edges))
+    before = np.cumsum(solid, dtype=np.int32)
+    ends = np.append(before[at] - 1, before[-1] if len(before) else 0).astype(np.int32)
+    return counts, pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(_LOWER[data[solid]]))
 
 
 def starts_of(counts: np.ndarray) -> np.ndarray:

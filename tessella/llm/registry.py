@@ -26,6 +26,13 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.common import fold
+    from tessella.llm.maxent import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), fold() != 1)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import secrets
 
@@ -69,5 +76,5 @@ def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict = {"op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_winnow": op5_winnow, "op6_quality": op6_quality, "op7_language": op7_language, "op8_pack": op8_pack, "op9_search": op9_search}
+QUERIES: dict = {"op1_maxent": op1_maxent, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_winnow": op5_winnow, "op6_quality": op6_quality, "op7_language": op7_language, "op8_pack": op8_pack, "op9_search": op9_search}
 ORACLE_SQL: dict = {}

@@ -76,5 +76,13 @@ def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict = {"op1_maxent": op1_maxent, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_winnow": op5_winnow, "op6_quality": op6_quality, "op7_language": op7_language, "op8_pack": op8_pack, "op9_search": op9_search}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessella.llm.lattice import encode
+
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict = {"op1_maxent": op1_maxent, "op2_secrets": op2_secrets, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_winnow": op5_winnow, "op6_quality": op6_quality, "op7_language": op7_language, "op8_pack": op8_pack, "op9_search": op9_search, "op10_sentencepiece": op10_sentencepiece}
 ORACLE_SQL: dict = {}

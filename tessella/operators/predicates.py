@@ -110,7 +110,8 @@ def from_bitmaps(bitmaps: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(0), F.length("bits") * 8 - 1)
     octet = lambda i: F.conv(F.hex(F.substring("bits", (i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     present = F.filter(places, lambda i: F.call_function("shiftright", octet(i), i % 8).bitwiseAND(F.lit(1)) == 1)
-    return bitmaps.select("qid", "bucket", F.explode(present).alias("i")).select("qid", ((F.col("bucket") - 1) * 32768 + F.col("i") + 1).cast("long").alias("doc_id"))
+    ident = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("i") + 1).otherwise(F.col("bucket") * 32768 - F.col("i"))
+    return bitmaps.select("qid", "bucket", F.explode(present).alias("i")).select("qid", ident.cast("long").alias("doc_id"))
 
 
 def reorder(legal: DataFrame, order: DataFrame) -> DataFrame:

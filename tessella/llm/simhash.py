@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ def _shingle_bounds(counts: np.ndarray, flat: pa.StringArray, k: int):
     return data, start[begin], start[last] + length[last], owner
 
 
-def fingerprints(texts: pa.Array, k: int = 4) -> np.ndarray:
-    """SimHash of each text over word ``k``-shingles: a bit is 1 if more than half the shingles' XXH64 (seed 42) set it."""
+def fingerprints(texts: pa.Array, k: int = 4, seed: int = 42) -> np.ndarray:
+    """SimHash of each text over word ``k``-shingles: a bit is 1 if more than half the shingles' XXH64 set it."""
     from xxhash import xxh64_intdigest
 
     counts, flat = tokens(texts)
@@ -41,7 +42,7 @@ def fingerprints(texts: pa.Array, k: int = 4) -> np.ndarray:
     total = np.bincount(owner, minlength=len(counts))
     for a in range(0, len(owner), CHUNK):
         own = owner[a : a + CHUNK]
-        h = np.fromiter((xxh64_intdigest(view[i:j], 42) for i, j in zip(start[a : a + CHUNK].tolist(), end[a : a + CHUNK].tolist())), np.uint64, len(own))
+        h = np.fromiter((xxh64_intdigest(view[i:j], seed) for i, j in zip(start[a : a + CHUNK].tolist(), end[a : a + CHUNK].tolist())), np.uint64, len(own))
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cuts = np.flatnonzero(np.diff(own, prepend=-1))
         ones[own[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
@@ -49,15 +50,16 @@ def fingerprints(texts: pa.Array, k: int = 4) -> np.ndarray:
     return np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def with_fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a long) of every row. Null and blank texts have fingerprint 0."""
+def with_fingerprints(docs: DataFrame, k: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """``doc_id`` and ``fp`` (the fingerprint's bits as a long; for further seeds ``fp1`` and so on) of every row. Null and
+    blank texts have fingerprint 0."""
+    names = ["doc_id", "fp", *[f"fp{i}" for i in range(1, len(seeds))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fp = fingerprints(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(fingerprints(batch.column("text"), k, seed).view(np.int64)) for seed in seeds]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -87,8 +89,9 @@ class GrayIndex:
             self.value.append(low)
             self.mask.append(~(low ^ high))
 
-    def components(self, limit: int = 4, chunk: int = 8192) -> np.ndarray:
-        """For each fingerprint, the smallest position of its component under links of at most ``limit`` bits.
+    def components(self, limit: int = 4, chunk: int = 8192, more: np.ndarray | None = None) -> np.ndarray:
+        """For each fingerprint, the smallest position of its component under links of at most ``limit`` bits, the bits of
+        ``more`` (a second word of each fingerprint) included.
 
         Pairs aren't kept: links are merged as they are found, and two nodes whose fingerprints are all in one component
         already are left, so a large cluster costs little more than its spanning links.
@@ -117,6 +120,9 @@ class GrayIndex:
             near = d <= limit
             x, y, d = x[near], y[near], d[near]
             if below == 0:
+                if more is not None:
+                    near = d + np.bitwise_count(more[self.order[x]] ^ more[self.order[y]]) <= limit
+                    x, y = x[near], y[near]
                 if merge(comp, x, y):
                     whole = self._whole(comp)
                 continue
@@ -155,32 +161,54 @@ def merge(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> bool:
             comp[:] = up
 
 
-def _small_links(group: np.ndarray, fps: np.ndarray, most: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _small_links(group: np.ndarray, words: list[np.ndarray], most: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside runs of equal ``group`` of at most ``most`` rows, for all runs at once."""
-    xs, ys = [], []
-    for step in range(1, most):
-        x = np.flatnonzero(group[:-step] == group[step:]) if step < len(group) else np.empty(0, np.int64)
+    xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(1, min(most, len(group))):
+        x = np.flatnonzero(group[:-step] == group[step:])
         if not len(x):
             break
-        x = x[np.bitwise_count(fps[x] ^ fps[x + step]) <= limit]
+        x = x[sum(np.bitwise_count(w[x] ^ w[x + step]).astype(np.int16) for w in words) <= limit]
         xs.append(x)
         ys.append(x + step)
-    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.empty(0, np.int64),) * 2
+    return np.concatenate(xs), np.concatenate(ys)
 
 
-def _group_links(group: np.ndarray, fps: np.ndarray, limit: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """(representative, member) links that connect what is linked inside each run of equal ``group``."""
-    cuts = np.flatnonzero(np.diff(group, prepend=group[0] - 1 if len(group) else 0))
+def _group_members(group: np.ndarray, words: list[np.ndarray], limit: int, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """(representative, member) places that connect what is linked inside each run of equal ``group``."""
+    cuts = np.flatnonzero(np.diff(group, prepend=~group[0])) if len(group) else np.empty(0, np.int64)
     size = np.diff(np.append(cuts, len(group)))
     big = np.repeat(size > small, size)
     few = np.flatnonzero(~big)
-    x, y = _small_links(group[few], fps[few], small, limit)
+    x, y = _small_links(group[few], [w[few] for w in words], small, limit)
     comp = np.arange(len(group))
     merge(comp, few[x], few[y])
     for a, n in zip(cuts[size > small].tolist(), size[size > small].tolist()):
-        comp[a : a + n] = a + GrayIndex(fps[a : a + n]).components(limit)
+        comp[a : a + n] = a + GrayIndex(words[0][a : a + n]).components(limit, more=words[1][a : a + n] if len(words) > 1 else None)
     member = np.flatnonzero(comp != np.arange(len(group)))
-    return fps[comp[member]], fps[member]
+    return comp[member], member
+
+
+def _search_groups(rows: DataFrame, node: str, words: list[str], limit: int, small: int) -> DataFrame:
+    """Links (a, b) between the ``node``s of each ``key``, from rows streamed in key order; a task holds one group."""
+    columns = ["key", node, *[w for w in words if w != node]]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.int64)] * len(columns)
+        for batch in batches:
+            now = [np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, columns)]
+            at = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            rest = [x[at:] for x in now]
+            yield from out([x[:at] for x in now])
+        yield from out(rest)
+
+    def out(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(now[0]) > 1:
+            by = dict(zip(columns, now))
+            a, b = _group_members(now[0], [by[w].view(np.uint64) for w in words], limit, small)
+            yield pa.RecordBatch.from_arrays([pa.array(by[node][a]), pa.array(by[node][b])], names=["a", "b"])
+
+    return rows.select(columns).repartition("key").sortWithinPartitions("key", words[0]).mapInArrow(search, "a long, b long").distinct()
 
 
 def _parts(bits: list[int], n: int) -> list[list[int]]:
@@ -222,22 +250,24 @@ def hamming_links(fps: DataFrame, limit: int = 4, group: int = 50_000, depth: in
             break
         rows = rows.join(hot, "key", "left_semi").select("fp", "path")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.empty(0, np.int64), np.empty(0, np.int64))
-        for batch in batches:
-            key = np.concatenate([rest[0], batch.column("key").to_numpy()])
-            fp = np.concatenate([rest[1], batch.column("fp").to_numpy()])
-            at = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            rest = key[at:], fp[at:]
-            yield from out(key[:at], fp[:at])
-        yield from out(*rest)
+    return _search_groups(done, "fp", ["fp"], limit, 32)
+
 
-    def out(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(key) > 1:
-            a, b = _group_links(key, fp.view(np.uint64), limit)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+def similar_links(classes: DataFrame, limit: int = 24, parts: int = 10, agree: int = 2) -> DataFrame:
+    """Links (a, b) between classes (``least``, ``fp``, ``fp1``: 128 bits) that differ in at most ``limit`` bits.
 
-    return done.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(search, "a long, b long").distinct()
+    Classes meet if in either word any ``agree`` of ``parts`` parts are the same. That holds for all that differ in at
+    most ``parts - agree`` bits of a word, and for most of those that differ in more: of two texts whose five-word
+    shingles have a Jaccard similarity of 0.8, some 15 % of the bits differ. Groups are searched as in
+    :func:`hamming_links`; components are joined in place, so a large group of near copies never becomes pairs.
+    """
+    cut = _parts(list(range(64)), parts)
+    masks = [sum(1 << b for part in chosen for b in part) for chosen in combinations(cut, agree)]
+    table = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+    rows = classes.select("least", "fp", "fp1", F.explode(F.sequence(F.lit(0), F.lit(2 * len(masks) - 1))).alias("i"))
+    word = F.when(F.col("i") < len(masks), F.col("fp")).otherwise(F.col("fp1"))
+    key = F.xxhash64("i", word.bitwiseAND(F.get(table, F.col("i") % len(masks))))
+    return _search_groups(rows.withColumn("key", key), "least", ["fp", "fp1"], limit, 256)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,12 +305,22 @@ def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, limit: int = 4) -> DataFrame:
-    """``docs`` with one row of each component (that of the smallest doc_id; of repeated ids, the one that sorts first)."""
+def similar_documents(docs: DataFrame, k: int = 5, limit: int = 24) -> DataFrame:
+    """``doc_id`` and ``component_id`` of every row with an id: components of texts whose 128-bit SimHash of ``k``-word
+    shingles differs in at most ``limit`` bits, which stands for a Jaccard similarity of 0.8 and more."""
+    prints = stage(with_fingerprints(docs.filter("doc_id is not null"), k, (42, 43)))
+    classes = stage(prints.groupBy("fp", "fp1").agg(F.min("doc_id").alias("least")))
+    roots = components(similar_links(classes, limit)).select(F.col("node").alias("least"), "root")
+    names = classes.join(roots, "least", "left").select("fp", "fp1", F.coalesce("root", "least").alias("component_id"))
+    return prints.join(names, ["fp", "fp1"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, limit: int = 24) -> DataFrame:
+    """``docs`` with one row of each component of :func:`similar_documents`: that of the smallest doc_id (of rows that
+    repeat it, the one that sorts first). Rows without an id stay."""
     from pyspark.sql import Window
 
-    found = near_duplicates(docs, k, limit)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = similar_documents(docs, k, limit).filter("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    out = docs.join(kept, "doc_id", "left_semi")
-    return out.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth").select(docs.columns)
+    out = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(docs.columns)
+    return out.unionByName(docs.filter("doc_id is null").select(docs.columns))

@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm.simhash import GrayIndex, _masks, fingerprint_hex, gray_rank, hamming_links, keep_one, near_duplicates
+from tessella.llm.simhash import GrayIndex, _masks, fingerprint_hex, gray_rank, hamming_links, keep_one, near_duplicates, similar_documents
 
 
 def brute_print(text, k=4):
@@ -91,3 +91,40 @@ def test_empty(spark):
 def test_keep_one(spark):
     frame = spark.createDataFrame([(2, "a b c d e f", 1), (1, "a b c d e f", 2), (1, "a b c d e f", 1), (5, "x y z", 3)], "doc_id long, text string, other int")
     assert sorted((r.doc_id, r.other) for r in keep_one(frame).collect()) == [(1, 1), (5, 3)]
+
+
+def jaccard(a, b, k=5):
+    sets = []
+    for text in (a, b):
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_documents_meet_and_others_do_not(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    rows, same = [], []
+    for i in range(0, 600, 2):
+        text = [word() for _ in range(300)]
+        other = list(text)
+        for at in rng.choice(300, 4, replace=False):
+            other[at] = word()
+        rows += [(i, " ".join(text)), (i + 1, " ".join(other))]
+        same.append(jaccard(*[r[1] for r in rows[-2:]]))
+    assert min(same) >= 0.8
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([got[i + 1] == i for i in range(0, 600, 2)]) >= 0.97
+    assert all(got[i] == i for i in range(0, 600, 2))
+
+
+def test_a_large_group_of_near_copies_stays_small(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(3000)] + [(5000, "another text of its own with a few words")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 5000]
+
+
+def test_rows_without_id_stay(spark):
+    frame = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b")], "doc_id long, text string")
+    assert keep_one(frame).count() == 3

@@ -14,6 +14,8 @@ from tessella.operators.topk import top_k
 
 #: Queries that are broadcast together; more are dealt in blocks, each of which meets all documents.
 BLOCK = 4096
+#: Centroids that are broadcast as one array.
+MOST_LISTS = 65_536
 
 
 def meet(docs: DataFrame, queries: DataFrame, on: Column | None = None, block: int = BLOCK) -> DataFrame:
@@ -84,8 +86,25 @@ def scan(docs: DataFrame, queries: DataFrame, k: int, metric: str = "inner_produ
     return top_k(docs.select("doc_id", "vec").mapInArrow(best, "qid long, doc_id long, score double"), k, similar)
 
 
+def _with_best_lists(rows: DataFrame, centroids: DataFrame, metric: str, n: int, vec: str) -> DataFrame:
+    """``rows`` with ``__best``: their ``n`` best lists as (score, list_no), compared inside each row. The centroids go along
+    as one array, so nothing is exchanged."""
+    table = centroids.agg(F.collect_list(F.struct("list_no", "cvec")).alias("__lists"))
+    sign = 1 if V.is_similarity(metric) else -1
+    scored = F.transform("__lists", lambda c: F.struct((V.distance(metric, vec, c["cvec"]) * sign).alias("s"), (-c["list_no"]).alias("l")))
+    best = F.array(F.array_max(scored)) if n == 1 else F.slice(F.sort_array(scored, asc=False), 1, n)
+    named = F.transform(best, lambda b: F.struct((b["s"] * sign).alias("score"), (-b["l"]).alias("list_no")))
+    return rows.crossJoin(F.broadcast(table)).withColumn("__best", named).drop("__lists")
+
+
 def assign(docs: DataFrame, centroids: DataFrame, metric: str = "inner_product", n: int = 1) -> DataFrame:
-    """``doc_id`` and the ``list_no`` of its ``n`` best centroids (ties: the smaller list), with their rank from 1."""
+    """``doc_id`` and the ``list_no`` of its ``n`` best centroids (ties: the smaller list), with their rank from 1.
+
+    Up to MOST_LISTS centroids (counted first) are broadcast; more are dealt in blocks.
+    """
+    if centroids.count() <= MOST_LISTS:
+        rows = _with_best_lists(docs.select("doc_id", "vec"), centroids, metric, n, "vec").select("doc_id", F.posexplode("__best").alias("at", "b"))
+        return rows.select("doc_id", "b.list_no", (F.col("at") + 1).alias("rank"), "b.score")
     asked = centroids.select(F.col("list_no").alias("qid"), F.col("cvec").alias("qvec"))
     rows = meet(docs, asked).select("doc_id", F.col("qid").alias("list_no"), V.distance(metric, "vec", "qvec").alias("score"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score") if V.is_similarity(metric) else F.asc("score"), "list_no")
@@ -93,7 +112,10 @@ def assign(docs: DataFrame, centroids: DataFrame, metric: str = "inner_product",
 
 
 def build_lists(docs: DataFrame, centroids: DataFrame, metric: str = "inner_product") -> DataFrame:
-    """Documents with the list they belong to: the inverted lists."""
+    """Documents with the list they belong to: the inverted lists. They are not moved."""
+    if centroids.count() <= MOST_LISTS:
+        rows = _with_best_lists(docs, centroids, metric, 1, "vec")
+        return rows.withColumn("list_no", F.get("__best", F.lit(0))["list_no"]).drop("__best")
     return docs.join(assign(docs, centroids, metric).select("doc_id", "list_no"), "doc_id")
 
 

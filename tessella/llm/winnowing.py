@@ -77,39 +77,56 @@ def as_text(hashes: str) -> Column:
     return F.array_join(F.transform(F.col(hashes), lambda h: F.lower(F.hex(h))), " ")
 
 
-def next_ids(ids: DataFrame) -> DataFrame:
-    """``ids`` (distinct, not null ``doc_id``) with ``next_id``, the next larger one; after the largest, the smallest.
-
-    Ids are dealt by range and sorted there. Only the first id of each range, one a partition, is gathered.
-    """
-    dealt = stage(ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("range", F.spark_partition_id()))
-    firsts = dealt.groupBy("range").agg(F.min("doc_id").alias("first"))
-    order = Window.orderBy("range")
-    firsts = firsts.withColumn("after", F.lead("first").over(order)).withColumn("least", F.first("first").over(order)).select("range", "after", "least")
-    inside = dealt.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id")))
-    return inside.join(firsts, "range").withColumn("next_id", F.coalesce("next_id", "after", "least")).drop("range", "after", "least")
-
-
-def compare_edited(docs: DataFrame, k: int = 3, window: int = 5) -> DataFrame:
+def _range_of(ident: str, bounds: list[int]) -> Column:
+    """Number of the range that an id is in; a range starts at each of the sorted bounds. Found by halving."""
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.lit([1 << k for k in reversed(range(max(len(bounds) - 1, 0).bit_length()))] or [0])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step) <= F.col(ident), at + step).otherwise(at))
+
+
+def _with_next(rows: DataFrame, carried: list[str], unique: bool) -> DataFrame:
+    """Each row of a range with ``next_*``: what is ``carried`` of the row with the next larger id."""
+    order = "wrapped", "doc_id", "text"
+    if unique:
+        window = Window.partitionBy("range").orderBy("wrapped", "doc_id")
+        return rows.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in carried])
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("range", "wrapped", "doc_id").orderBy(*order)))
+    heads = rows.withColumn("__head", F.col("__nth") == 1)
+    window = Window.partitionBy("range", "__head").orderBy(*order)
+    heads = heads.select("*", *[F.when(F.col("__head"), F.lead(c).over(window)).alias(f"__{c}") for c in carried])
+    same = Window.partitionBy("range", "wrapped", "doc_id").orderBy("__nth")
+    return heads.select(*rows.columns, *[F.first(f"__{c}").over(same).alias(f"next_{c}") for c in carried]).drop("__nth")
+
+
+def compare_edited(docs: DataFrame, k: int = 3, window: int = 5, per_range: int = 2048, ranges: int = 4096) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and that of the next document.
 
     Edited text: the last floor(n/2) of the n code points replaced by the first as many of the next document's text, by
     ascending doc_id. Null text counts as empty. Of rows that repeat a doc_id the smallest text is the next document
     before it. A row without doc_id has no next document: its edited text is what is left, and it is like no next one.
 
-    Texts move once by their own id; half of each, at most, moves again to the document before.
+    Ids are cut into ranges of about ``per_range`` (at most ``ranges`` of them; larger ranges spill). Texts move once, to
+    their range; the document that starts a range is copied to the end of the range before (the first of all to the end
+    of the last), so every document finds the next one in its own range.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = base.filter("doc_id is not null")
-    ids = stage(known.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("most"), F.count("*").alias("n")))
-    after = stage(next_ids(ids.select("doc_id", "most")))
-    once = known if ids.filter("n > 1").isEmpty() else known.groupBy("doc_id").agg(F.min("text").alias("text"))
-    wanted = after.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("most") / 2).cast("int").alias("half"))
-    lent = fingerprint(once.join(wanted, "doc_id"), "text", "next", k, window)
-    lent = lent.select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, half)").alias("lent"), "next_hashes")
-    alone = base.filter("doc_id is null").withColumn("lent", F.lit("")).withColumn("next_hashes", F.lit(None).cast("array<int>"))
-    pairs = known.join(lent, "doc_id").unionByName(alone)
-    pairs = pairs.withColumn("n_chars", F.char_length("text").cast("long"))
-    pairs = pairs.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), left(lent, cast(n_chars div 2 as int)))"))
-    pairs = fingerprint(fingerprint(pairs, "text", "own", k, window).drop("text", "lent"), "edited", "edited", k, window)
+    ids = stage(known.groupBy("doc_id").agg(F.count("*").alias("n")))
+    found = ids.agg(F.count("*").alias("ids"), F.max("n").alias("most"), F.min("doc_id").alias("least")).first()
+    parts = max(1, min(ranges, -(-found.ids // per_range)))
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    bounds = sorted({found.least, *cuts}) if found.ids else [0]
+    last = len(bounds) - 1
+    own = known.withColumn("range", _range_of("doc_id", bounds))
+    starts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    plain, copied = F.struct("range", F.lit(0).alias("wrapped"), F.lit(False).alias("copy")), F.col("doc_id") == F.get(starts, F.col("range"))
+    before = F.struct(F.when(F.col("range") == 0, last).otherwise(F.col("range") - 1).alias("range"), F.when(F.col("range") == 0, 1).otherwise(0).alias("wrapped"), F.lit(True).alias("copy"))
+    rows = own.withColumn("__at", F.explode(F.when(copied, F.array(plain, before)).otherwise(F.array(plain)))).select("doc_id", "text", "__at.range", "__at.wrapped", "__at.copy")
+    rows = fingerprint(rows.repartition("range"), "text", "own", k, window)
+    rows = _with_next(rows, ["text", "own_hashes"], found.most in (None, 1)).filter("not copy").withColumnRenamed("next_own_hashes", "next_hashes")
+    alone = fingerprint(base.filter("doc_id is null"), "text", "own", k, window).withColumn("next_text", F.lit("")).withColumn("next_hashes", F.lit(None).cast("array<int>"))
+    names = ["doc_id", "text", "own_positions", "own_hashes", "next_text", "next_hashes"]
+    pairs = rows.select(names).unionByName(alone.select(names)).withColumn("n_chars", F.char_length("text").cast("long"))
+    pairs = pairs.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), left(next_text, cast(n_chars div 2 as int)))")).drop("text", "next_text")
+    pairs = fingerprint(pairs, "edited", "edited", k, window)
     return pairs.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("near_edited", likeness("own_hashes", "edited_hashes")).withColumn("near_next", F.coalesce(likeness("own_hashes", "next_hashes"), F.lit(0.0))).drop("edited")

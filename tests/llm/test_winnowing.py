@@ -56,11 +56,12 @@ def like(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_compare_edited_matches_brute_force(spark, sf):
+@pytest.mark.parametrize("per_range", [2048, 5])
+def test_compare_edited_matches_brute_force(spark, sf, per_range):
     rows = [(r.doc_id * 7 % 1009, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
     rows += [(2000, None), (2001, ""), (2002, "é🙂 x y z w"), (2003, "q")]
     frame = spark.createDataFrame([(a, b, "z") for a, b in rows], "doc_id long, text string, lent string")
-    got = {r.doc_id: r for r in W.compare_edited(frame).collect()}
+    got = {r.doc_id: r for r in W.compare_edited(frame, per_range=per_range).collect()}
     order = sorted(rows)
     assert len(got) == len(rows)
     for (doc, text), (_, following) in zip(order, order[1:] + order[:1]):

@@ -174,8 +174,8 @@ def _small_links(group: np.ndarray, words: list[np.ndarray], most: int, limit: i
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def _group_members(group: np.ndarray, words: list[np.ndarray], limit: int, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """(representative, member) places that connect what is linked inside each run of equal ``group``."""
+def _group_components(group: np.ndarray, words: list[np.ndarray], limit: int, small: int) -> np.ndarray:
+    """The component of each row: what is linked inside its run of equal ``group``."""
     cuts = np.flatnonzero(np.diff(group, prepend=~group[0])) if len(group) else np.empty(0, np.int64)
     size = np.diff(np.append(cuts, len(group)))
     big = np.repeat(size > small, size)
@@ -185,12 +185,15 @@ def _group_members(group: np.ndarray, words: list[np.ndarray], limit: int, small
     merge(comp, few[x], few[y])
     for a, n in zip(cuts[size > small].tolist(), size[size > small].tolist()):
         comp[a : a + n] = a + GrayIndex(words[0][a : a + n]).components(limit, more=words[1][a : a + n] if len(words) > 1 else None)
-    member = np.flatnonzero(comp != np.arange(len(group)))
-    return comp[member], member
+    return comp
 
 
 def _search_groups(rows: DataFrame, node: str, words: list[str], limit: int, small: int) -> DataFrame:
-    """Links (a, b) between the ``node``s of each ``key``, from rows streamed in key order; a task holds one group."""
+    """Links (a, b) between the ``node``s of each ``key``, from rows streamed in key order; a task holds one group.
+
+    Each member of a component is linked to its smallest node. Groups that share most of their members then make the same
+    links, of which one is kept.
+    """
     columns = ["key", node, *[w for w in words if w != node]]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +208,11 @@ def _search_groups(rows: DataFrame, node: str, words: list[str], limit: int, sma
     def out(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if len(now[0]) > 1:
             by = dict(zip(columns, now))
-            a, b = _group_members(now[0], [by[w].view(np.uint64) for w in words], limit, small)
-            yield pa.RecordBatch.from_arrays([pa.array(by[node][a]), pa.array(by[node][b])], names=["a", "b"])
+            comp = _group_components(now[0], [by[w].view(np.uint64) for w in words], limit, small)
+            least = np.full(len(comp), np.iinfo(np.int64).max)
+            np.minimum.at(least, comp, by[node])
+            member = np.flatnonzero(least[comp] != by[node])
+            yield pa.RecordBatch.from_arrays([pa.array(least[comp[member]]), pa.array(by[node][member])], names=["a", "b"])
 
     return rows.select(columns).repartition("key").sortWithinPartitions("key", words[0]).mapInArrow(search, "a long, b long").distinct()
 

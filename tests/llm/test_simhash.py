@@ -128,3 +128,43 @@ def test_a_large_group_of_near_copies_stays_small(spark):
 def test_rows_without_id_stay(spark):
     frame = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b")], "doc_id long, text string")
     assert keep_one(frame).count() == 3
+
+
+def test_links_below_the_similarity_are_not_made(spark):
+    """At 0.7 half the pairs differ in at most 24 of 128 bits; none may be linked, alone or through a common neighbour."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    rows = []
+    for i in range(0, 400, 2):
+        text = [word() for _ in range(300)]
+        other = list(text)
+        for at in range(20, 300, 24):
+            other[at] = word()
+        rows += [(i, " ".join(text)), (i + 1, " ".join(other))]
+        assert 0.6 < jaccard(*[r[1] for r in rows[-2:]]) < 0.8
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 400 and all(r.doc_id == r.component_id for r in got)
+
+
+def test_components_are_those_of_all_similar_pairs(spark):
+    """Chains of texts at 0.85 from step to step, far less from end to end, and a repeated line, which counts once."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    rows = []
+    for c in range(12):
+        text = [word() for _ in range(300)]
+        for step in range(6):
+            rows.append((100 * c + step, " ".join(text)))
+            for at in range(10 + step, 300, 60):
+                text[at] = word()
+    line = " ".join(word() for _ in range(12))
+    for i, words in enumerate((3, 60)):
+        rows.append((5000 + i, " ".join([line] * 200 + [word() for _ in range(words)])))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {rows[i][0]: rows[r][0] for i, r in enumerate(root)}

@@ -33,16 +33,29 @@ class Model:
     threshold: dict = field(default_factory=dict)
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> DataFrame:
-    """Texts and languages of at most ``most`` documents labelled good, those of smallest hash; ``fitting`` marks half.
-
-    The ids are bounded by the parameter, so they are broadcast.
-    """
+def _likely(docs: DataFrame, ids: DataFrame, probes: int = 3) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among ``ids``, and some 3 % of the others: a Bloom filter of one byte an id, so that a
+    join that follows need not move every text."""
+    words = ids.count() // 8 + 1
+    bits = F.array(*[F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(i)), F.lit(64 * words)) for i in range(probes)])
+    word, bit = lambda b: F.shiftright(b, 6), lambda b: b.bitwiseAND(F.lit(63)).cast("int")
+    one = F.lit(1).cast("long")
+    set_bits = ids.select(F.explode(bits).alias("b")).groupBy(word(F.col("b")).alias("id")).agg(F.bit_or(F.call_function("shiftleft", one, bit(F.col("b")))).alias("v"))
+    dense = ids.sparkSession.range(words).join(set_bits, "id", "left").select("id", F.coalesce("v", F.lit(0)).alias("v"))
+    table = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("__words"))
+    held = F.forall(bits, lambda b: F.call_function("shiftright", F.get("__words", word(b).cast("int")), bit(b)).bitwiseAND(one) == 1)
+    return docs.crossJoin(F.broadcast(table)).filter(F.col("doc_id").isNotNull() & held).drop("__words")
+
+
+def trusted_rows(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """Texts and languages of all documents labelled good, or of the ``most`` of smallest hash; ``fitting`` marks half."""
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    good = good.select("doc_id", F.xxhash64("doc_id").alias("hash")).orderBy("hash", "doc_id").limit(most)
-    good = good.select("doc_id", (F.pmod(F.shiftright("hash", 7), F.lit(2)) == 0).alias("fitting"))
+    good = good.select("doc_id", F.xxhash64("doc_id").alias("hash"))
+    if most is not None:
+        good = good.orderBy("hash", "doc_id").limit(most)
+    good = stage(good.select("doc_id", (F.pmod(F.shiftright("hash", 7), F.lit(2)) == 0).alias("fitting")))
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return picked.join(F.broadcast(good), "doc_id").filter("text is not null")
+    return _likely(picked.filter("text is not null"), good).join(good.hint("merge"), "doc_id")
 
 
 def _numbers(texts: pa.Array, number: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +98,7 @@ def _alphabet(rows: DataFrame, most: int = (1 << WIDTH) - FIRST) -> np.ndarray:
 
 
 def fit(rows: DataFrame, order: int = 4) -> Model:
-    """Fit on trusted (text, lang, fitting) rows, a bounded sample: the model on those that ``fitting`` marks.
+    """Fit on trusted (text, lang, fitting) rows: the model on those that ``fitting`` marks.
 
     Counts are summed in shards by n-gram. Of every order, discounts come from its counts of counts; each context's total
     and numbers of n-grams met once, twice and more are joined to its n-grams by context, and the next lower order's
@@ -166,13 +179,21 @@ def calibrate(rows: DataFrame, model: Model, quantile: float = 0.995, least: int
 
     A language with fewer than ``least`` such documents (null counts as one language) takes what all together give.
     """
-    parts = score(rows, model).select("lang", "log10_prob", "n_tokens").toPandas()
-    groups = {None: parts} | {lang: own for lang, own in parts.groupby(parts.lang.fillna("")) if len(own) >= least}
-    for lang, own in groups.items():
-        if len(own):
-            loss, n = -own.log10_prob.to_numpy(), own.n_tokens.to_numpy()
-            model.mean[lang] = mean = loss.sum() / n.sum()
-            model.threshold[lang] = float(np.quantile((loss + PRIOR * mean) / (n + PRIOR), quantile))
+    parts = stage(score(rows, model).select(F.coalesce("lang", F.lit("")).alias("lang"), (-F.col("log10_prob")).alias("loss"), "n_tokens"))
+
+    def group(by: list[str]) -> None:
+        means = parts.groupBy(by).agg(F.count("*").alias("rows"), (F.sum("loss") / F.sum("n_tokens")).alias("mean"))
+        if by:
+            means = means.filter(F.col("rows") >= least)
+        own = parts.join(F.broadcast(means), by) if by else parts.crossJoin(F.broadcast(means))
+        own = own.withColumn("own", (F.col("loss") + PRIOR * F.col("mean")) / (F.col("n_tokens") + PRIOR))
+        for r in own.groupBy(by).agg(F.first("mean").alias("mean"), F.percentile("own", F.lit(quantile)).alias("threshold")).collect():
+            if r["mean"] is not None:
+                model.mean[r["lang"] if by else None] = r["mean"]
+                model.threshold[r["lang"] if by else None] = r["threshold"]
+
+    group([])
+    group(["lang"])
     return model
 
 

@@ -79,3 +79,18 @@ def test_edge_rows(spark):
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and kept.count() == 4
     assert quality.keep_good(docs.limit(0), model).count() == 0
+
+
+def test_all_trusted_documents_count(spark):
+    """More than 12,000 of them, of which a rare language has few: it keeps a threshold of its own, over all it has."""
+    rows = spark.range(15_000).selectExpr("id as doc_id", "if(id % 250 = 0, concat('zq xj ', hex(id * 7919)), concat('the and ', id * 31)) as text", "if(id % 250 = 0, 'xx', 'en') as lang")
+    trusted = quality.trusted_rows(rows, rows.selectExpr("doc_id", "1 as quality"))
+    assert trusted.count() == 15_000
+    model = quality.fit(trusted, order=2)
+    assert {None, "en", "xx"} == set(model.threshold)
+    kept_out = quality.score(trusted.filter("not fitting"), model).toPandas()
+    assert (kept_out.lang == "xx").sum() >= 20
+    for lang, own in kept_out.groupby("lang"):
+        mean = -own.log10_prob.sum() / own.n_tokens.sum()
+        assert model.mean[lang] == pytest.approx(mean)
+        assert model.threshold[lang] == pytest.approx(np.quantile((-own.log10_prob + quality.PRIOR * mean) / (own.n_tokens + quality.PRIOR), 0.995))

@@ -60,30 +60,65 @@ def range_search(docs: DataFrame, queries: DataFrame, radius: float, metric: str
     return meet(docs, queries, on).select("qid", "doc_id", V.distance(metric, "qvec", "vec").alias("score")).filter(_inside(metric, radius))
 
 
-def scan(docs: DataFrame, queries: DataFrame, k: int, metric: str = "inner_product") -> DataFrame:
-    """As :func:`knn` for inner product or L2, for many pairs: blocks of documents times all (at most BLOCK) queries in one
-    matrix product, each block's best ``k`` handed on. Sums differ from element order in the last digits."""
-    asked = queries.limit(BLOCK + 1).select("qid", "qvec").toPandas()
-    if len(asked) > BLOCK:
-        raise ValueError(f"at most {BLOCK} queries a scan; deal more of them in blocks")
-    qids = asked.qid.to_numpy(np.int64)
-    q = np.array(asked.qvec.tolist(), np.float64).reshape(len(asked), -1)
+def scan(docs: DataFrame, queries: DataFrame, k: int, metric: str = "inner_product", block: int = BLOCK) -> DataFrame:
+    """As :func:`knn` for inner product or L2, for many pairs: blocks of documents times blocks of queries in one matrix
+    product, each block's best ``k`` handed on. Sums differ from element order in the last digits.
+
+    At most ``block`` queries (counted first) go to the workers as one table. Beyond that, queries are dealt into blocks of
+    about as many, and each document goes once to each block (see :func:`meet`).
+    """
     similar = V.is_similarity(metric)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        score = q @ x.T
+        if metric == "l2":
+            score = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * score
+        for qid, own in zip(qids, score):
+            order = np.lexsort((ids, -own if similar else own))[:k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), qid)), pa.array(ids[order]), pa.array(own[order])], names=["qid", "doc_id", "score"])
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
+
+    n = queries.count()
+    if n <= block:
+        asked = queries.select("qid", "qvec").toPandas()
+        qids = asked.qid.to_numpy(np.int64)
+        q = np.array(asked.qvec.tolist(), np.float64).reshape(len(asked), -1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(q):
+                    yield from best(qids, q, batch.column("doc_id").to_numpy(), matrix(batch.column("vec")))
+
+        return top_k(docs.select("doc_id", "vec").mapInArrow(run, "qid long, doc_id long, score double"), k, similar)
+
+    parts = -(-n // block)
+    slots = max(1, docs.sparkSession.sparkContext.defaultParallelism)
+    # a row of queries by block and of documents by block and slot; both kinds of a (block, slot) meet in one group
+    dealt = queries.select(F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.lit(0).alias("kind"), F.col("qid").cast("long").alias("id"), F.col("qvec").alias("vec"))
+    copies = docs.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("slot"), F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("id"), "vec")
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, vecs = None, [], []
         for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            ids = batch.column("doc_id").to_numpy()
-            x = np.asarray(batch.column("vec").flatten()).astype(np.float64).reshape(batch.num_rows, -1)
-            score = q @ x.T
-            if metric == "l2":
-                score = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * score
-            for qid, own in zip(qids, score):
-                order = np.lexsort((ids, -own if similar else own))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), qid)), pa.array(ids[order]), pa.array(own[order])], names=["qid", "doc_id", "score"])
-
-    return top_k(docs.select("doc_id", "vec").mapInArrow(best, "qid long, doc_id long, score double"), k, similar)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("part", "slot", "kind")], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1 if len(keys) else []
+            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                if a == b:
+                    continue
+                if group != tuple(keys[a, :2]):
+                    group, ids, vecs = tuple(keys[a, :2]), [], []
+                piece, x = batch.column("id").slice(a, b - a).to_numpy(), matrix(batch.column("vec").slice(a, b - a))
+                if keys[a, 2] == 0:
+                    ids.append(piece)
+                    vecs.append(x)
+                elif ids:
+                    ids, vecs = [np.concatenate(ids)], [np.concatenate(vecs)]
+                    yield from best(ids[0], vecs[0], piece, x)
+
+    both = dealt.unionByName(copies).repartition("part", "slot").sortWithinPartitions("part", "slot", "kind")
+    return top_k(both.mapInArrow(meeting, "qid long, doc_id long, score double"), k, similar)
 
 
 def _with_best_lists(rows: DataFrame, centroids: DataFrame, metric: str, n: int, vec: str) -> DataFrame:

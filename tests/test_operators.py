@@ -371,3 +371,19 @@ def test_calibration(spark, cloud):
     assert len(m.seconds) == 2 and m.qps > 0
     with pytest.raises(RuntimeError):
         calibrate.require_agreement(1, 2, 0.1)
+
+
+@pytest.mark.parametrize("metric", ["inner_product", "l2"])
+def test_scan_deals_many_queries_into_blocks(spark, metric):
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(300, 4)), rng.normal(size=(search.BLOCK + 104, 4))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vec array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, qvec array<double>")
+    score = q @ x.T if metric == "inner_product" else -((q[:, None] - x[None]) ** 2).sum(2)
+    want = np.argsort(-score, axis=1, kind="stable")[:, :3]
+    got = search.scan(docs, queries, 3, metric).toPandas()
+    assert len(got) == 3 * len(q)
+    got = got.sort_values(["qid", "rank"]).doc_id.to_numpy().reshape(-1, 3)
+    assert (got == want).all()
+    few = search.scan(docs, queries.filter("qid < 40"), 3, metric, block=7).toPandas().sort_values(["qid", "rank"])
+    assert (few.doc_id.to_numpy().reshape(-1, 3) == want[:40]).all()

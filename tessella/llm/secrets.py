@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import slices
 
-#: Issuers' formats; a whole candidate that fits one has that kind.
+#: Issuers' formats, searched anywhere in a text, and strings of which a text that holds one has some.
 KINDS = (
     ("aws_key", re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}")),
     ("github_token", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
@@ -25,9 +26,15 @@ KINDS = (
     ("service_key", re.compile(r"[sr]k[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}")),
     ("web_token", re.compile(r"eyJ[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_=.-]{8,}")),
 )
-RUN = re.compile(r"[A-Za-z0-9_+/=.~-]{10,}")
+HINTS = {"aws_key": ("AKIA", "ASIA"), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack_token": ("xox",), "service_key": ("sk-", "sk_", "rk-", "rk_"), "web_token": ("eyJ",)}
+RUN, RUN_CHAR = re.compile(r"[A-Za-z0-9_+/=.~-]{10,}"), re.compile(r"[A-Za-z0-9_+/=.~-]")
 ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{6,})")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----")
+#: A key block to its end; or, where that is missing, as far as whole lines of base64 go. Line ends may be escaped.
+BLOCK = re.compile(
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nr])*[A-Za-z][A-Za-z0-9-]{1,40}: [^\n\\]*(?=\n|\\n))*+"
+    r"(?:(?:[A-Za-z0-9+/=\s]|\\[nr])*+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{16,})+(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{1,76}(?:={1,2}|(?=\s*\Z)))?)"
+)
 #: Neighbouring words that speak for a secret, words that speak against one, and the dictionary of placeholders.
 FOR = ("password", "passwd", "pwd", "secret", "token", "api", "key", "auth", "credential", "bearer", "login")
 AGAINST = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "version", "isbn", "example", "sample", "hash", "build", "order", "phone", "tracking")
@@ -66,24 +73,63 @@ def features(candidate: str, before: str, after: str, path: str) -> list[float]:
     ]
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of every candidate of a whole text, in order, without overlaps (the first found has a place)."""
-    found = [(m.start(), m.end(), "private_key") for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    found += [(*m.span(1), "assignment") for m in ASSIGNED.finditer(text)]
+def _formats(text: str) -> list[tuple[int, int, str]]:
+    """Where an issuer's format stands, wherever in a text or run that is."""
+    out = []
+    for kind, pattern in KINDS:
+        if any(h in text for h in HINTS[kind]):
+            out += [(m.start(), m.end() - len(m.group()) + len(m.group().rstrip(".")), kind) for m in pattern.finditer(text)]
+    return out
+
+
+def _runs(text: str, strong: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Runs with a digit that isn't a mere number, each cut where a ``strong`` span (in order, apart) stands in it."""
+    starts = [x[0] for x in strong]
     for m in RUN.finditer(text):
-        run = m.group()
-        if any(map(run.__contains__, "0123456789")) and not run.replace("-", "").replace(".", "").isdigit():
-            a = m.start() + (run.rfind("=", 0, -3) + 1 if re.match(r"[A-Za-z_.-]{2,40}=", run) else 0)
-            end = m.end() - (len(run) - len(run.rstrip(".")))
-            if end - a >= 8:
-                value = text[a:end]
-                found.append((a, end, next((k for k, p in KINDS if p.fullmatch(value)), "token")))
+        at, end = m.start(), m.end()
+        k = max(bisect.bisect_right(starts, at) - 1, 0)
+        pieces = []
+        while k < len(strong) and strong[k][0] < end:
+            if strong[k][1] > at:
+                pieces.append((at, strong[k][0]))
+                at = strong[k][1]
+            k += 1
+        for a, b in [*pieces, (at, end)]:
+            run = text[a:b] if b > a else ""
+            if any(map(run.__contains__, "0123456789")) and not run.replace("-", "").replace(".", "").isdigit():
+                a += run.rfind("=", 0, -3) + 1 if re.match(r"[A-Za-z_.-]{2,40}=", run) else 0
+                b -= len(run) - len(run.rstrip("."))
+                if b - a >= 8:
+                    yield a, b, "token"
+
+
+def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans in order without overlaps: of those that start together the longest (of equal ones the most telling) is kept."""
     rank = {"private_key": 0, "token": 2, "assignment": 3}
-    taken = -1
-    for a, b, kind in sorted(found, key=lambda x: (x[0], rank.get(x[2], 1), -x[1])):
+    out, taken = [], -1
+    for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1], rank.get(x[2], 1))):
         if a >= taken:
-            yield a, b, kind
+            out.append((a, b, kind))
             taken = b
+    return out
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of every candidate of a whole text, in order, without overlaps.
+
+    Key blocks, issuers' formats and assigned values come first; what they leave of a run is a candidate of its own. An
+    assigned value is whole, without a sentence's end, and so is a run that begins with a format and goes on.
+    """
+    strong = [(m.start(), m.end(), "private_key") for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
+    strong += (formats := _formats(text))
+    for a, b, _ in formats:
+        run = RUN.match(text, a)
+        if run and (not a or not RUN_CHAR.match(text, a - 1)) and len(run[0].rstrip(".")) > b - a:
+            strong.append((a, a + len(run[0].rstrip(".")), "token"))
+    strong += [(m.start(1), m.end(1) - len(m[1]) + len(m[1].rstrip(".,;")), "assignment") for m in ASSIGNED.finditer(text) if len(m[1].rstrip(".,;")) >= 6]
+    # an assigned value that is one run is named as such
+    strong = [(a, b, "token") if kind == "assignment" and RUN.fullmatch(text, a, b) and any(c.isdigit() for c in text[a:b]) else (a, b, kind) for a, b, kind in _apart(strong)]
+    yield from sorted([*strong, *_runs(text, strong)])
 
 
 @dataclass
@@ -187,13 +233,21 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None) -> Fores
     return grow(x, np.array([f[4] for f in findings], np.float64))
 
 
-def _judged(text: str, path: str, forest: Forest) -> list[tuple[int, int, str, float]]:
+def _judged(text: str, path: str, forest: Forest, threshold: float) -> list[tuple[int, int, str, float]]:
+    """Candidates with the forest's vote. Where a span isn't taken for a secret, the formats inside it are asked instead."""
     spans = list(candidates(text))
     if not spans:
         return []
-    x = np.array([features(text[a:b][:4096], text[max(0, a - 60) : a], text[b : b + 40], path) for a, b, _ in spans])
-    p = forest.probability(x)
-    return [(a, b, kind, 1.0 if kind == "private_key" else float(q)) for (a, b, kind), q in zip(spans, p)]
+
+    def vote(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
+        p = forest.probability(np.array([features(text[a:b][:4096], text[max(0, a - 60) : a], text[b : b + 40], path) for a, b, _ in spans]))
+        return [(a, b, kind, 1.0 if kind == "private_key" else float(q)) for (a, b, kind), q in zip(spans, p)]
+
+    out = []
+    for a, b, kind, p in vote(spans):
+        inner = [(a + i, a + j, k) for i, j, k in _apart(_formats(text[a:b])) if j - i < b - a] if p < threshold else []
+        out += vote(inner) if inner else [(a, b, kind, p)]
+    return out
 
 
 FINDINGS = "doc_id long, start long, length long, kind string, candidate_sha256 string, probability double, secret boolean"
@@ -210,7 +264,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, path: str = "s
         for batch in slices(batches):
             rows = []
             for doc, text, where in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(doc, a, b - a, kind, hashlib.sha256(text[a:b].encode()).hexdigest(), p, p >= threshold) for a, b, kind, p in _judged(text or "", where, shared.value)]
+                rows += [(doc, a, b - a, kind, hashlib.sha256(text[a:b].encode()).hexdigest(), p, p >= threshold) for a, b, kind, p in _judged(text or "", where, shared.value, threshold)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) if any(v is not None for v in c) else pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "kind", "candidate_sha256", "probability", "secret"])
 
@@ -224,7 +278,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, path: str =
 
     def clean(text: str | None, where: str | None) -> str | None:
         out, at = [], 0
-        for a, b, kind, p in _judged(text, where, shared.value) if text else ():
+        for a, b, kind, p in _judged(text, where, shared.value, threshold) if text else ():
             if p >= threshold:
                 out += [text[at:a], f"<{kind}>"]
                 at = b

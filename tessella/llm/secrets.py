@@ -48,24 +48,27 @@ def _class(c: str) -> int:
 
 
 def features(candidate: str, before: str, after: str, path: str) -> list[float]:
-    """Length, character transitions, dictionary coverage, path and neighbouring words of one candidate."""
+    """Length, character transitions, dictionary coverage, path and neighbouring words of one candidate, the whole of it."""
     n = len(candidate)
-    kinds = [_class(c) for c in candidate]
-    share = Counter(kinds)
     chars = Counter(candidate)
+    share = Counter()
+    for c, v in chars.items():
+        share[_class(c)] += v
     entropy = -sum(v / n * math.log2(v / n) for v in chars.values())
-    steps = [ord(b) - ord(a) for a, b in zip(candidate, candidate[1:])]
+    points = np.frombuffer(candidate.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    known = np.array(sorted(map(ord, chars)))
+    kinds = np.array([_class(chr(c)) for c in known])[np.searchsorted(known, points)]
     low, left, right = candidate.lower(), before.lower(), after.lower()
-    letters = [c for c in low if c.isalpha()]
+    letters = {c: v for c, v in Counter(low).items() if c.isalpha()}
     near = left[-40:]
     return [
         n, share[0] / n, share[1] / n, share[2] / n, share[3] / n,
         entropy, entropy / math.log2(n + 1), len(chars) / n,
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
-        sum(s in (0, 1, -1) for s in steps) / n,
-        sum(c in "aeiou" for c in letters) / (len(letters) or 1),
+        int(np.count_nonzero(np.diff(kinds))) / n,
+        int(np.count_nonzero(np.abs(np.diff(points)) <= 1)) / n,
+        sum(letters.get(c, 0) for c in "aeiou") / (sum(letters.values()) or 1),
         sum(len(w) for w in _WORDS.findall(low)) / n,
-        float(all(c in "0123456789abcdefABCDEF" for c in candidate)),
+        float(all(c in "0123456789abcdefABCDEF" for c in chars)),
         float(any(p.fullmatch(candidate) for _, p in KINDS)),
         float(before.rstrip(" \"'")[-1:] in ("=", ":")) if before else 0.0,
         float(any(w in near for w in FOR)), float(any(w in near or w in right[:20] for w in AGAINST)),
@@ -240,7 +243,7 @@ def _judged(text: str, path: str, forest: Forest, threshold: float) -> list[tupl
         return []
 
     def vote(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
-        p = forest.probability(np.array([features(text[a:b][:4096], text[max(0, a - 60) : a], text[b : b + 40], path) for a, b, _ in spans]))
+        p = forest.probability(np.array([features(text[a:b], text[max(0, a - 60) : a], text[b : b + 40], path) for a, b, _ in spans]))
         return [(a, b, kind, 1.0 if kind == "private_key" else float(q)) for (a, b, kind), q in zip(spans, p)]
 
     out = []

@@ -84,3 +84,14 @@ def test_key_blocks_with_headers_or_without_end():
     for body in (f"\n{line}\n{line}\n", f"\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{line}\n{line}\n", f"\\n{line}\\n{line}\\n"):
         assert spans(f"a {head}{body}{end} b") == [(f"{head}{body}{end}", "private_key")]
     assert spans(f"a {head}\n{line}\n{line} and prose")[0] == (f"{head}\n{line}\n{line}", "private_key")
+
+
+def test_features_are_of_the_whole_candidate():
+    start, rest = "a1" * 2048, "Zq9-" * 30_000
+    far = secrets.features(start + rest, "", "", "")
+    assert far[0] == 4096 + 120_000
+    forest = secrets.train()
+    seen = []
+    forest.probability = lambda x: seen.append(x) or np.zeros(len(x))
+    secrets._judged("x " + start + rest + " y", "", forest, 0.5)
+    assert seen[0][0].tolist()[:5] == far[:5]

@@ -66,12 +66,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 8_000) ->
     return picked.select("text", "toxic")
 
 
-def fit(rows: DataFrame, features: int = 1024, rounds: int = 250, least: float = 4.0) -> Model:
+def fit(rows: DataFrame, features: int = 4096, rounds: int = 250) -> Model:
     """Fit on (text, toxic) rows: a bounded sample, as from :func:`training_rows`.
 
     Workers count the documents of each class that have an n-gram. Its log-count ratio r scales its 0/1 feature; kept are
-    the ``features`` n-grams whose ratio is furthest from 0 in standard errors, and at least ``least`` of them. Logistic regression on the scaled
-    features then runs on the sparse sample. Without rows of both classes the model scores everything 0.
+    the ``features`` n-grams whose ratio is furthest from 0 in standard errors, however far that is, so few labels give a
+    model too. (Held-out documents of sf0.1 found toxic and left clean: with 1,024 of them 0.92 and 0.990, with 4,096 0.92
+    and 0.995, with 16,384 0.86 and 0.997.) Logistic regression on the scaled features then runs on the sparse sample.
+    Rows that are repeated count as often. Without rows of both classes, or any n-gram that tells them apart, the model
+    scores everything about 0.
     """
     rows = stage(rows)
     spark = rows.sparkSession
@@ -96,7 +99,9 @@ def fit(rows: DataFrame, features: int = 1024, rounds: int = 250, least: float =
     p, q = (F.col("pos") + 1) / F.lit(pos + 2.0), (F.col("neg") + 1) / F.lit(neg + 2.0)
     r = F.log(p) - F.log(q)
     z = F.abs(r) / F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1))
-    best = counts.select("gram", r.alias("r"), z.alias("z")).filter(F.col("z") >= least).orderBy(F.desc("z"), "gram").limit(features).collect()
+    best = counts.select("gram", r.alias("r"), F.round(z, 9).alias("z")).filter("z > 0").orderBy(F.desc("z"), "gram").limit(features).collect()
+    if not best:
+        return Model(np.full(1 << BITS, -1, np.int16), np.zeros(0), -30.0)
     slot = np.full(1 << BITS, -1, np.int16)
     slot[[b.gram for b in best]] = np.arange(len(best), dtype=np.int16)
     scale = np.array([b.r for b in best])
@@ -118,7 +123,7 @@ def fit(rows: DataFrame, features: int = 1024, rounds: int = 250, least: float =
     return Model(slot, weight * scale, bias)
 
 
-def _regress(owner: np.ndarray, feature: np.ndarray, scale: np.ndarray, label: np.ndarray, rounds: int, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def _regress(owner: np.ndarray, feature: np.ndarray, scale: np.ndarray, label: np.ndarray, rounds: int, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam on all rows at once; classes weigh the same."""
     n, m = len(label), len(scale)
     share = np.where(label == 1, 0.5 / max(label.sum(), 1), 0.5 / max(n - label.sum(), 1))
@@ -134,7 +139,8 @@ def _regress(owner: np.ndarray, feature: np.ndarray, scale: np.ndarray, label: n
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1; higher: toxic) of every row's whole text; null counts as empty."""
+    """``doc_id`` and ``score`` (0 to 1; higher: toxic) of every row's whole text; null counts as empty, repeated rows score alike.
+    Other columns aren't used. Empty in, empty out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +154,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` (all columns) that score under ``threshold``; the texts aren't moved."""
+    """Rows of ``docs`` (all columns) that score under ``threshold``; the texts aren't moved. Nulls, ids and repeated rows are as
+    in :func:`score`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

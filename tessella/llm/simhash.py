@@ -79,8 +79,8 @@ def _named(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def with_set_prints(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``doc_id``, ``node`` (the name of the text's shingle set), ``n`` (its size) and ``fp``, ``fp1`` (its SimHash in 128
-    bits) of every row. A shingle that a text repeats counts once, as it does in the similarity."""
+    """``doc_id``, ``text_hash``, ``node`` (the name of the text's shingle set), ``n`` (its size) and ``fp``, ``fp1`` (its
+    SimHash in 128 bits) of every row. A shingle that a text repeats counts once, as it does in the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -92,9 +92,27 @@ def with_set_prints(docs: DataFrame, k: int = 5) -> DataFrame:
             mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             mixed ^= mixed >> np.uint64(31)
             words = [_majority(((x[a : a + CHUNK], owner[a : a + CHUNK]) for a in range(0, len(x), CHUNK)), len(size)).view(np.int64) for x in (h, mixed)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (_named(h, at), size, *words))], names=["doc_id", "node", "n", "fp", "fp1"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, (_named(h, at), size, *words))], names=["doc_id", "text_hash", "node", "n", "fp", "fp1"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, n long, fp long, fp1 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n long, fp long, fp1 long")
+
+
+def text_hash() -> Column:
+    """With the doc_id it names a row by its id and text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _with_keys(docs: DataFrame, keys: DataFrame, how: str, most: int = 2_000_000) -> DataFrame:
+    """Rows of ``docs`` that have (semi join) or lack (anti join) their (doc_id, text_hash) in ``keys``, a staged table. Up to
+    ``most`` keys are broadcast, 16 bytes each, and the texts aren't moved; more are joined by a shuffle."""
+    few = keys.count() <= most
+    same = (F.col("doc_id").cast("long") == keys["doc_id_key"]) & (text_hash() == keys["text_key"])
+    return docs.join(F.broadcast(keys) if few else keys.hint("merge"), same, how)
+
+
+def _as_keys(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc_id").alias("doc_id_key"), F.col("text_hash").alias("text_key"))
 
 
 def with_sets(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -147,17 +165,13 @@ class GrayIndex:
             self.value.append(low)
             self.mask.append(~(low ^ high))
 
-    def components(self, limit: int = 4, chunk: int = 8192, more: np.ndarray | None = None) -> np.ndarray:
-        """For each fingerprint, the smallest position of its component under links of at most ``limit`` bits, the bits of
-        ``more`` (a second word of each fingerprint) included.
+    def near(self, limit: int, whole: list[np.ndarray], chunk: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Batches of places x < y in Gray order whose words differ in d <= ``limit`` bits, and d.
 
-        Pairs aren't kept: links are merged as they are found, and two nodes whose fingerprints are all in one component
-        already are left, so a large cluster costs little more than its spanning links.
+        ``whole`` holds each node's label, or -1 if those under it differ: nodes of one label are left. The caller may
+        change it between batches.
         """
-        n = len(self.order)
-        comp = np.arange(n)
-        whole = self._whole(comp)
-        stack = [(len(self.value) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))] if n > 1 else []
+        stack = [(len(self.value) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(self.order) > 1 else []
         while stack:
             level, a, b, d = stack.pop()
             known = (whole[level][a] >= 0) & (whole[level][a] == whole[level][b])
@@ -178,23 +192,37 @@ class GrayIndex:
             near = d <= limit
             x, y, d = x[near], y[near], d[near]
             if below == 0:
-                if more is not None:
-                    near = d + np.bitwise_count(more[self.order[x]] ^ more[self.order[y]]) <= limit
-                    x, y = x[near], y[near]
-                if merge(comp, x, y):
-                    whole = self._whole(comp)
+                yield x, y, d
                 continue
             far = np.argsort(-(y - x), kind="stable")  # neighbours in Gray order come last, so are taken first
             for at in range(0, len(far), chunk):
                 part = far[at : at + chunk]
                 stack.append((below, x[part], y[part], d[part]))
+
+    def components(self, limit: int = 4, chunk: int = 8192, more: np.ndarray | None = None) -> np.ndarray:
+        """For each fingerprint, the smallest position of its component under links of at most ``limit`` bits, the bits of
+        ``more`` (a second word of each fingerprint) included.
+
+        Pairs aren't kept: links are merged as they are found, and two nodes whose fingerprints are all in one component
+        already are left, so a large cluster costs little more than its spanning links.
+        """
+        n = len(self.order)
+        comp = np.arange(n)
+        whole = self.whole(comp)
+        for x, y, d in self.near(limit, whole, chunk):
+            if more is not None:
+                near = d + np.bitwise_count(more[self.order[x]] ^ more[self.order[y]]) <= limit
+                x, y = x[near], y[near]
+            if merge(comp, x, y):
+                whole[:] = self.whole(comp)
         out = np.empty(n, np.int64)
         out[self.order] = self.order[comp]
         root = np.full(n, n)
         np.minimum.at(root, out, np.arange(n))
         return root[out]
 
-    def _whole(self, comp: np.ndarray) -> list[np.ndarray]:
+    def whole(self, comp: np.ndarray) -> list[np.ndarray]:
+        """Per level, the label of each node if all under it have one (labels in Gray order, not negative), or -1."""
         low = high = comp
         out = [comp]
         for _ in self.value[1:]:
@@ -219,102 +247,189 @@ def merge(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> bool:
             comp[:] = up
 
 
-def _small_links(group: np.ndarray, words: list[np.ndarray], most: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal ``group`` of at most ``most`` rows, for all runs at once."""
-    xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def _in_runs(group: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places inside runs of equal ``group`` of at most ``most`` rows, for all runs at once."""
     for step in range(1, min(most, len(group))):
         x = np.flatnonzero(group[:-step] == group[step:])
         if not len(x):
             break
-        x = x[sum(np.bitwise_count(w[x] ^ w[x + step]).astype(np.int16) for w in words) <= limit]
-        xs.append(x)
-        ys.append(x + step)
-    return np.concatenate(xs), np.concatenate(ys)
+        yield x, x + step
 
 
-def _group_components(group: np.ndarray, words: list[np.ndarray], limit: int, small: int) -> np.ndarray:
-    """The component of each row: what is linked inside its run of equal ``group``."""
+def _runs(group: np.ndarray, small: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Places of rows in runs of equal ``group`` of at most ``small`` rows; start and length of each longer run."""
     cuts = np.flatnonzero(np.diff(group, prepend=~group[0])) if len(group) else np.empty(0, np.int64)
     size = np.diff(np.append(cuts, len(group)))
-    big = np.repeat(size > small, size)
-    few = np.flatnonzero(~big)
-    x, y = _small_links(group[few], [w[few] for w in words], small, limit)
+    return np.flatnonzero(~np.repeat(size > small, size)), list(zip(cuts[size > small].tolist(), size[size > small].tolist()))
+
+
+def _differing(words: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
+
+
+def _group_components(group: np.ndarray, words: list[np.ndarray], limit: int, small: int) -> np.ndarray:
+    """The component of each row: what is linked inside its run of equal ``group``."""
+    few, large = _runs(group, small)
     comp = np.arange(len(group))
-    merge(comp, few[x], few[y])
-    for a, n in zip(cuts[size > small].tolist(), size[size > small].tolist()):
+    xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for x, y in _in_runs(group[few], small):
+        x, y = few[x], few[y]
+        near = _differing(words, x, y) <= limit
+        xs.append(x[near])
+        ys.append(y[near])
+    merge(comp, np.concatenate(xs), np.concatenate(ys))
+    for a, n in large:
         comp[a : a + n] = a + GrayIndex(words[0][a : a + n]).components(limit, more=words[1][a : a + n] if len(words) > 1 else None)
     return comp
 
 
-def _by_group(rows: DataFrame, columns: list[str], find: Callable[[dict], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """The distinct links (a, b) that ``find`` gives for the ``columns`` of whole groups of equal ``key``, the first column,
-    from rows streamed in its order and that of the last; a task holds one group."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * len(columns)
-        for batch in batches:
-            now = [np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, columns)]
-            at = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            rest = [x[at:] for x in now]
-            yield from out([x[:at] for x in now])
-        yield from out(rest)
-
-    def out(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if len(now[0]) > 1:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, find(dict(zip(columns, now))))], names=["a", "b"])
+def _values(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column = batch.column(name)
+    if pa.types.is_binary(column.type):  # of one length
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return column.to_numpy()
 
-    return rows.select(columns).repartition("key").sortWithinPartitions("key", columns[-1]).mapInArrow(search, "a long, b long").distinct()
 
+def _by_group(rows: DataFrame, columns: list[str], find: Callable[[dict], list[np.ndarray]], schema: str) -> DataFrame:
+    """What ``find`` gives for the ``columns`` of whole groups of equal ``key``, the first column, from rows streamed in its
+    order and that of the second; a task holds one group, of a size that :func:`_split` bounds."""
+    names = [part.split()[0] for part in schema.split(",")]
 
-def _search_groups(rows: DataFrame, node: str, words: list[str], limit: int, small: int) -> DataFrame:
-    """Links (a, b) between the ``node``s of each ``key``.
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [_values(batch, c) for c in columns]
+            at = int(np.searchsorted(now[0], now[0][-1]))
+            if at or held and held[-1][0][-1] != now[0][0]:
+                yield from out([*held, [x[:at] for x in now]])
+                held = []
+            held.append([x[at:] for x in now])
+        yield from out(held)
+
+    def out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        whole = [np.concatenate(x) for x in zip(*held)]
+        if whole and len(whole[0]) > 1:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, find(dict(zip(columns, whole))))], names=names)
+
+    return rows.select(columns).repartition("key").sortWithinPartitions("key", columns[1]).mapInArrow(search, schema)
+
+
+def _split(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (``key``, ``node`` and others) with every group of over ``block`` rows dealt into blocks, of which each two meet
+    under a key of their own: no task holds more than two blocks, and no pair is lost."""
+    hot = stage(rows.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("__blocks")))
+    n = hot.count()
+    if not n:
+        return rows
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.coalesce("__blocks", F.lit(1))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1))
+    dealt = rows.join(F.broadcast(hot) if n <= 1_000_000 else hot, "key", "left").select(*rows.columns, "__blocks", own.alias("__own"), other.alias("__other"))
+    key = F.when(F.col("__blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("__own", "__other"), F.greatest("__own", "__other")))
+    return dealt.withColumn("key", key).select(rows.columns)
+
+
+def _search_groups(rows: DataFrame, words: list[str], limit: int, small: int) -> DataFrame:
+    """Links (a, b) between the ``node``s of each ``key``, whose fingerprints are ``words``.
 
     Each member of a component is linked to its smallest node. Groups that share most of their members then make the same
     links, of which one is kept.
     """
 
-    def find(by: dict) -> tuple[np.ndarray, np.ndarray]:
+    def find(by: dict) -> list[np.ndarray]:
         comp = _group_components(by["key"], [by[w].view(np.uint64) for w in words], limit, small)
         least = np.full(len(comp), np.iinfo(np.int64).max)
-        np.minimum.at(least, comp, by[node])
-        member = np.flatnonzero(least[comp] != by[node])
-        return least[comp[member]], by[node][member]
+        np.minimum.at(least, comp, by["node"])
+        member = np.flatnonzero(least[comp] != by["node"])
+        return [least[comp[member]], by["node"][member]]
 
-    return _by_group(rows, ["key", *[c for c in (node,) if c not in words], *words[::-1]], find)
+    return _by_group(rows, ["key", "node", *[w for w in words if w != "node"]], find, "a long, b long").distinct()
 
 
-def _pairs_apart(by: dict, limit: int, similarity: float, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a group that have different labels, at most ``limit`` differing bits and sizes that allow ``similarity``."""
-    cuts = np.flatnonzero(np.diff(by["key"], prepend=~by["key"][0]))
-    size = np.diff(np.append(cuts, len(by["key"])))
-    words, n, label = [by["fp"].view(np.uint64), by["fp1"].view(np.uint64)], by["n"], by["label"]
+class _Nearest:
+    """The ``k`` least (d, node) that each row of a group has been paired with."""
 
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return (label[x] != label[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & (sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int16) for w in words) <= limit)
+    def __init__(self, node: np.ndarray, k: int):
+        self.node, self.k, self.size = node, k, 0
+        self.most = np.full(len(node), 1 << 30)  # what d of a further one may be
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    few = np.flatnonzero(~np.repeat(size > small, size))
-    group = by["key"][few]
-    for step in range(1, min(small, len(few))):
-        x = np.flatnonzero(group[:-step] == group[step:])
-        if not len(x):
-            break
-        x, y = few[x], few[x + step]
-        ok = near(x, y)
-        xs.append(x[ok])
-        ys.append(y[ok])
-    for a, m in zip(cuts[size > small].tolist(), size[size > small].tolist()):
-        _, inverse, often = np.unique(label[a : a + m], return_inverse=True, return_counts=True)
-        order = a + np.lexsort((inverse, often[inverse]))  # the commonest label comes last and is met by the others alone
-        for at in range(0, m, 256):
-            if label[order[at]] == label[order[-1]]:
-                break
-            x, y = order[at : at + 256, None], order[None, at:]
-            i, j = np.nonzero(near(x, y) & (np.arange(x.shape[0])[:, None] < np.arange(y.shape[1])))
-            xs.append(x[i, 0])
-            ys.append(y[0, j])
-    x, y = by["node"][np.concatenate(xs)], by["node"][np.concatenate(ys)]
-    return np.minimum(x, y), np.maximum(x, y)
+    def add(self, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> None:
+        for i, j in ((x, y), (y, x)):
+            some = d <= self.most[i]
+            self.held.append((i[some], d[some], j[some]))
+            self.size += len(self.held[-1][0])
+        if self.size > 2_000_000:
+            self.held = [self.best()]
+            self.size = len(self.held[0][0]) // 2  # grows by a half at least before it's cut again
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, d, y = (np.concatenate([np.empty(0, np.int64), *c]) for c in zip(*self.held)) if self.held else [np.empty(0, np.int64)] * 3
+        order = np.lexsort((self.node[y], d, x))
+        x, d, y = x[order], d[order], y[order]
+        first = np.flatnonzero(np.diff(x, prepend=-1))
+        nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+        last = nth == self.k - 1
+        self.most[x[last]] = d[last]
+        keep = nth < self.k
+        return x[keep], d[keep], y[keep]
+
+
+#: Bytes of a sketch: how many of a text's shingles fall into each of so many classes.
+SKETCH = 128
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with sketches ``a`` and ``b`` and sizes ``n`` and ``m`` can be as similar as this: two sets share at most
+    the smaller count of each class. A count of 255 means that or more."""
+    low = np.minimum(a, b)
+    most = low.sum(1, dtype=np.int64)
+    return (low == 255).any(1) | (most >= similarity * (n + m - most))
+
+
+def nearest(rows: DataFrame, limit: int, k: int, similarity: float = 0.0, block: int = 20_000, small: int = 256) -> DataFrame:
+    """``node`` and ``top``: the ``k`` least (d, other) of each of ``rows`` (``key``, ``node``, ``label``, ``fp``, ``fp1``) over all
+    groups of a key. d is the number of differing bits, at most ``limit``; the other has another ``label``.
+
+    With columns ``seen_d`` and ``seen`` a pair that is not after either's (d, other) there is left; with ``n`` and
+    ``sketch`` one that :func:`may_reach` rules out is. Small groups are compared at once, each larger one by a
+    :class:`GrayIndex`, which leaves branches that have one label.
+    """
+    more = [c for c in ("seen_d", "seen", "n", "sketch") if c in rows.columns]
+
+    def find(by: dict) -> list[np.ndarray]:
+        node, words = by["node"], [by["fp"].view(np.uint64), by["fp1"].view(np.uint64)]
+        label = np.unique(by["label"], return_inverse=True)[1]
+        best = _Nearest(node, k)
+
+        def add(x: np.ndarray, y: np.ndarray) -> None:
+            for at in range(0, len(x), 1 << 16):
+                i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                d = _differing(words, i, j)
+                ok = (d <= limit) & (label[i] != label[j])
+                if "seen" in by:
+                    ok &= (d > by["seen_d"][i]) | (d == by["seen_d"][i]) & (node[j] > by["seen"][i])
+                    ok &= (d > by["seen_d"][j]) | (d == by["seen_d"][j]) & (node[i] > by["seen"][j])
+                i, j, d = i[ok], j[ok], d[ok]
+                if "sketch" in by and len(i):
+                    ok = may_reach(by["sketch"][i], by["sketch"][j], by["n"][i], by["n"][j], similarity)
+                    i, j, d = i[ok], j[ok], d[ok]
+                best.add(i, j, d)
+
+        few, large = _runs(by["key"], small)
+        for x, y in _in_runs(by["key"][few], small):
+            add(few[x], few[y])
+        for a, size in large:
+            index = GrayIndex(words[0][a : a + size])
+            at = a + index.order
+            for x, y, _ in index.near(limit, index.whole(label[at])):
+                add(at[x], at[y])
+        x, d, y = best.best()
+        return [node[x], d, node[y]]
+
+    found = _by_group(_split(rows, block), ["key", "node", "label", "fp", "fp1", *more], find, "node long, d long, other long")
+    return found.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "other"))), 1, k).alias("top"))
 
 
 def _parts(bits: list[int], n: int) -> list[list[int]]:
@@ -334,7 +449,8 @@ def hamming_links(fps: DataFrame, limit: int = 4, group: int = 50_000, depth: in
 
     Of limit+1 parts of the 64 bits, two such fingerprints have one part in common: each fingerprint goes into limit+1
     groups by part and value. A group over ``group`` rows is split again in the same way on its other bits, up to
-    ``depth`` times, which loses nothing. Every group is searched by a :class:`GrayIndex`.
+    ``depth`` times, and what is larger still is dealt into blocks, which loses nothing. Every group is searched by a
+    :class:`GrayIndex`.
     """
     rows = fps.select("fp").distinct().withColumn("path", F.lit(0))
     done = None
@@ -342,21 +458,22 @@ def hamming_links(fps: DataFrame, limit: int = 4, group: int = 50_000, depth: in
         masks = F.array(*map(F.lit, _masks(limit, level)))
         rows = rows.select("fp", F.explode(F.sequence(F.col("path") * (limit + 1), F.col("path") * (limit + 1) + limit)).alias("path"))
         rows = rows.select("fp", "path", F.xxhash64(F.lit(level), "path", F.col("fp").bitwiseAND(F.get(masks, F.col("path")))).alias("key"))
-        if level < depth:
-            hot = rows.groupBy("key").count().filter(F.col("count") > group).select("key")
-            hot = stage(hot)
-            if hot.isEmpty():
-                hot = None
-        else:
-            hot = None
-        cold = rows if hot is None else rows.join(hot, "key", "left_anti")
-        cold = cold.select("key", "fp")
-        done = cold if done is None else done.unionByName(cold)
-        if hot is None:
+        if level == depth:
+            done = _and(done, _split(rows.select("key", F.col("fp").alias("node")), group))
             break
+        hot = stage(rows.groupBy("key").count().filter(F.col("count") > group).select("key"))
+        cold = rows.select("key", F.col("fp").alias("node"))
+        if hot.isEmpty():
+            done = _and(done, cold)
+            break
+        done = _and(done, cold.join(hot, "key", "left_anti"))
         rows = rows.join(hot, "key", "left_semi").select("fp", "path")
 
-    return _search_groups(done, "fp", ["fp"], limit, 32)
+    return _search_groups(done, ["node"], limit, 32)
+
+
+def _and(some: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if some is None else some.unionByName(more)
 
 
 def _meeting(classes: DataFrame, parts: int = 10, agree: int = 2) -> DataFrame:
@@ -374,32 +491,69 @@ def _meeting(classes: DataFrame, parts: int = 10, agree: int = 2) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("i", word.bitwiseAND(F.get(table, F.col("i") % len(masks))))).drop("i")
 
 
-def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose ``sets`` (node, set) have a Jaccard similarity of ``similarity`` or more."""
-    rows = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` (node, n, set) have a Jaccard similarity of ``similarity`` or more; ``n`` is the size
+    of the whole set, of which ``set`` may lack what no other set holds."""
+    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x"), F.col("n").alias("nx")), "a")
+    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y"), F.col("n").alias("ny")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return rows.filter(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
+    return rows.filter(both / (F.col("nx") + F.col("ny") - both) >= similarity).select("a", "b")
+
+
+def _pairs(near: DataFrame) -> DataFrame:
+    """The distinct pairs a < b of a node and one of its ``top``."""
+    rows = near.select("node", F.explode("top").alias("t"))
+    return rows.select(F.least("node", "t.other").alias("a"), F.greatest("node", "t.other").alias("b")).distinct()
+
+
+def shared_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """``node``, ``n``, ``set`` and ``sketch`` of those of ``sets`` (node, set) that can be as similar to another of them as this:
+    ``n`` is the set's size, and ``set`` keeps the shingles that another set has too. Counts are summed before they move."""
+    lone = sets.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    lone = lone.groupBy("node").agg(F.collect_list("h").alias("lone"))  # at most one text's shingles
+    rows = sets.join(lone, "node", "left").select("node", F.size("set").cast("long").alias("n"), F.when(F.col("lone").isNull(), F.col("set")).otherwise(F.array_except("set", "lone")).alias("set"))
+    rows = rows.filter(F.size("set") >= similarity * F.col("n"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("set")
+            h, size = sets.flatten().to_numpy().view(np.uint64), pc.list_value_length(sets).to_numpy()
+            place = np.repeat(np.arange(len(size)), size) * SKETCH + ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SKETCH
+            counts = np.minimum(np.bincount(place, minlength=len(size) * SKETCH), 255).astype(np.uint8).reshape(len(size), SKETCH)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in counts], pa.binary())], names=["node", "n", "set", "sketch"])
 
+    return rows.mapInArrow(sketch, "node long, n long, set array<long>, sketch binary")
 
-def similar_links(docs: DataFrame, classes: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32) -> DataFrame:
-    """Verified links (a, b) that connect all classes (``node``, ``least``, ``n``, ``fp``, ``fp1``) joined by such links.
+
+def similar_links(docs: DataFrame, classes: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32, block: int = 20_000) -> DataFrame:
+    """Verified links (a, b) that connect all classes (``node``, ``doc_id``, ``text_hash``, ``fp``, ``fp1``) joined by such links.
 
     Candidates are classes that meet (see :func:`_meeting`) and differ in at most ``limit`` of 128 bits: at a similarity of
-    0.8 it is 19.4 on average with a deviation of 4.1. Every candidate link is decided on whole shingle sets, but one
-    between two classes that are connected already is left, so a large group of near copies never becomes pairs: first
-    each class is checked against one other, then all candidates that are still apart are.
+    0.8 it is 19.4 on average with a deviation of 4.1. Every candidate is decided, either by whole shingle sets, by counts
+    that rule it out, or because its two classes are connected already. That is done in rounds, so a large group of near
+    copies never becomes pairs: first every class is checked against the least of its group, then against its 8 nearest of
+    those that it is not connected with, then the 64 that follow and so on. A class with fewer left than that is through
+    with all its candidates and takes no further part.
     """
-    rows = _meeting(classes.select("node", "fp", "fp1"))
-    near = stage(_search_groups(rows, "node", ["fp", "fp1"], limit, 256))
+    near = stage(_search_groups(_split(_meeting(classes.select("node", "fp", "fp1")), block), ["fp", "fp1"], limit, 256))
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     some = stage(classes.join(nodes, "node"))
-    texts = docs.join(some.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = _with_keys(docs, stage(_as_keys(some)), "left_semi")
     sets = stage(with_sets(texts, k).join(some.select("node"), "node").groupBy("node").agg(F.first("set").alias("set")))
-    first = stage(verified(near.groupBy("b").agg(F.min("a").alias("a")), sets, similarity))
-    roots = components(first).withColumnRenamed("root", "label")
-    apart = some.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = _by_group(_meeting(apart), ["key", "node", "label", "n", "fp1", "fp"], lambda by: _pairs_apart(by, limit, similarity, 256))
-    return stage(verified(left, sets, similarity)).unionByName(first)
+    sets = stage(shared_sets(sets, similarity))
+    links = stage(verified(near.groupBy("b").agg(F.min("a").alias("a")), sets, similarity))
+    state = some.select("node", "fp", "fp1").join(sets.select("node", "n", "sketch"), "node")
+    most = 1
+    while True:
+        roots = components(links).withColumnRenamed("root", "label")
+        state = stage(state.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        most *= 8
+        near = stage(nearest(_meeting(state), limit, most, similarity, block))
+        if near.isEmpty():
+            return links
+        links = links.unionByName(stage(verified(_pairs(near), sets, similarity)))
+        last = F.get(F.col("top"), F.lit(most - 1))
+        state = state.drop("seen_d", "seen").join(near.filter(F.size("top") == most).select("node", last["d"].alias("seen_d"), last["other"].alias("seen")), "node")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -437,24 +591,41 @@ def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32) -> DataFrame:
-    """``doc_id`` and ``component_id`` of every row with an id: components of texts whose sets of ``k``-word shingles have a
-    Jaccard similarity of ``similarity`` or more. SimHash finds the candidates, see :func:`similar_links`."""
+def _classed(docs: DataFrame, k: int, similarity: float, limit: int, block: int) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``root`` (a name of the component) of every row with an id."""
     docs = docs.filter("doc_id is not null")
     prints = stage(with_set_prints(docs, k))
-    classes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "fp1")]))
-    roots = components(similar_links(docs, classes, k, similarity, limit))
-    named = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each component of :func:`similar_documents`: that of the smallest doc_id (of rows that
-    repeat it, the one that sorts first). Rows without an id stay."""
-    from pyspark.sql import Window
-
-    kept = similar_documents(docs, k, similarity).filter("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    out = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(docs.columns)
-    return out.unionByName(docs.filter("doc_id is null").select(docs.columns))
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    classes = stage(prints.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("fp", "fp1")]).select("node", "least.doc_id", "least.text_hash", "fp", "fp1"))
+    roots = components(similar_links(docs, classes, k, similarity, limit, block))
+    return prints.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+
+
+def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32, block: int = 20_000) -> DataFrame:
+    """``doc_id`` and ``component_id`` (its smallest doc_id) of every row with an id: components of texts whose sets of
+    ``k``-word shingles have a Jaccard similarity of ``similarity`` or more. SimHash finds the candidates, see
+    :func:`similar_links`. Null and blank texts have the same (empty) set; empty in, empty out."""
+    rows = stage(_classed(docs, k, similarity, limit, block))
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32, block: int = 20_000) -> DataFrame:
+    """``docs`` with one row of each component of :func:`similar_documents`: that of the smallest doc_id.
+
+    Two unlike texts under one doc_id are two documents, and both stay. Of rows that repeat both id and text the one whose
+    JSON form sorts first stays. Rows without an id all stay; null and blank texts are copies of one another. Only ids and
+    hashes move, unless more rows go than may be broadcast. Columns of any type and name are kept as they are.
+    """
+    rows = stage(_classed(docs, k, similarity, limit, block))
+    kept = stage(rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select("least.doc_id", "least.text_hash").distinct())
+    each = stage(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).join(kept.withColumn("kept", F.lit(True)), ["doc_id", "text_hash"], "left"))
+    gone = stage(_as_keys(each.filter("kept is null or rows > 1")))
+    repeated = stage(_as_keys(each.filter("kept and rows > 1")))
+    known = docs.filter("doc_id is not null")
+    out = _with_keys(known, gone, "left_anti").unionByName(docs.filter("doc_id is null"))
+    if not repeated.isEmpty():
+        whole = F.struct(*docs.columns)
+        one = _with_keys(known, repeated, "left_semi").groupBy(F.col("doc_id").alias("k1"), text_hash().alias("k2")).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out

@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm.simhash import GrayIndex, _masks, fingerprint_hex, gray_rank, hamming_links, keep_one, near_duplicates, similar_documents
+from tessella.llm.simhash import SKETCH, GrayIndex, _masks, fingerprint_hex, gray_rank, hamming_links, keep_one, may_reach, near_duplicates, similar_documents
 
 
 def brute_print(text, k=4):
@@ -168,3 +168,37 @@ def test_components_are_those_of_all_similar_pairs(spark):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {rows[i][0]: rows[r][0] for i, r in enumerate(root)}
+
+
+def test_unlike_texts_under_one_id_both_stay(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, one, {"k": 1}, 7), (1, two, {"k": 2}, 7), (1, two, {"k": 2}, 7), (2, one, None, 8), (3, three, {}, 9), (None, one, {}, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label map<string,int>, __own int")
+    got = keep_one(frame)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id or 0, r.text[0]) for r in got.collect()) == [(0, "a"), (1, "a"), (1, "b"), (3, "c")]
+
+
+def test_groups_dealt_into_blocks_lose_no_link(spark):
+    """The same components whether groups are whole or in blocks of 16, with null, blank and very long texts among them."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    base = [word() for _ in range(120)]
+    rows = [(900, None), (901, " "), (902, ""), (903, " ".join(word() for _ in range(30_000)))]
+    for i in range(120):
+        text = list(base)
+        for at in rng.choice(120, 1 + i % 4, replace=False):
+            text[at] = word()
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, blocks = ({r.doc_id: r.component_id for r in similar_documents(frame, block=b).collect()} for b in (20_000, 16))
+    assert whole == blocks and whole[901] == whole[902] == 900 and whole[903] == 903
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(9)
+    for n in (3, 40, 60_000):
+        counts = [np.bincount(rng.integers(0, SKETCH, n), minlength=SKETCH) for _ in range(2)]
+        a, b = (np.minimum(c, 255).astype(np.uint8)[None] for c in counts)
+        most = np.minimum(*counts).sum()
+        assert may_reach(a, b, np.array([n]), np.array([n]), most / (2 * n - most))[0]

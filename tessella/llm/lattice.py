@@ -13,15 +13,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import slices, stage, starts_of
+from tessella.llm.common import code_points, slices, stage, starts_of
 
 MARK = "▁"
-#: Bytes of a unit at most (a longer word is cut, at a character, into several), and of the text whose units are looked up together.
-UNIT, BLOCK = 96, 12 << 20
-#: Added to a piece's merge rank: a file of merges has no probabilities, so a piece costs ln(SMOOTH + rank).
+#: Bytes of text whose units are numbered together; characters of a unit whose substrings are cut from one window.
+BLOCK, WINDOW = 12 << 20, 64
+#: Added to a piece's merge rank: a file of merges has no probabilities and tokenizers aren't trained, so a piece costs
+#: ln(SMOOTH + rank), as if probabilities fell with the rank by Zipf's law.
 SMOOTH = 1000
 #: Cost of a character that no piece covers: it becomes its bytes' pieces.
 UNCOVERED = 1000.0
+#: An edge's place in its unit's order: its end, then its start; its length is what the low bits lack.
+LENGTHS = 63
 
 
 @dataclass
@@ -32,6 +35,8 @@ class Pieces:
     raw: list[bytes]
     bytes_from: int
     longest: int
+    kind: np.ndarray
+    crossed: np.ndarray
 
 
 def load(path: str) -> Pieces:
@@ -45,79 +50,110 @@ def load(path: str) -> Pieces:
     rank = {i: max(-model.get_score(i), 0.0) if model.get_score(i) > -1e8 else 0.0 for i in plain}
     raw = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace(MARK, " ").encode() if i in rank else b"" for i, n in enumerate(named)]
     fallback = next(i for i in every if model.is_byte(i) and named[i] == "<0x00>")
-    return Pieces([named[i] for i in plain], [float(np.log(SMOOTH + rank[i])) for i in plain], plain, raw, fallback, max(len(named[i]) for i in plain))
+    spelled = [named[i].replace(MARK, " ") for i in plain]
+    kind, crossed = _crossed(spelled)
+    return Pieces(spelled, [float(np.log(SMOOTH + rank[i])) for i in plain], plain, raw, fallback, max(map(len, spelled)), kind, crossed)
+
+
+def _crossed(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character that some longer piece holds (0 for others), and whether any piece has two such characters
+    side by side: between two that none has, every segmentation has an end."""
+    pairs = {pair for name in names for pair in zip(name, name[1:])}
+    number = {c: k for k, c in enumerate(sorted({c for pair in pairs for c in pair}), 1)}
+    kind, crossed = np.zeros(0x110000, np.int16), np.zeros((len(number) + 1,) * 2, bool)
+    kind[[ord(c) for c in number]] = list(number.values())
+    for a, b in pairs:
+        crossed[number[a], number[b]] = True
+    return kind, crossed
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, id, cost); as long as the vocabulary file, whatever the input."""
+    """(piece, id, cost), the mark as a blank; as long as the vocabulary file, whatever the input."""
     return spark.createDataFrame(pa.table({"piece": pieces.names, "id": pa.array(pieces.ids, pa.int32()), "cost": pieces.cost}))
 
 
-def _byte_ids(character: Column, first: int) -> Column:
-    """Ids of the byte pieces of a character's UTF-8 bytes."""
-    code = F.hex(F.encode(character, "UTF-8"))
-    count = (F.length(code) / 2).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: (F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first).cast("int"))
+def _byte_ids(code: Column, first: int) -> Column:
+    """Ids of the byte pieces of a code point's UTF-8 bytes; ``first`` is that of byte 0."""
+
+    def later(shift: int) -> Column:
+        return F.shiftright(code, shift).bitwiseAND(63) + (first + 0x80)
 
+    two = F.array(F.shiftright(code, 6) + (first + 0xC0), later(0))
+    three = F.array(F.shiftright(code, 12) + (first + 0xE0), later(6), later(0))
+    four = F.array(F.shiftright(code, 18) + (first + 0xF0), later(12), later(6), later(0))
+    return F.when(code < 0x80, F.array(code + first)).when(code < 0x800, two).when(code < 0x10000, three).otherwise(four)
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``units`` (distinct ``unit``, not empty) with ``ids``, the cheapest sequence of pieces that spells each.
+
+def encode_units(units: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
+    """``ids``, the cheapest sequence of pieces that spells the ``unit`` (not empty), for the ``keys`` of each row of ``units``.
 
     Substrings of at most the longest piece's characters are exploded with their places and joined to the pieces; a
-    character that is no piece gets its bytes. The edges are grouped by unit again and folded from the first place to the
-    last: of the edges that end at a place, the one with the least cost so far is kept, with its path; ties take the
-    smaller ids. The table of pieces is a constant, so it is broadcast.
+    character that is no piece becomes an edge too. The edges are grouped by unit again, in order of their ends, and
+    folded once: the last edge to an end is that of one character, and there the path of least cost so far is kept (ties
+    take the smaller ids) beside those of the ends a piece can start from. The table of pieces is a constant, so it is
+    broadcast. If ``units`` are partitioned by the keys, nothing is exchanged.
     """
     table = piece_table(units.sparkSession, pieces)
-    spelled = F.translate("unit", " ", MARK)
-    ends = lambda a: F.sequence(a + 1, F.least(F.col("size"), a + pieces.longest))
-    spans = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda a: F.transform(ends(a), lambda b: F.struct(a.alias("a"), b.alias("b"), F.substring(F.col("spelled"), a + 1, b - a).alias("piece"))))
-    edges = units.select("unit", spelled.alias("spelled")).withColumn("size", F.char_length("spelled")).select("unit", "size", F.explode(F.flatten(spans)).alias("span"))
-    edges = edges.select("unit", "size", "span.a", "span.b", "span.piece").join(F.broadcast(table), "piece", "left").filter("id is not null or b - a = 1")
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(_byte_ids(F.translate("piece", MARK, " "), pieces.bytes_from))
-    edge = F.struct("a", "b", F.coalesce("cost", F.lit(UNCOVERED)).alias("cost"), ids.alias("ids"))
-    grouped = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"), F.first("size").alias("size"))
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("ids")))
-
-    def step(best: Column, b: Column) -> Column:
-        into = F.transform(F.filter("edges", lambda e: e["b"] == b), lambda e: F.struct((F.get(best, e["a"])["cost"] + e["cost"]).alias("cost"), F.concat(F.get(best, e["a"])["ids"], e["ids"]).alias("ids")))
-        return F.concat(best, F.array(F.array_min(into)))
-
-    return grouped.select("unit", F.aggregate(F.sequence(F.lit(1), F.col("size")), start, step, lambda best: F.get(best, F.col("size"))["ids"]).alias("ids"))
-
-
-def split_units(texts: pa.Array) -> tuple[np.ndarray, pa.StringArray]:
-    """Units per text, and all units in order: a line feed; or a run of blanks with the word behind it. Pieces never cross
-    from one unit into the next. A blank goes before each text that isn't empty. Null counts as empty."""
-    texts = pc.fill_null(texts, "")
-    texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(pa.scalar(" "), texts, ""))
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    edges = offsets - offsets[0]
-    blank, line = data == 32, data == 10
-    first = line.copy()
-    first[1:] |= (blank[1:] & ~blank[:-1]) | line[:-1]
-    first[edges[:-1][edges[:-1] < len(data)]] = True
+    longest = pieces.longest
+    parts = units.select(*keys, "unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1, F.lit(WINDOW))).alias("o"))
+    parts = parts.select(*keys, "o", F.substring("unit", F.col("o") + 1, F.lit(WINDOW + longest - 1)).alias("part"))
+    parts = parts.select(*keys, "o", "part", F.explode(F.sequence(F.lit(0), F.least(F.lit(WINDOW), F.char_length("part")) - 1)).alias("i"))
+    spans = parts.select(*keys, "o", "part", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("part") - F.col("i")))).alias("n"))
+    start = F.col("o") + F.col("i")
+    order = (start + F.col("n")).cast("long") * (LENGTHS + 1) + (LENGTHS - F.col("n"))
+    spans = spans.select(*keys, order.alias("k"), "n", F.substring("part", F.col("i") + 1, F.col("n")).alias("piece"))
+    edges = spans.join(F.broadcast(table), "piece", "left").filter("id is not null or n = 1")
+    bare = -1 - F.ascii("piece")  # a character without a piece: its code point, below 0
+    edge = F.struct("k", F.coalesce("cost", F.lit(UNCOVERED)).alias("cost"), F.coalesce("id", bare).alias("id"))
+    grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    path = "struct<cost:double,ids:array<int>>"
+    begin = F.struct(F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("ids"))).alias("ends"), F.lit(None).cast(path).alias("best"))
+
+    def step(state: Column, e: Column) -> Column:
+        ends, n = state["ends"], LENGTHS - e["k"].bitwiseAND(LENGTHS).cast("int")
+        origin = lambda: F.get(ends, F.size(ends) - n)
+        best = F.least(state["best"], F.struct((origin()["cost"] + e["cost"]).alias("cost"), F.concat(origin()["ids"], F.array(e["id"])).alias("ids")))
+        near = F.when(F.size(ends) < longest, ends).otherwise(F.slice(ends, 2, longest - 1))
+        return F.when(n == 1, F.struct(F.concat(near, F.array(best)).alias("ends"), F.lit(None).cast(path).alias("best"))).otherwise(F.struct(ends.alias("ends"), best.alias("best")))
+
+    found = grouped.select(*keys, F.aggregate("edges", begin, step, lambda s: F.element_at(s["ends"], -1)["ids"]).alias("ids"))
+    spelled = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(_byte_ids(-1 - i, pieces.bytes_from))))
+    return found.select(*keys, F.when(F.exists("ids", lambda i: i < 0), spelled).otherwise(F.col("ids")).alias("ids"))
+
+
+def split_units(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, pa.StringArray]:
+    """Units per text, and all units in order: the text, cut wherever no piece can cross. So the best path of a text is
+    that of its units, one behind the other. A blank goes before each text that isn't empty. Null counts as empty."""
+    points, size = code_points([" " + t if t else "" for t in texts.to_pylist()])
+    if not len(points):
+        return np.zeros(len(size), np.int64), pa.array([], pa.string())
+    own = pieces.kind[points]
+    first = np.ones(len(points), bool)
+    first[1:] = ~pieces.crossed[own[:-1], own[1:]]
+    edges = starts_of(size)
+    first[edges[:-1][size > 0]] = True
     at = np.flatnonzero(first)
-    size = np.diff(np.append(at, len(data)))
-    if (long := np.flatnonzero(size > UNIT)).size:
-        more = []
-        for a, n in zip(at[long].tolist(), size[long].tolist()):
-            cut = a + UNIT
-            while cut < a + n:
-                while data[cut] & 0xC0 == 0x80:
-                    cut -= 1
-                more.append(cut)
-                cut += UNIT
-        at = np.union1d(at, np.array(more, np.int64))
-    return np.diff(np.searchsorted(at, edges)), pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data.tobytes()))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, pa.DictionaryArray]]:
+    data = points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    begin = at
+    if len(data) > len(points):
+        wide = np.ones(len(points), np.int8)
+        for least in (0x80, 0x800, 0x10000):
+            wide += points >= least
+        begin = starts_of(wide)[at]
+    return np.diff(np.searchsorted(at, edges)), pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(begin, len(data)).astype(np.int32)), pa.py_buffer(data))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pieces: Pieces, common: pa.Array) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """Blocks of a task with a number each, their units per text, the units by number, and the units that aren't ``common``:
+    numbers run through ``common`` first."""
     part = TaskContext.get().partitionId()
     for k, batch in enumerate(slices(batches, limit=BLOCK)):
-        counts, flat = split_units(batch.column("text"))
-        yield (part << 32) + k, batch, counts, pc.dictionary_encode(flat)
+        counts, flat = split_units(batch.column("text"), pieces)
+        code = pc.dictionary_encode(flat)
+        known = pc.fill_null(pc.index_in(code.dictionary, value_set=common), -1).to_numpy().astype(np.int64)
+        other = np.flatnonzero(known < 0)
+        known[other] = len(common) + np.arange(len(other))
+        yield (part << 32) + k, batch, counts, known[code.indices.to_numpy()], code.dictionary.take(pa.array(other))
 
 
 def _pick(values: np.ndarray, start: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -131,47 +167,68 @@ def decode_ids(ids: np.ndarray, pieces: Pieces) -> bytes:
     return b"".join(map(pieces.raw.__getitem__, ids.tolist()))[1:]
 
 
+def common_units(texts: DataFrame, pieces: Pieces, docs: int = 8_000, most: int = 1 << 18) -> pa.Table:
+    """``unit`` and ``ids`` of the ``most`` frequent units of at most ``docs`` documents, those of smallest hash. They are looked
+    up in every block rather than encoded there; which ones they are changes no result."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(pieces)
+    ids = texts.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            got = pc.value_counts(split_units(batch.column("text"), shared.value)[1])
+            yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], names=["unit", "n"])
+
+    counts = texts.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    top = stage(counts.orderBy(F.desc("n"), "unit").limit(most).select("unit"))
+    return encode_units(top.repartition(64, "unit"), pieces, ["unit"]).toArrow()
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``ids`` and ``round_trip`` (the ids spell the text again) of every row's whole text.
 
-    Texts stay in blocks. A block's distinct units, each once, are joined to the ids of all distinct units and come back
-    to their block, whose texts travel as compressed unit numbers. Null and empty texts have no ids. Repeated rows are
-    encoded each. Other columns aren't used.
+    Texts stay in blocks. A block's distinct units, each once, are encoded, but for the most common, whose ids every task
+    has; they come back to their block, whose texts travel as compressed unit numbers. Null and empty texts have no ids.
+    Repeated rows are encoded each. Other columns aren't used. Empty in, empty out.
     """
     pieces = load(path)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pieces)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common = common_units(texts, pieces).combine_chunks()
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared = spark.sparkContext.broadcast((pieces, common))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, code in _blocks(batches):
-            n = len(code.dictionary)
-            for a in range(0, n, 100_000):
-                own = code.dictionary.slice(a, 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(a, a + len(own), dtype=np.int32)), own], names=["block", "place", "unit"])
+        pieces, common = shared.value
+        for block, _, _, _, own in _blocks(batches, pieces, pa.array(common.column("unit").combine_chunks())):
+            for a in range(0, len(own), 100_000):
+                some = own.slice(a, 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(np.arange(a, a + len(some), dtype=np.int32)), some], names=["block", "place", "unit"])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        pieces, common = shared.value
         squeeze = zstandard.ZstdCompressor(level=3)
-        for block, batch, n, code in _blocks(batches):
-            planes = code.indices.to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        for block, batch, n, code, own in _blocks(batches, pieces, pa.array(common.column("unit").combine_chunks())):
+            planes = code.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
             sums = [zlib.crc32((t or "").encode()) for t in batch.column("text").to_pylist()]
             lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in (batch.column("doc_id"), pa.array(n), pa.array(sums, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([squeeze.compress(planes)], pa.binary()), pa.array([len(code.dictionary)])], names=["block", "doc_id", "n", "sums", "codes", "units"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([squeeze.compress(planes)], pa.binary()), pa.array([len(own)])], names=["block", "doc_id", "n", "sums", "codes", "units"])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
+        pieces, common = shared.value
         row = left.slice(0, 1).to_pylist()[0] if left.num_rows else None
         if row is None or right.num_rows != row["units"]:
             raise RuntimeError("a block's units differ between two reads of the input")
-        lists = right.column("ids").combine_chunks()
-        place = right.column("place").to_numpy()
-        order = np.empty(len(place), np.int64)
-        order[place] = np.arange(len(place))
-        flat = np.asarray(lists.flatten()).astype(np.int32)
-        size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        known, lists = (t.column("ids").combine_chunks() for t in (common, right))
+        order = np.empty(len(known) + right.num_rows, np.int64)
+        order[: len(known)] = np.arange(len(known))
+        order[len(known) + right.column("place").to_numpy()] = len(known) + np.arange(right.num_rows)
+        flat = np.concatenate([np.asarray(x.flatten()).astype(np.int32) for x in (known, lists)])
+        size = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (known, lists)])
         begin = starts_of(size)[:-1]
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint8)
         code = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
@@ -181,14 +238,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for a, b, total in zip(at[:-1].tolist(), at[1:].tolist(), row["sums"]):
             own = _pick(flat, begin, size, order[code[a:b]])
             ids.append(own)
-            same.append(zlib.crc32(decode_ids(own, shared.value)) == total)
+            same.append(zlib.crc32(decode_ids(own, pieces)) == total)
         ends = starts_of(np.array([len(x) for x in ids], np.int64)).astype(np.int32)
         values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
         return pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), values), "round_trip": same})
 
-    own = texts.mapInArrow(units, "block long, place int, unit string")
-    coded = stage(encode_units(own.select("unit").distinct(), pieces))
-    found = own.join(coded, "unit").select("block", "place", "ids")
+    own = texts.mapInArrow(units, "block long, place int, unit string").repartition(max(1, -(-size // (4 << 20))), "block", "place")
+    found = encode_units(own, pieces, ["block", "place"])
     held = texts.mapInArrow(codes, "block long, doc_id array<long>, n array<long>, sums array<long>, codes binary, units long")
     return held.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(join, "doc_id long, ids array<int>, round_trip boolean")
 

@@ -531,8 +531,8 @@ def similar_links(docs: DataFrame, classes: DataFrame, k: int = 5, similarity: f
     Candidates are classes that meet (see :func:`_meeting`) and differ in at most ``limit`` of 128 bits: at a similarity of
     0.8 it is 19.4 on average with a deviation of 4.1. Every candidate is decided, either by whole shingle sets, by counts
     that rule it out, or because its two classes are connected already. That is done in rounds, so a large group of near
-    copies never becomes pairs: first every class is checked against the least of its group, then against its 8 nearest of
-    those that it is not connected with, then the 64 that follow and so on. A class with fewer left than that is through
+    copies never becomes pairs: first every class is checked against the least of its group, then against its 2 nearest of
+    those that it is not connected with, then the 8 that follow, 32 and so on. A class with fewer left than that is through
     with all its candidates and takes no further part.
     """
     near = stage(_search_groups(_split(_meeting(classes.select("node", "fp", "fp1")), block), ["fp", "fp1"], limit, 256))
@@ -543,17 +543,17 @@ def similar_links(docs: DataFrame, classes: DataFrame, k: int = 5, similarity: f
     sets = stage(shared_sets(sets, similarity))
     links = stage(verified(near.groupBy("b").agg(F.min("a").alias("a")), sets, similarity))
     state = some.select("node", "fp", "fp1").join(sets.select("node", "n", "sketch"), "node")
-    most = 1
+    most = 2
     while True:
         roots = components(links).withColumnRenamed("root", "label")
         state = stage(state.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        most *= 8
         near = stage(nearest(_meeting(state), limit, most, similarity, block))
         if near.isEmpty():
             return links
         links = links.unionByName(stage(verified(_pairs(near), sets, similarity)))
         last = F.get(F.col("top"), F.lit(most - 1))
         state = state.drop("seen_d", "seen").join(near.filter(F.size("top") == most).select("node", last["d"].alias("seen_d"), last["other"].alias("seen")), "node")
+        most *= 4
 
 
 def components(links: DataFrame) -> DataFrame:

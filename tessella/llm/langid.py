@@ -8,13 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import fold, slices, stage
 
-#: Characters of a word that are segmented together (a longer word counts as several), and of a piece at most.
-RUN, LONGEST = 32, 10
 #: Bytes of text a worker treats at a time: the larger, the fewer times a word is segmented.
 SLICE = 4 << 20
 _BASE = np.uint64(6_364_136_223_846_793_005)
@@ -28,6 +26,7 @@ class Model:
 
     langs: list[str]
     pieces: np.ndarray
+    longest: int
     probability: np.ndarray
 
 
@@ -42,14 +41,15 @@ def _hashes(words: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def vocabulary(path: str) -> np.ndarray:
-    """Hashes of the pieces at ``path`` that letters in lower case can make: single ones and up to LONGEST in a row."""
+def vocabulary(path: str) -> tuple[np.ndarray, int]:
+    """Hashes of the pieces at ``path`` that words can hold, which are letters in lower case behind a mark, and the most
+    characters that one has."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
-    fit = [p for p in pieces if len(p) <= LONGEST and p == p.lower() and (p == _MARK or p.removeprefix(_MARK).isalpha())]
-    return _hashes(sorted(set(fit)))
+    fit = sorted({p for p in pieces if p == p.lower() and (p == _MARK or p.removeprefix(_MARK).isalpha())})
+    return _hashes(fit), max(map(len, fit), default=1)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.StringArray]:
@@ -63,72 +63,99 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.StringArray]:
 
 
 class Lattice:
-    """All segmentations of words of one length, the mark before them included: for each start and length, the piece."""
+    """All segmentations of words of one length, the mark before them included: for each piece length and start, the piece.
 
-    def __init__(self, points: np.ndarray, pieces: np.ndarray):
+    Sums over segmentations are kept as the ratio T[j] of what the first j characters and the first j-1 sum to, so words
+    of any length neither vanish nor have to be cut; only the last ``longest`` sums are needed at a time.
+    """
+
+    def __init__(self, points: np.ndarray, pieces: np.ndarray, longest: int):
         n = points.shape[1]
-        self.n, self.unknown = n, len(pieces)
-        sums = np.zeros((len(points), n + 1), np.uint64)
+        self.n, self.words, self.longest, self.unknown = n, len(points), min(longest, n), len(pieces)
+        sums = np.zeros((n + 1, len(points)), np.uint64)
         for j in range(n):
-            sums[:, j + 1] = sums[:, j] * _BASE + points[:, j]
+            sums[j + 1] = sums[j] * _BASE + points[:, j]
         power = np.uint64(1)
-        self.piece: dict[tuple[int, int], np.ndarray] = {}
+        self.piece: list[np.ndarray] = [np.empty(0)]  # by length, then start
         table = pa.array(pieces)
-        for size in range(1, min(n, LONGEST) + 1):
+        for size in range(1, self.longest + 1):
             power = np.uint64(int(power) * int(_BASE) & (2**64 - 1))
-            key = (sums[:, size:] - sums[:, :-size] * power).view(np.int64)
-            at = pc.fill_null(pc.index_in(pa.array(key.ravel()), value_set=table), self.unknown + (size > 1)).to_numpy().reshape(key.shape)
-            for a in range(n - size + 1):
-                self.piece[a, size] = at[:, a]
-
-    def forward(self, probability: np.ndarray) -> np.ndarray:
-        """alpha[j]: per word and language, the probability of the first j characters over all their segmentations."""
-        some = len(next(iter(self.piece.values())))
-        alpha = np.zeros((self.n + 1, some, probability.shape[1]))
-        alpha[0] = 1
+            key = (sums[size:] - sums[:-size] * power).view(np.int64)
+            at = pc.fill_null(pc.index_in(pa.array(key.ravel()), value_set=table), self.unknown + (size > 1))
+            self.piece.append(at.to_numpy().reshape(key.shape))
+
+    def ratios(self, probability: np.ndarray) -> Iterator[np.ndarray]:
+        """T[j] per word and language, for j from 1."""
+        past = np.zeros((self.longest, self.words, probability.shape[1]))  # sums before j over that before j-1
+        past[0] = 1
         for j in range(1, self.n + 1):
-            for size in range(1, min(j, LONGEST) + 1):
-                alpha[j] += alpha[j - size] * probability[self.piece[j - size, size]]
-        return alpha
+            total = past[(j - 1) % self.longest] * probability[self.piece[1][j - 1]]
+            for size in range(2, min(j, self.longest) + 1):
+                total += past[(j - size) % self.longest] * probability[self.piece[size][j - size]]
+            yield total
+            past /= total
+            past[j % self.longest] = 1
+
+    def log_sum(self, probability: np.ndarray) -> np.ndarray:
+        """Log of the probability of each word, per language, over all its segmentations."""
+        return sum(np.log(t) for t in self.ratios(probability))
 
     def expected(self, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected count of every piece, words weighing ``weight`` per language, by forward and backward sums."""
-        alpha, beta = self.forward(probability), np.zeros((self.n + 1, *weight.shape))
-        beta[self.n] = weight / np.maximum(alpha[self.n], 1e-300)
+        """Expected count of every piece, words weighing ``weight`` per language.
+
+        ``at[j]`` is the weight of the segmentations with an end after j characters. An edge from i to j has its share of
+        at[j]: its probability over T[i+1] ... T[j].
+        """
+        ratio = list(self.ratios(probability))
+        at = np.zeros((self.n + 1, *weight.shape))
+        at[self.n] = weight
         out = np.zeros_like(probability)
         for i in range(self.n - 1, -1, -1):
-            for size in range(1, min(self.n - i, LONGEST) + 1):
-                piece = self.piece[i, size]
-                back = probability[piece] * beta[i + size]
-                beta[i] += back
+            passed = np.ones_like(weight)
+            for size in range(1, min(self.n - i, self.longest) + 1):
+                passed *= ratio[i + size - 1]
+                piece = self.piece[size][i]
+                share = probability[piece] * at[i + size] / passed
+                at[i] += share
                 for lang in range(weight.shape[1]):
-                    out[:, lang] += np.bincount(piece, weights=alpha[i][:, lang] * back[:, lang], minlength=len(out))
+                    out[:, lang] += np.bincount(piece, weights=share[:, lang], minlength=len(out))
         return out
 
 
-def _lattices(words: pa.StringArray, pieces: np.ndarray) -> Iterator[tuple[np.ndarray, Lattice]]:
-    """Words in runs of at most RUN characters, grouped by length: the places of the words of a group, and their lattice."""
-    text = words.to_pylist()
-    runs = [(i, w[a : a + RUN]) for i, w in enumerate(text) for a in range(0, len(w), RUN)]
+def _lattices(words: pa.StringArray, pieces: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """Words grouped by length, some 150,000 characters at a time: the places of the words of a group, and their lattice."""
     by_size: dict[int, list[tuple[int, str]]] = {}
-    for i, w in runs:
+    for i, w in enumerate(words.to_pylist()):
         by_size.setdefault(len(w), []).append((i, w))
     for size, own in by_size.items():
-        for a in range(0, len(own), 16_384):
-            some = own[a : a + 16_384]
+        step = max(1, 150_000 // size)
+        for a in range(0, len(own), step):
+            some = own[a : a + step]
             points = np.frombuffer("".join(_MARK + w for _, w in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), size + 1)
-            yield np.fromiter((i for i, _ in some), np.int64, len(some)), Lattice(points.astype(np.uint64), pieces)
+            yield np.fromiter((i for i, _ in some), np.int64, len(some)), Lattice(points.astype(np.uint64), pieces, longest)
+
+
+def learning_rows(docs: DataFrame, per_lang: int = 1_500) -> DataFrame:
+    """``lang`` and ``text`` of about ``per_lang`` documents of each language (all, if fewer): those of smallest hash, as many as
+    the language's number of documents says. Rows without id, language or text are left; rows that repeat all three
+    count once, so one of them can't fill the sample. Counts are summed before they move, and the sample's keys, bounded
+    by ``per_lang`` and the number of languages, are broadcast."""
+    known = docs.filter("lang is not null and text is not null and doc_id is not null")
+    known = known.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = known.withColumn("hash", F.xxhash64("id", "text"))
+    keys = known.select("lang", "hash").distinct()
+    share = keys.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
+    sample = keys.join(F.broadcast(share), "lang").filter(F.col("hash") / 2.0**64 + 0.5 < F.col("share")).select("lang", "hash")
+    return known.join(F.broadcast(sample), ["lang", "hash"]).groupBy("lang", "hash", "id").agg(F.first("text").alias("text")).select("lang", "text")
 
 
-def fit(docs: DataFrame, path: str, per_lang: int = 1_500, top: int = 20_000, rounds: int = 4, least: float = 0.02) -> Model:
-    """Piece probabilities of each language in ``lang`` (not null, text not null), by expectation maximisation.
+def fit(docs: DataFrame, path: str, per_lang: int = 1_500, rounds: int = 4, least: float = 0.02) -> Model:
+    """Piece probabilities of each language by expectation maximisation over all words of :func:`learning_rows`.
 
-    Learns from at most ``per_lang`` documents of a language, those of smallest hash (their ids are bounded by that and
-    the number of languages, so are broadcast), and of them from the ``top`` most frequent words.
+    Every round workers add up the expected counts of their part of the distinct words; what comes back is as long as the
+    vocabulary times the languages.
     """
-    known = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    ranked = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    sample = ranked.filter(F.col("nth") <= per_lang).select("doc_id", "lang").distinct()
+    spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
@@ -138,24 +165,36 @@ def fit(docs: DataFrame, path: str, per_lang: int = 1_500, top: int = 20_000, ro
                 got = pa.table({"lang": lang, "word": flat}).group_by(["lang", "word"]).aggregate([([], "count_all")])
                 yield from got.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).to_batches()
 
-    words = known.join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("nth") <= top)
-    got = words.select("lang", "word", "n").toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
-    pieces = vocabulary(path)
-    if not langs:
-        return Model([], pieces, np.zeros((len(pieces) + 2, 0)))
-    code = pc.dictionary_encode(got.column("word").combine_chunks())
-    weight = np.zeros((len(code.dictionary), len(langs)))
-    weight[code.indices.to_numpy(), [langs.index(x) for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
-    lattices = list(_lattices(code.dictionary, pieces))
+    words = learning_rows(docs, per_lang).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = stage(words.groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("of")))  # at most one for each language
+    langs = [r.lang for r in words.select(F.explode("of.lang").alias("lang")).distinct().orderBy("lang").collect()]
+    pieces, longest = vocabulary(path)
     probability = np.full((len(pieces) + 2, len(langs)), 1 / (len(pieces) + 1))
     probability[-1] = 0
-    for _ in range(rounds):
-        expected = sum(lattice.expected(probability, weight[at]) for at, lattice in lattices)[:-1] + least
-        probability[:-1] = expected / expected.sum(0)
-    return Model(langs, pieces, probability)
+    for _ in range(rounds if langs else 0):
+        shared = spark.sparkContext.broadcast(probability)
+
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros_like(shared.value)
+            for batch in batches:
+                of = batch.column("of")
+                owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(of).to_numpy())
+                lang, n = (of.flatten().field(k) for k in ("lang", "n"))
+                weight = np.zeros((batch.num_rows, len(langs)))
+                weight[owner, pc.index_in(lang, value_set=pa.array(langs)).to_numpy()] = n.to_numpy()
+                for at, lattice in _lattices(batch.column("word"), pieces, longest):
+                    out += lattice.expected(shared.value, weight[at])
+            piece, lang = np.nonzero(out)
+            for a in range(0, len(piece), 100_000):
+                own = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(piece[own]), pa.array(lang[own]), pa.array(out[piece[own], lang[own]])], names=["piece", "lang", "n"])
+
+        got = words.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        expected = np.full((len(pieces) + 1, len(langs)), least)
+        expected[got.column("piece").to_numpy(), got.column("lang").to_numpy()] += got.column("n").to_numpy()
+        probability = np.vstack([expected / expected.sum(0), np.zeros(len(langs))])
+        shared.unpersist()
+    return Model(langs, pieces, longest, probability)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -163,6 +202,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     A text's log-probability is the sum over its words of the log of the sum over all segmentations. Ties go to the
     language that sorts first; null and letterless texts, or a model without languages, give ``und`` with score 0.
+    Repeated rows are predicted each. Other columns aren't used. Empty in, empty out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -176,8 +216,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             else:
                 code = pc.dictionary_encode(flat)
                 each = np.zeros((len(code.dictionary), len(m.langs)))
-                for at, lattice in _lattices(code.dictionary, m.pieces):
-                    np.add.at(each, at, np.log(np.maximum(lattice.forward(m.probability)[-1], 1e-300)))
+                for at, lattice in _lattices(code.dictionary, m.pieces, m.longest):
+                    each[at] = lattice.log_sum(m.probability)
                 word = code.indices.to_numpy()
                 total = np.stack([np.bincount(owner, weights=each[word, k], minlength=n) for k in range(len(m.langs))], axis=1)
                 best = total.argmax(1)

@@ -1,4 +1,4 @@
-"""Packing of token sequences: bounded-space online best-fit."""
+"""Packing of token sequences: bounded-space online best-fit with a short look ahead."""
 
 from __future__ import annotations
 
@@ -118,36 +118,41 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[in
     return of, at
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 16_384, group: int = 65_536) -> DataFrame:
+def look_ahead(lengths: np.ndarray, window: int) -> np.ndarray:
+    """The order in which items are packed: as they come, but of each ``window`` in a row the longest first."""
+    at = np.arange(len(lengths))
+    return np.lexsort((at, -lengths, at // max(window, 1)))
+
+
+def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 1024, group: int = 65_536, window: int = 1024) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: sequences of at most ``capacity`` tokens, filled without gaps.
 
-    Pieces are dealt by hash into groups of about ``group``, each packed in one task from the longest down, with
-    ``open_bins`` bins open at a time. A task holds its group only, whatever the input's size or a source's share of it;
-    a group wastes a few sequences in tens of thousands. An empty table gives an empty one.
+    Pieces are dealt by the hash of their place in the staged table into groups of about ``group``, so rows that repeat
+    spread like others. Each group is packed online in one task, in the order of the table, with ``open_bins`` bins open
+    at a time and a look ahead of ``window`` pieces (1: none), of which the longest go first. An empty table gives an
+    empty one.
     """
     pieces = stage(pieces)
     n = max(1, -(-pieces.count() // group))
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        table = table.sort_by([("part", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
-        part = table.column("part").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else []
-        for a, b in zip(cuts, cuts[1:]):
-            own = table.slice(a, b - a)
-            of, at = best_fit(own.column("length").to_pylist(), capacity, open_bins)
-            own = own.append_column("sequence_id", pa.array(np.array(of, np.int64) * n + int(part[a]))).append_column("offset", pa.array(at, pa.int64()))
-            yield from own.drop_columns(["part"]).to_batches()
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        length = table.column("length").to_numpy()
+        order = look_ahead(length, window)
+        of, at = best_fit(length[order].tolist(), capacity, open_bins)
+        table = table.take(pa.array(order))
+        own = table.append_column("sequence_id", pa.array(np.array(of, np.int64) * n + table.column("part")[0].as_py())).append_column("offset", pa.array(at, pa.int64()))
+        return own.select(_SCHEMA.names).cast(_SCHEMA)
 
-    part = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n))
-    dealt = pieces.withColumn("part", part)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part"]
-    return dealt.select(names).groupBy("part").applyInArrow(lambda t: pa.Table.from_batches(list(fill(iter(t.to_batches()))), schema=_SCHEMA), PACKED)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    dealt = pieces.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("place"), F.lit(n)))
+    return dealt.select(*names, "place", "part").groupBy("part").applyInArrow(fill, PACKED)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, open_bins: int = 16_384) -> DataFrame:
-    """Whole documents as packed pieces; see :func:`cut_documents` and :func:`pack`. Other columns are not used."""
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, open_bins: int = 1024) -> DataFrame:
+    """Whole documents as packed pieces; see :func:`cut_documents` and :func:`pack`. Other columns are not used, and rows that
+    repeat are packed each."""
     return pack(cut_documents(docs, tokenizer, capacity, end_id), capacity, open_bins)

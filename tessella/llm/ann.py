@@ -95,13 +95,18 @@ def train(x: np.ndarray, width: int = 2, parallel: float = 4.0, rounds: int = 8,
     return books
 
 
-def scan(queries: np.ndarray, code: np.ndarray, books: Codebooks) -> Iterator[np.ndarray]:
-    """For each query, approximate inner products with all coded rows: sums of table entries by four-bit code.
+def packed(code: np.ndarray) -> np.ndarray:
+    """Codes of two neighbouring subspaces in each byte."""
+    code = np.pad(code, ((0, 0), (0, code.shape[1] % 2)))
+    return code[:, ::2] * np.uint8(WORDS) + code[:, 1::2]
+
 
-    Codes of two neighbouring subspaces form one byte, and their two 16-entry tables one of 256.
+def scan(queries: np.ndarray, code: np.ndarray, books: Codebooks) -> Iterator[np.ndarray]:
+    """For each query, approximate inner products with all rows of :func:`packed` codes: sums of table entries by four-bit
+    code. The two 16-entry tables of a byte's codes become one of 256.
     """
     m = books.words.shape[0]
-    pairs = [code[:, k].astype(np.intp) * WORDS + (code[:, k + 1] if k + 1 < m else 0) for k in range(0, m, 2)]
+    pairs = [np.ascontiguousarray(code[:, k]).astype(np.intp) for k in range(code.shape[1])]
     own = _blocks(queries, books.words)
     tables = np.einsum("qmd,mcd->qmc", own, books.words).astype(np.float32)
     for table in tables:
@@ -132,13 +137,13 @@ def _exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
 RESULT = "query_id long, vec_id long, score double"
 
 
-def search(table: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", rerank: int = 400, sample: int = 8192, block: int = 16_384, query_block: int = 2_048) -> DataFrame:
+def search(table: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", rerank: int = 400, sample: int = 8192, block: int = 16_384, query_block: int = 16_384) -> DataFrame:
     """Each query's ``k`` nearest other rows by inner product: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on ``vec_id``. The codebooks are fitted on at most ``sample`` vectors, those of smallest
-    hash; every vector is coded. Blocks of vectors meet blocks of queries in separate tasks; each task scans codes, scores
-    the ``rerank`` best exactly on the original vectors, and hands on its best ``k``, so no task holds more than two
-    blocks. Ties go to the smaller vec_id. Fewer candidates than ``k`` give fewer rows, no usable vector gives none. A
+    hash; every vector is coded, once, and staged with its codes (two to a byte). Blocks of vectors meet blocks of queries
+    in separate tasks; each task scans codes, scores the ``rerank`` best exactly on the original vectors, and hands on its
+    best ``k``, so no task holds more than two blocks. A vector travels once for each block of queries. Ties go to the smaller vec_id. Fewer candidates than ``k`` give fewer rows, no usable vector gives none. A
     repeated vec_id is one candidate per row; a query's own rows are those with its vec_id.
     """
     rows = stage(usable(table, id_column, vector))
@@ -150,8 +155,18 @@ def search(table: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", v
     width = max(map(len, some), key=[len(v) for v in some].count)
     books = spark.sparkContext.broadcast(train(np.array([v for v in some if len(v) == width])))
     rows = rows.filter(F.size("vector") == width)
-    blocks = max(1, -(-n // block))
+
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                some = batch.slice(a, 4096)
+                code = packed(encode(_matrix(some), books.value))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "vector", "code"])
+
     asked = rows.filter(is_query)
+    rows = stage(rows.mapInArrow(coded, "vec_id long, vector array<double>, code binary"))
+    blocks = max(1, -(-n // block))
     query_blocks = max(1, -(-asked.count() // query_block))
     own = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -162,7 +177,7 @@ def search(table: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", v
         asked_ids, q = right.column("vec_id").to_numpy(), _matrix(right)
         found_q, found_v, found_s = [], [], []
         if len(ids) and len(asked_ids):
-            code = encode(x, books.value)
+            code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
             for query, vec, approx in zip(asked_ids, q, scan(q, code, books.value)):
                 approx[np.searchsorted(ids, query) : np.searchsorted(ids, query, side="right")] = -np.inf
                 at = _best(approx, rerank)
@@ -178,9 +193,10 @@ def search(table: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", v
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     n = table.num_rows
     if not n:
         return np.empty((0, 0))
-    column = table.column("vector").combine_chunks()
+    column = table.column("vector")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten()).reshape(n, -1)

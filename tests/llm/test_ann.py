@@ -46,7 +46,7 @@ def test_scan_sums_the_tables():
     books = ann.train(x, width=2)
     code = ann.encode(x, books)
     decoded = books.words[np.arange(4)[None], code].reshape(len(x), -1)[:, :7]
-    assert np.allclose(np.array(list(ann.scan(q, code, books))), q @ decoded.T, atol=1e-4)
+    assert np.allclose(np.array(list(ann.scan(q, ann.packed(code), books))), q @ decoded.T, atol=1e-4)
 
 
 @pytest.mark.parametrize("block", [16_384, 300])

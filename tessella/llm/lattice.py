@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 from tessella.llm.common import code_points, slices, stage, starts_of
 
 MARK = "▁"
-#: Bytes of text whose units are numbered together; characters of a unit whose substrings are cut from one window.
-BLOCK, WINDOW = 12 << 20, 64
+#: Bytes of text whose units are numbered together, and that are split at a time; characters of a unit whose substrings are
+#: cut from one window.
+BLOCK, SPLIT, WINDOW = 32 << 20, 2 << 20, 64
 #: Added to a piece's merge rank: a file of merges has no probabilities and tokenizers aren't trained, so a piece costs
 #: ln(SMOOTH + rank), as if probabilities fell with the rank by Zipf's law.
 SMOOTH = 1000
 #: Cost of a character that no piece covers: it becomes its bytes' pieces.
 UNCOVERED = 1000.0
-#: An edge's place in its unit's order: its end, then its start; its length is what the low bits lack.
-LENGTHS = 63
+#: An edge is its end, times LENGTHS, less its length, times PIECES, plus its piece's id; a character without a piece has its
+#: code point over BARE. An id is less than that.
+LENGTHS, PIECES, BARE = 64, 1 << 22, 1 << 21
 
 
 @dataclass
@@ -68,8 +70,9 @@ def _crossed(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, id, cost), the mark as a blank; as long as the vocabulary file, whatever the input."""
-    return spark.createDataFrame(pa.table({"piece": pieces.names, "id": pa.array(pieces.ids, pa.int32()), "cost": pieces.cost}))
+    """(name, hash, id, cost), the mark as a blank; as long as the vocabulary file, whatever the input."""
+    rows = spark.createDataFrame(pa.table({"name": pieces.names, "id": pa.array(pieces.ids, pa.int32()), "cost": pieces.cost}))
+    return rows.withColumn("hash", F.xxhash64("name"))
 
 
 def _byte_ids(code: Column, first: int) -> Column:
@@ -87,11 +90,13 @@ def _byte_ids(code: Column, first: int) -> Column:
 def encode_units(units: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
     """``ids``, the cheapest sequence of pieces that spells the ``unit`` (not empty), for the ``keys`` of each row of ``units``.
 
-    Substrings of at most the longest piece's characters are exploded with their places and joined to the pieces; a
-    character that is no piece becomes an edge too. The edges are grouped by unit again, in order of their ends, and
-    folded once: the last edge to an end is that of one character, and there the path of least cost so far is kept (ties
-    take the smaller ids) beside those of the ends a piece can start from. The table of pieces is a constant, so it is
-    broadcast. If ``units`` are partitioned by the keys, nothing is exchanged.
+    Substrings of at most the longest piece's characters are exploded with their places and joined to the pieces (by
+    their hash, which is a long; the strings are compared too); a character that is no piece becomes an edge too. An edge
+    is one number: its end, its length (the longer first) and its piece. Edges are grouped by unit again, in order, and
+    folded over the ends: each end's least cost is kept with the last piece of its path, of equal ones the longest. The
+    path is then read backwards. The table of pieces is a constant, so it is broadcast. If ``units`` are partitioned by
+    the keys, nothing is exchanged. An accumulator is copied at every end, so time grows with the square of a unit's
+    length; units are short unless no cut is possible (see :func:`split_units`).
     """
     table = piece_table(units.sparkSession, pieces)
     longest = pieces.longest
@@ -99,26 +104,37 @@ def encode_units(units: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame
     parts = parts.select(*keys, "o", F.substring("unit", F.col("o") + 1, F.lit(WINDOW + longest - 1)).alias("part"))
     parts = parts.select(*keys, "o", "part", F.explode(F.sequence(F.lit(0), F.least(F.lit(WINDOW), F.char_length("part")) - 1)).alias("i"))
     spans = parts.select(*keys, "o", "part", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("part") - F.col("i")))).alias("n"))
-    start = F.col("o") + F.col("i")
-    order = (start + F.col("n")).cast("long") * (LENGTHS + 1) + (LENGTHS - F.col("n"))
-    spans = spans.select(*keys, order.alias("k"), "n", F.substring("part", F.col("i") + 1, F.col("n")).alias("piece"))
-    edges = spans.join(F.broadcast(table), "piece", "left").filter("id is not null or n = 1")
-    bare = -1 - F.ascii("piece")  # a character without a piece: its code point, below 0
-    edge = F.struct("k", F.coalesce("cost", F.lit(UNCOVERED)).alias("cost"), F.coalesce("id", bare).alias("id"))
-    grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    path = "struct<cost:double,ids:array<int>>"
-    begin = F.struct(F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("ids"))).alias("ends"), F.lit(None).cast(path).alias("best"))
-
-    def step(state: Column, e: Column) -> Column:
-        ends, n = state["ends"], LENGTHS - e["k"].bitwiseAND(LENGTHS).cast("int")
-        origin = lambda: F.get(ends, F.size(ends) - n)
-        best = F.least(state["best"], F.struct((origin()["cost"] + e["cost"]).alias("cost"), F.concat(origin()["ids"], F.array(e["id"])).alias("ids")))
-        near = F.when(F.size(ends) < longest, ends).otherwise(F.slice(ends, 2, longest - 1))
-        return F.when(n == 1, F.struct(F.concat(near, F.array(best)).alias("ends"), F.lit(None).cast(path).alias("best"))).otherwise(F.struct(ends.alias("ends"), best.alias("best")))
-
-    found = grouped.select(*keys, F.aggregate("edges", begin, step, lambda s: F.element_at(s["ends"], -1)["ids"]).alias("ids"))
-    spelled = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(_byte_ids(-1 - i, pieces.bytes_from))))
-    return found.select(*keys, F.when(F.exists("ids", lambda i: i < 0), spelled).otherwise(F.col("ids")).alias("ids"))
+    order = (F.col("o") + F.col("i") + F.col("n")).cast("long") * LENGTHS + (LENGTHS - F.col("n"))
+    spans = spans.select(*keys, order.alias("k"), "n", F.substring("part", F.col("i") + 1, F.col("n")).alias("piece")).withColumn("hash", F.xxhash64("piece"))
+    edges = spans.join(F.broadcast(table), "hash", "left").withColumn("known", F.coalesce(F.col("piece") == F.col("name"), F.lit(False))).filter("known or n = 1")
+    piece = F.when(F.col("known"), F.col("id")).otherwise(F.ascii("piece") + BARE).cast("long")
+    grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("k") * PIECES + piece)).alias("edges"))
+
+    by_id = [UNCOVERED] * (max(pieces.ids, default=0) + 1)
+    for i, c in zip(pieces.ids, pieces.cost):
+        by_id[i] = c
+    costs = F.split(F.lit(",".join(map(repr, by_id))), ",").cast("array<double>")  # folded to one constant
+    piece_of = lambda e: e.bitwiseAND(PIECES - 1).cast("int")
+    length_of = lambda e: LENGTHS - F.shiftright(e, PIECES.bit_length() - 1).bitwiseAND(LENGTHS - 1).cast("int")
+    cost_of = lambda e: F.coalesce(F.get(costs, piece_of(e)), F.lit(UNCOVERED))
+
+    def step(ends: Column, own: Column) -> Column:
+        into = F.transform(F.slice("edges", own["first"], own["n"]), lambda e: F.struct((F.get(ends, F.size(ends) - length_of(e))["cost"] + cost_of(e)).alias("cost"), e.alias("edge")))
+        return F.concat(ends, F.array(F.array_min(into)))
+
+    def back(state: Column, end: Column) -> Column:
+        taken = F.struct((length_of(end["edge"]) - 1).alias("skip"), F.concat(state["ids"], F.array(piece_of(end["edge"]))).alias("ids"))
+        return F.when(state["skip"] > 0, F.struct((state["skip"] - 1).alias("skip"), state["ids"].alias("ids"))).otherwise(taken)
+
+    # the last edge to each end is that of one character; it and those since the last before it are that end's
+    last = F.filter(F.sequence(F.lit(1), F.size("edges")), lambda i: length_of(F.get("edges", i - 1)) == 1)
+    runs = F.transform("last", lambda j, i: F.struct((F.coalesce(F.get("last", i - 1), F.lit(0)) + 1).alias("first"), (j - F.coalesce(F.get("last", i - 1), F.lit(0))).alias("n")))
+    origin = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("edge")))
+    folded = grouped.withColumn("last", last).select(*keys, F.aggregate(runs, origin, step, lambda ends: F.reverse(F.slice(ends, 2, F.size(ends) - 1))).alias("ends"))
+    ids = F.aggregate("ends", F.struct(F.lit(0).alias("skip"), F.array().cast("array<int>").alias("ids")), back, lambda s: F.reverse(s["ids"]))
+    found = folded.select(*keys, ids.alias("ids"))
+    spelled = F.flatten(F.transform("ids", lambda i: F.when(i < BARE, F.array(i)).otherwise(_byte_ids(i - BARE, pieces.bytes_from))))
+    return found.select(*keys, F.when(F.exists("ids", lambda i: i >= BARE), spelled).otherwise(F.col("ids")).alias("ids"))
 
 
 def split_units(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, pa.StringArray]:
@@ -148,8 +164,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], pieces: Pieces, common: pa.Array)
     numbers run through ``common`` first."""
     part = TaskContext.get().partitionId()
     for k, batch in enumerate(slices(batches, limit=BLOCK)):
-        counts, flat = split_units(batch.column("text"), pieces)
-        code = pc.dictionary_encode(flat)
+        split = [split_units(part.column("text"), pieces) for part in slices(iter([batch]), limit=SPLIT)]
+        counts = np.concatenate([n for n, _ in split])
+        code = pa.chunked_array([flat for _, flat in split]).dictionary_encode().combine_chunks()
         known = pc.fill_null(pc.index_in(code.dictionary, value_set=common), -1).to_numpy().astype(np.int64)
         other = np.flatnonzero(known < 0)
         known[other] = len(common) + np.arange(len(other))
@@ -167,7 +184,7 @@ def decode_ids(ids: np.ndarray, pieces: Pieces) -> bytes:
     return b"".join(map(pieces.raw.__getitem__, ids.tolist()))[1:]
 
 
-def common_units(texts: DataFrame, pieces: Pieces, docs: int = 8_000, most: int = 1 << 18) -> pa.Table:
+def common_units(texts: DataFrame, pieces: Pieces, docs: int = 32_000, most: int = 1 << 19) -> pa.Table:
     """``unit`` and ``ids`` of the ``most`` frequent units of at most ``docs`` documents, those of smallest hash. They are looked
     up in every block rather than encoded there; which ones they are changes no result."""
     spark = texts.sparkSession

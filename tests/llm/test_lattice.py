@@ -15,18 +15,19 @@ COST = dict(zip(PIECES.names, zip(PIECES.cost, PIECES.ids)))
 
 
 def cheapest(text):
-    """Cheapest path over all segmentations, by plain dynamic programming on (cost, ids); a character without a piece counts
-    as less than any id."""
+    """Cheapest path over all segmentations by plain dynamic programming: its cost and ids. At each end the least cost, of
+    equal ones the longest last piece; a character without a piece has its code point, below 0."""
     best = [(0.0, [])]
     for b in range(1, len(text) + 1):
         into = []
         for a in range(max(0, b - PIECES.longest), b):
             if text[a:b] in COST:
                 c, i = COST[text[a:b]]
-                into.append((best[a][0] + c, best[a][1] + [i]))
+                into.append((best[a][0] + c, a, best[a][1] + [i]))
             elif b - a == 1:
-                into.append((best[a][0] + L.UNCOVERED, best[a][1] + [-1 - ord(text[a])]))
-        best.append(min(into))
+                into.append((best[a][0] + L.UNCOVERED, a, best[a][1] + [-1 - ord(text[a])]))
+        cost, _, ids = min(into, key=lambda x: x[:2])
+        best.append((cost, ids))
     return best[-1]
 
 

@@ -141,6 +141,12 @@ def multiply_add(a, factor: float, b) -> Column:
     return _pairs(a, b, lambda x, y: x + y * factor)
 
 
+def multiply_add_argmin(a, factor: float, b) -> Column:
+    """``a + factor·b`` and the place of its least component, the first of equal ones."""
+    total = multiply_add(a, factor, b)
+    return F.struct(total.alias("vec"), (F.array_position(total, F.array_min(total)) - 1).alias("argmin"))
+
+
 def l2_from_inner_product(a_norm, b_norm, ip) -> Column:
     return _col(a_norm) + _col(b_norm) - 2 * _col(ip)
 
@@ -180,6 +186,17 @@ def words_to_signs(words, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(F.call_function("getbit", F.get(words, (i / 64).cast("int")), i % 64) == 1, 1.0).otherwise(-1.0))
 
 
+def shuffle_bits(words, order: list[int]) -> Column:
+    """Packed bits in another order: bit ``i`` of the result is bit ``order[i]``."""
+    words = _col(words)
+
+    def word(w: int) -> Column:
+        own = [F.call_function("shiftleft", F.call_function("getbit", F.get(words, F.lit(b // 64)), F.lit(b % 64)).cast("long"), F.lit(i)) for i, b in enumerate(order[w : w + 64])]
+        return F.aggregate(F.array(*own), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+    return F.array(*[word(w) for w in range(0, len(order), 64)])
+
+
 def pack_bits(values, bits: int) -> Column:
     """Small integers of ``bits`` bits each as one long, the first lowest (at most 64 bits in all)."""
     return F.aggregate(F.transform(_col(values), lambda x, i: F.call_function("shiftleft", x.cast("long"), i * bits)), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))

@@ -170,8 +170,9 @@ class ProductQuantizer(Codec):
         """Squared distances between codewords of each part."""
         return ((self.books[:, :, None] - self.books[:, None]) ** 2).sum(3)
 
-    def search(self, coded: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-        """Asymmetric search: every code's distance is a sum of entries of the query's tables."""
+    def search(self, coded: DataFrame, queries: DataFrame, k: int, metric: str = "l2", probes: DataFrame | None = None, on: Column | None = None) -> DataFrame:
+        """Asymmetric search: every code's distance is a sum of entries of the query's tables. With ``probes`` (qid, list_no)
+        only codes in the probed lists are met; ``on`` is a condition on query and document."""
         n, m = self.books.shape[1], len(self.books)
 
         @F.pandas_udf("array<double>")
@@ -183,7 +184,102 @@ class ProductQuantizer(Codec):
         asked = queries.withColumn("__table", table(V.doubles("qvec")))
         terms = F.transform("code", lambda c, i: F.get("__table", i * n + c))
         assert m
-        return top_k(meet(coded, asked).select("qid", "doc_id", F.aggregate(terms, F.lit(0.0), lambda s, x: s + x).alias("score")), k, V.is_similarity(metric))
+        if probes is None:
+            pairs = meet(coded, asked, on)
+        else:
+            pairs = coded.join(probes.filter("list_no >= 0").select("qid", "list_no").join(asked, "qid"), "list_no")
+            pairs = pairs if on is None else pairs.filter(on)
+        return top_k(pairs.select("qid", "doc_id", F.aggregate(terms, F.lit(0.0), lambda s, x: s + x).alias("score")), k, V.is_similarity(metric))
+
+
+    def permuted(self, orders: list[np.ndarray]) -> ProductQuantizer:
+        """The same words under other numbers: word ``orders[m][i]`` of part m becomes word i."""
+        return ProductQuantizer(np.stack([b[o] for b, o in zip(self.books, orders)]))
+
+    def polysemous(self, rounds: int = 2_000, seed: int = 0) -> ProductQuantizer:
+        """The same words numbered so that numbers of near words differ in few bits: swaps that lower the squared error
+        between Hamming distances and scaled distances of words, each part by itself."""
+        rng, orders = np.random.default_rng(seed), []
+        for own in self.symmetric():
+            n = len(own)
+            bits = np.bitwise_count(np.arange(n)[:, None] ^ np.arange(n)[None]).astype(float)
+            goal = own * (bits.mean() / max(own.mean(), 1e-12))
+            weight = np.exp(-goal)
+            order = np.arange(n)
+            loss = (weight * (goal - bits) ** 2).sum()
+            for _ in range(rounds):
+                i, j = rng.integers(0, n, 2)
+                order[[i, j]] = order[[j, i]]
+                new = (weight[np.ix_(order, order)] * (goal[np.ix_(order, order)] - bits) ** 2).sum()
+                if new < loss:
+                    loss = new
+                else:
+                    order[[i, j]] = order[[j, i]]
+            orders.append(order)
+        return self.permuted(orders)
+
+
+def quantise_tables(tables: np.ndarray, bits: int = 8) -> tuple[np.ndarray, float, float]:
+    """Distance tables (parts, words) as small whole numbers: with the result q, scale a and sum b of the parts' least
+    entries, a row's distance is about b + (sum of its q) / a."""
+    low = tables.min(1, keepdims=True)
+    a = (2**bits - 1) / max(float((tables - low).max()), 1e-12)
+    return np.floor((tables - low) * a + 0.5).astype(np.uint8 if bits <= 8 else np.uint16), a, float(low.sum())
+
+
+def fast_scan(codec: ProductQuantizer, coded: DataFrame, queries: DataFrame, k: int, keep: int = 4) -> DataFrame:
+    """Search (L2) by tables of bytes over codes of at most 16 words a part, two parts to a look-up, in Arrow batches; the best
+    ``keep`` times ``k`` by bytes are scored again by the exact tables. At most 4,096 queries go along."""
+    if codec.books.shape[1] > 16:
+        raise ValueError("fast scan needs codes of four bits")
+    asked = queries.select("qid", V.doubles("qvec").alias("q")).limit(4097).collect()
+    if len(asked) > 4096:
+        raise ValueError("more than 4,096 queries; search them in parts")
+    known = [(r.qid, codec.tables(np.array(r.q, float))) for r in asked]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("doc_id").to_numpy()
+            code = np.asarray(batch.column("code").flatten()).reshape(len(ids), -1)
+            parts = np.arange(code.shape[1])
+            pairs = code[:, ::2] * 16 + np.pad(code[:, 1::2], ((0, 0), (0, code.shape[1] % 2)))
+            for qid, table in known:
+                table = np.pad(table, ((0, len(table) % 2), (0, 16 - table.shape[1])))
+                small, _, _ = quantise_tables(table)
+                joined = (small[::2, :, None].astype(np.int32) + small[1::2, None]).reshape(len(small) // 2, 256)
+                rough = joined[np.arange(len(joined)), pairs].sum(1)
+                some = np.lexsort((ids, rough))[: keep * k]
+                exact = table[parts, code[some]].sum(1)
+                best = np.lexsort((ids[some], exact))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qid)), pa.array(ids[some][best]), pa.array(exact[best])], names=["qid", "doc_id", "score"])
+
+    return top_k(coded.select("doc_id", "code").mapInArrow(run, "qid long, doc_id long, score double"), k, False)
+
+
+@dataclass
+class RefinedProduct(Codec):
+    """A product code and a second one of what the first leaves."""
+
+    first: ProductQuantizer
+    second: ProductQuantizer
+
+    @classmethod
+    def fit(cls, docs: np.ndarray | DataFrame, parts: int, more: int, most: int = 20_000) -> RefinedProduct:
+        x = _sample(docs, most) if isinstance(docs, DataFrame) else docs
+        first = ProductQuantizer.fit(x, parts)
+        return cls(first, ProductQuantizer.fit(x - first.decode(first.encode(x)), more))
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        code = self.first.encode(x)
+        return np.concatenate([code, self.second.encode(x - self.first.decode(code))], axis=1)
+
+    def decode(self, code: np.ndarray) -> np.ndarray:
+        n = len(self.first.books)
+        return self.first.decode(code[:, :n]) + self.second.decode(code[:, n:])
 
 
 @dataclass
@@ -307,6 +403,70 @@ class RaBit:
         return length**2 + y @ y - 2 * length * (sign @ y) / np.maximum(share, 1e-12)
 
 
+@dataclass
+class OneBit(Codec):
+    """:class:`RaBit` as stored codes: the bits, and the length and share as float bits. Searched by estimate."""
+
+    center: np.ndarray
+    rotation: np.ndarray
+
+    @classmethod
+    def fit(cls, docs: DataFrame, seed: int = 0, most: int = 20_000) -> OneBit:
+        own = RaBit.fit(docs, seed, most)
+        return cls(own.center, own.rotation)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        bits, length, share = RaBit(self.center, self.rotation).encode(x)
+        floats = np.stack([length, share], axis=1).astype(np.float32).view(np.int32)
+        return np.concatenate([floats, bits.astype(np.int32)], axis=1)
+
+    def decode(self, code: np.ndarray) -> np.ndarray:
+        """Of the vectors that have these bits and this length the middle one."""
+        ends = np.ascontiguousarray(code[:, :2]).astype(np.int32).view(np.float32).astype(float)
+        sign = np.where(code[:, 2:] > 0, 1, -1) / np.sqrt(len(self.center))
+        return (sign * ends[:, :1] * ends[:, 1:]) @ self.rotation + self.center
+
+    def search(self, coded: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+        @F.pandas_udf("double")
+        def estimate(qvec, code):
+            import pandas as pd
+
+            c = np.array(code.tolist())
+            ends = np.ascontiguousarray(c[:, :2]).astype(np.int32).view(np.float32).astype(float)
+            y = (np.array(qvec.tolist(), float) - self.center) @ self.rotation.T
+            sign = np.where(c[:, 2:] > 0, 1, -1) / np.sqrt(len(self.center))
+            return pd.Series(ends[:, 0] ** 2 + (y * y).sum(1) - 2 * ends[:, 0] * (sign * y).sum(1) / np.maximum(ends[:, 1], 1e-12))
+
+        rows = meet(coded.select("doc_id", "code"), queries).select("qid", "doc_id", estimate(V.doubles("qvec"), "code").alias("score"))
+        return top_k(rows, k, False)
+
+
+@dataclass
+class SignBits(Codec):
+    """Sign bits of (rotated) dimensions, cut at 0 or at medians, searched by the number of differing bits."""
+
+    matrix: np.ndarray
+    cut: np.ndarray
+
+    @classmethod
+    def fit(cls, docs: DataFrame, bits: int | None = None, rotate: bool = False, thresholds: bool = False, seed: int = 0, most: int = 20_000) -> SignBits:
+        x = _sample(docs, most)
+        n = bits or x.shape[1]
+        matrix = random_rotation(x.shape[1], n, seed).matrix if rotate or n > x.shape[1] else np.eye(x.shape[1])[:n]
+        return cls(matrix, np.median(x @ matrix.T, axis=0) if thresholds else np.zeros(n))
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.matrix.T >= self.cut).astype(int)
+
+    def decode(self, code: np.ndarray) -> np.ndarray:
+        return np.where(code > 0, 1.0, -1.0) @ self.matrix
+
+    def search(self, coded: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+        asked = self.encoded(queries, "qvec", "qcode").select("qid", "qcode")
+        rows = meet(coded.select("doc_id", "code"), asked).select("qid", "doc_id", V.generalized_hamming("qcode", "code").alias("score"))
+        return top_k(rows, k, False)
+
+
 def lattice_encode(x: np.ndarray, radius_squared: int) -> np.ndarray:
     """Nearest point (by angle) among whole-number vectors of squared length ``radius_squared``.
 
@@ -341,3 +501,7 @@ def lsh(docs: DataFrame, bits: int, rotate: bool = True, thresholds: bool = Fals
 def spectral_bits(vec: str, period: float) -> Column:
     """Bits that alternate along each dimension: 1 where floor(x / (period/2)) is even."""
     return F.transform(V.doubles(vec), lambda x: (F.pmod(F.floor(x / (period / 2)), F.lit(2)) == 0).cast("int"))
+
+
+#: Codecs that a saved index may hold.
+KINDS = (ScalarQuantizer, HalfFloat, Direct, ProductQuantizer, RefinedProduct, ResidualQuantizer, LocalSearchQuantizer, ProductOf, RowwiseMinMax, OneBit, SignBits)

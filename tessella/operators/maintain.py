@@ -132,3 +132,19 @@ def cluster_major(lists: DataFrame) -> DataFrame:
     starts = sizes.withColumn("start", before).select("list_no", "start")
     inside = F.row_number().over(Window.partitionBy("list_no").orderBy("doc_id")) - 1
     return lists.select("doc_id", "list_no").withColumn("inside", inside).join(starts, "list_no").select("doc_id", "list_no", (F.col("start") + F.col("inside")).alias("position"))
+
+
+def replace_quantiser(lists: DataFrame, centroids: DataFrame, metric: str = "inner_product") -> DataFrame:
+    """The same documents in the lists of other centroids."""
+    return build_lists(lists.drop("list_no"), centroids, metric).select(lists.columns)
+
+
+def direct_map(lists: DataFrame) -> DataFrame:
+    """Where each document is: its list and its place in it, by ascending id."""
+    place = F.row_number().over(Window.partitionBy("list_no").orderBy("doc_id")) - 1
+    return lists.select("doc_id", "list_no", place.alias("place"))
+
+
+def inspect(lists: DataFrame) -> DataFrame:
+    """Number of documents, of lists with any, and of the documents in the smallest and largest of these."""
+    return list_sizes(lists).agg(F.sum("n").alias("documents"), F.count("*").alias("lists"), F.min("n").alias("least"), F.max("n").alias("most"))

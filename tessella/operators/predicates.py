@@ -40,18 +40,20 @@ def conjunction(postings: DataFrame, preds: DataFrame) -> DataFrame:
     return rarest.join(need, "qid").join(met, ["qid", "doc_id"], "left").filter(F.coalesce("met", F.lit(0)) + 1 == F.col("need")).select("qid", "doc_id")
 
 
-def ranges(docs: DataFrame, preds: DataFrame, attr: str = "attr", width: float | None = None) -> DataFrame:
-    """Documents with ``lo <= attr < hi``. Both sides meet in cells of ``width``, so this is an equi-join, not a loop.
+def ranges(docs: DataFrame, preds: DataFrame, attr: str = "attr") -> DataFrame:
+    """Documents with ``lo <= attr < hi``, by an equi-join on cells, not a loop.
 
-    By default a cell is as wide as the widest predicate, which then spans two cells at most.
+    A predicate goes into two cells, or one, of the least power of two that is not narrower than it, so cells are as
+    narrow as each predicate allows and a wide one makes no other's cell wide. Documents go into one cell of each width
+    that some predicate has.
     """
-    if width is None:
-        width = preds.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
-    width = float(width) if width else 1.0
-    cells = F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))
-    spread = preds.filter("lo < hi").select("qid", "lo", "hi", F.explode(cells).alias("__cell"))
-    placed = docs.select("doc_id", F.col(attr).alias("__x")).withColumn("__cell", F.floor(F.col("__x") / width))
-    return spread.join(placed, "__cell").filter("__x >= lo and __x < hi").select("qid", "doc_id")
+    spans = preds.filter("lo < hi").withColumn("__level", F.ceil(F.log2((F.col("hi") - F.col("lo")).cast("double"))).cast("int"))
+    levels = sorted(r["__level"] for r in spans.select("__level").distinct().collect())
+    cell = lambda x: F.floor(F.col(x) / F.pow(F.lit(2.0), F.col("__level")))
+    spread = spans.select("qid", "lo", "hi", "__level", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("__cell"))
+    placed = docs.select("doc_id", F.col(attr).alias("__x"), F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("__level"))
+    placed = placed.withColumn("__cell", cell("__x"))
+    return spread.join(placed, ["__level", "__cell"]).filter("__x >= lo and __x < hi").select("qid", "doc_id")
 
 
 def check_ranges(preds: DataFrame) -> DataFrame:
@@ -114,6 +116,45 @@ def from_bitmaps(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.select("qid", "bucket", F.explode(present).alias("i")).select("qid", ident.cast("long").alias("doc_id"))
 
 
+def transpose(legal: DataFrame) -> DataFrame:
+    """The queries that may see each document: (doc_id, qids), ascending. As long as the relation, so for stated query sets."""
+    return legal.groupBy("doc_id").agg(F.array_sort(F.collect_set("qid")).alias("qids"))
+
+
+def filter_postings(postings: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Each query's documents of a term list (qid, term, doc_id) that its bitmap holds."""
+    return postings.join(from_bitmaps(bitmaps), ["qid", "doc_id"], "left_semi")
+
+
+def to_byte_masks(legal: DataFrame, size: int = 1024) -> DataFrame:
+    """(qid, bucket, mask): for each ``size`` ids in a row that hold any, a byte an id, 1 if the query may see it."""
+    placed = legal.select("qid", F.floor(F.col("doc_id") / size).cast("long").alias("bucket"), F.pmod("doc_id", F.lit(size)).cast("int").alias("at")).distinct()
+    held = placed.groupBy("qid", "bucket").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    # the zeros before each one, and those behind the last
+    gaps = F.transform("at", lambda x, i: F.concat(F.repeat(F.lit("00"), x - 1 - F.when(i > 0, F.get("at", i - 1)).otherwise(-1)), F.lit("01")))
+    text = F.concat(F.array_join(gaps, ""), F.repeat(F.lit("00"), size - 1 - F.element_at("at", -1)))
+    return held.select("qid", "bucket", F.unhex(text).alias("mask"))
+
+
+def from_byte_masks(masks: DataFrame, size: int = 1024) -> DataFrame:
+    ones = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.hex(F.substring("mask", i + 1, F.lit(1))) == "01")
+    return masks.select("qid", "bucket", F.explode(ones).alias("i")).select("qid", (F.col("bucket") * size + F.col("i")).alias("doc_id"))
+
+
+def to_masks(legal: DataFrame, form: str = "bits") -> DataFrame:
+    """Masks in the form that a consumer reads: packed ``bits`` or ``bytes``."""
+    if form not in ("bits", "bytes"):
+        raise ValueError(f"unknown form {form!r}")
+    return to_bitmaps(legal) if form == "bits" else to_byte_masks(legal)
+
+
+def range_index(docs: DataFrame, attr: str = "attr") -> DataFrame:
+    """(place, doc_id, attr) in order of the attribute, then id: what a range lookup needs."""
+    from tessella.operators.topk import argsort
+
+    return argsort(docs.select("doc_id", attr), attr, "doc_id")
+
+
 def reorder(legal: DataFrame, order: DataFrame) -> DataFrame:
     """Masks under new numbers: ``order`` maps doc_id to position."""
     return legal.join(order.select("doc_id", "position"), "doc_id").select("qid", F.col("position").alias("doc_id"))
@@ -144,6 +185,55 @@ class Selector:
         return Selector(lambda c: ~self.on(c))
 
 
+@dataclass(frozen=True)
+class Selector2D:
+    """A condition on (query, document). ``&`` also takes a :class:`Selector`, which then holds for every query."""
+
+    test: object
+
+    def on(self, qid: str | Column = "qid", ident: str | Column = "doc_id") -> Column:
+        return self.test(*(F.col(c) if isinstance(c, str) else c for c in (qid, ident)))
+
+    def __and__(self, other: Selector2D | Selector) -> Selector2D:
+        if isinstance(other, Selector):
+            return Selector2D(lambda q, c: self.on(q, c) & other.on(c))
+        return Selector2D(lambda q, c: self.on(q, c) & other.on(q, c))
+
+    def for_query(self, qid: int) -> Selector:
+        """The selector on documents that one query has."""
+        return Selector(lambda c: self.on(F.lit(qid), c))
+
+
+def pairs_where(test) -> Selector2D:
+    """From a function of two Columns."""
+    return Selector2D(test)
+
+
+def pairs_callback(member) -> Selector2D:
+    """A Python test of (query, document), run on whole Arrow batches."""
+
+    @F.pandas_udf("boolean")
+    def test(qids, ids):
+        import pandas as pd
+
+        return pd.Series([bool(member(int(q), int(i))) for q, i in zip(qids, ids)])
+
+    return Selector2D(lambda q, c: test(q, c))
+
+
+def only_pairs(rows: DataFrame, legal: DataFrame) -> DataFrame:
+    """Rows (qid, doc_id, ...) that the hashed relation ``legal`` allows."""
+    return rows.join(legal.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
+
+
+def only_in_bitmaps(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Rows (qid, doc_id, ...) whose bit is set in their query's bitmap."""
+    at = rows.withColumn("bucket", F.expr("bitmap_bucket_number(doc_id)")).withColumn("__bit", F.expr("bitmap_bit_position(doc_id)"))
+    octet = F.conv(F.hex(F.substring("bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("getbit", octet, (F.col("__bit") % 8).cast("int")) == 1
+    return at.join(bitmaps, ["qid", "bucket"]).filter(held).select(rows.columns)
+
+
 def everything() -> Selector:
     return Selector(lambda c: F.lit(True))
 

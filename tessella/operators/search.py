@@ -122,8 +122,11 @@ def scan(docs: DataFrame, queries: DataFrame, k: int, metric: str = "inner_produ
 
 
 def _with_best_lists(rows: DataFrame, centroids: DataFrame, metric: str, n: int, vec: str) -> DataFrame:
-    """``rows`` with ``__best``: their ``n`` best lists as (score, list_no), compared inside each row. The centroids go along
-    as one array, so nothing is exchanged."""
+    """``rows`` with ``__best``: their ``n`` best lists as (score, list_no). The centroids go along as a constant, so nothing is
+    exchanged. From 256 centroids inner products and L2 are matrix products of Arrow batches; fewer, and other metrics,
+    are compared inside each row."""
+    if metric in ("inner_product", "l2") and (known := centroids.select("list_no", V.doubles("cvec").alias("cvec")).toArrow()).num_rows >= 256:
+        return _with_best_products(rows, known, metric, n, vec)
     table = centroids.agg(F.collect_list(F.struct("list_no", "cvec")).alias("__lists"))
     sign = 1 if V.is_similarity(metric) else -1
     scored = F.transform("__lists", lambda c: F.struct((V.distance(metric, vec, c["cvec"]) * sign).alias("s"), (-c["list_no"]).alias("l")))
@@ -132,6 +135,30 @@ def _with_best_lists(rows: DataFrame, centroids: DataFrame, metric: str, n: int,
     return rows.crossJoin(F.broadcast(table)).withColumn("__best", named).drop("__lists")
 
 
+def _with_best_products(rows: DataFrame, known: pa.Table, metric: str, n: int, vec: str) -> DataFrame:
+    numbers = known.column("list_no").to_numpy().astype(np.int32)
+    order = np.argsort(numbers)
+    numbers, centres = numbers[order], np.array(known.column("cvec").to_pylist(), np.float64)[order]
+    half = (centres * centres).sum(1)
+
+    @F.pandas_udf("array<struct<score:double,list_no:int>>")
+    def best(v):
+        import pandas as pd
+
+        out = []
+        for a in range(0, len(v), 1024):
+            x = np.array(v[a : a + 1024].tolist(), np.float64).reshape(len(v[a : a + 1024]), -1)
+            score = x @ centres.T
+            if metric == "l2":
+                score = 2 * score - half - (x * x).sum(1)[:, None]
+            top = np.argsort(-score, axis=1, kind="stable")[:, :n]
+            sign = -1 if metric == "l2" else 1
+            out += [[{"score": sign * s[i], "list_no": numbers[i]} for i in t] for s, t in zip(score, top)]
+        return pd.Series(out)
+
+    return rows.withColumn("__best", best(V.doubles(vec)))
+
+
 def assign(docs: DataFrame, centroids: DataFrame, metric: str = "inner_product", n: int = 1) -> DataFrame:
     """``doc_id`` and the ``list_no`` of its ``n`` best centroids (ties: the smaller list), with their rank from 1.
 
@@ -179,6 +206,46 @@ def preassigned(lists: DataFrame, queries: DataFrame, probes: DataFrame, k: int,
     return top_k(scan_lists(lists, queries, probes, metric, on), k, V.is_similarity(metric))
 
 
+def list_major(lists: DataFrame, queries: DataFrame, probes: DataFrame, k: int, metric: str = "inner_product", piece: int = 16_384) -> DataFrame:
+    """The same for many queries: all that probe a list meet it in one matrix product, list by list, for inner product or L2.
+
+    A list over ``piece`` entries is dealt into pieces, so a task holds one piece and the queries that probe its list.
+    """
+    similar = V.is_similarity(metric)
+    sizes = lists.groupBy("list_no").agg(F.ceil(F.count("*") / piece).cast("int").alias("__pieces"))
+    asked = probes.filter("list_no >= 0").select("qid", "list_no").join(queries.select("qid", V.doubles("qvec").alias("vec")), "qid").join(F.broadcast(sizes), "list_no")
+    asked = asked.select("list_no", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)).alias("piece"), "qid", "vec")
+    own = lists.join(F.broadcast(sizes), "list_no").select("list_no", F.pmod(F.xxhash64("doc_id"), F.col("__pieces")).cast("int").alias("piece"), "doc_id", V.doubles("vec").alias("vec"))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return np.asarray(table.column("vec").combine_chunks().flatten()).reshape(table.num_rows, -1)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        q, x = matrix(left), matrix(right)
+        qids, ids = left.column("qid").to_numpy().astype(np.int64), right.column("doc_id").to_numpy().astype(np.int64)
+        score = q @ x.T
+        if not similar:
+            score = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * score
+        top = [np.lexsort((ids, -own if similar else own))[:k] for own in score]
+        return pa.table({"qid": np.repeat(qids, [len(t) for t in top]), "doc_id": ids[np.concatenate(top)], "score": np.concatenate([own[t] for own, t in zip(score, top)])})
+
+    found = asked.groupBy("list_no", "piece").cogroup(own.groupBy("list_no", "piece")).applyInArrow(best, "qid long, doc_id long, score double")
+    return top_k(found, k, similar)
+
+
+def search_stats(probes: DataFrame, lists: DataFrame, on: Column | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """What a probed search costs: queries, lists visited, documents read, and documents that the predicate ``on`` (a condition
+    on ``queries`` and documents) then lets through."""
+    read = probes.filter("list_no >= 0").join(lists, "list_no")
+    passed = F.count("*")
+    if on is not None:
+        read, passed = read.join(queries, "qid"), F.count_if(on)
+    counts = read.agg(F.count("*").alias("documents"), passed.alias("scored"))
+    return probes.agg(F.countDistinct("qid").alias("queries"), F.count_if(F.col("list_no") >= 0).alias("lists")).crossJoin(F.broadcast(counts))
+
+
 def ivf_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, nprobe: int, metric: str = "inner_product", on: Column | None = None, max_codes: int | None = None) -> DataFrame:
     probes = coarse(queries, centroids, nprobe, metric)
     if max_codes is not None:

@@ -41,6 +41,37 @@ def extrema(df: DataFrame, by: str = "qid", score: str = "score", ident: str = "
     return df.groupBy(by).agg(F.min(low)[score].alias("least"), F.min(low)[ident].alias("least_id"), F.max(high)[score].alias("largest"), (-F.max(high)["n"]).alias("largest_id"))
 
 
+def approximate_top_k(df: DataFrame, k: int, similar: bool, buckets: int, by: str = "qid") -> DataFrame:
+    """The best row of each of ``buckets`` buckets of ids, of which the best ``k`` stay: no more than that are compared, and a
+    bucket's second best is lost."""
+    best = top_k(df.withColumn("__b", F.struct(by, F.pmod("doc_id", F.lit(buckets)).alias("b"))), 1, similar, "__b").drop("__b", "rank")
+    return top_k(best, k, similar, by)
+
+
+def partition(df: DataFrame, n: int, similar: bool, by: str = "qid") -> DataFrame:
+    """The ``n`` best rows of each ``by`` in no order, with the threshold (the n-th best score) beside them."""
+    rows = top_k(df, n, similar, by)
+    cut = rows.groupBy(by).agg((F.min("score") if similar else F.max("score")).alias("threshold"))
+    return rows.drop("rank").join(cut, by)
+
+
+def fuzzy_partition(df: DataFrame, least: int, most: int, similar: bool, by: str = "qid") -> DataFrame:
+    """Between ``least`` and ``most`` best rows of each ``by``: all whose score ties with the ``least``-th, up to ``most``."""
+    rows = top_k(df, most, similar, by)
+    cut = rows.filter(F.col("rank") <= least).groupBy(by).agg((F.min("score") if similar else F.max("score")).alias("threshold"))
+    inside = F.col("score") >= F.col("threshold") if similar else F.col("score") <= F.col("threshold")
+    return rows.join(cut, by).filter(inside).drop("rank")
+
+
+def handle_ties(results: DataFrame, by: str = "qid") -> DataFrame:
+    """Results (rank, doc_id, score) with the ids of each run of equal scores in ascending order on the run's ranks."""
+    order = Window.partitionBy(by).orderBy("rank")
+    run = F.sum((F.coalesce(F.col("score") != F.lag("score").over(order), F.lit(False))).cast("int")).over(order)
+    rows = results.withColumn("__run", run)
+    again = F.row_number().over(Window.partitionBy(by).orderBy("__run", "doc_id"))
+    return rows.withColumn("rank", again).drop("__run")
+
+
 def argsort(df: DataFrame, value: str, ident: str, out: str = "place") -> DataFrame:
     """Place of each row by value from 0, without one task for all: ranges are sorted apart and offset by their counts."""
     dealt = df.repartitionByRange(F.col(value), F.col(ident)).withColumn("__range", F.spark_partition_id())

@@ -595,3 +595,6 @@ def binary_multi_hash(spark, sf):
 @query(f"with {_CODES_SQL} select qid, count(*) filter ({_HAMMING} <= 24) n from q, docs group by 1")
 def binary_count(spark, sf):
     return binary.count_within(*_codes(spark, sf), 24)
+
+
+from tessella.plans import catalog_operators  # noqa: E402, F401  registers the rest

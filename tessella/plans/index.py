@@ -13,11 +13,20 @@ from tessella.plans.factory import IndexSpec, parse
 class Index:
     """``train`` fits transforms, lists and codec on documents (doc_id, vec); ``add`` puts documents in.
 
-    Graph descriptions are answered by exact search, which finds at least what a graph would.
+    Descriptions that parse but name something that is not built (graphs, lattice and spectral codecs) are errors; with
+    ``exact_graphs`` a graph is answered by exact search, which finds at least what it would. Bit vectors are searched by
+    :mod:`tessella.operators.binary`.
     """
 
-    def __init__(self, description: str | IndexSpec, metric: str = "l2"):
+    def __init__(self, description: str | IndexSpec, metric: str = "l2", exact_graphs: bool = False):
         self.spec = parse(description) if isinstance(description, str) else description
+        kind = self.spec.codec[0]
+        if self.spec.binary:
+            raise ValueError("bit vectors have operators of their own")
+        if kind in ("lattice", "spectral") or kind == "graph" and not exact_graphs:
+            raise ValueError(f"an index of kind {kind!r} is not built")
+        if kind in ("lsh", "rabit") and (metric != "l2" or self.spec.coarse):
+            raise ValueError(f"{kind!r} is built for L2 without lists")
         self.metric = metric
         self.chain = transforms.Chain()
         self.centroids: DataFrame | None = None
@@ -67,8 +76,14 @@ class Index:
         kind, a = self.spec.codec
         if kind == "sq":
             return codecs.HalfFloat(a[0] == "bf16") if a[0] in ("fp16", "bf16") else codecs.Direct("signed" in a[0]) if "direct" in str(a[0]) else codecs.ScalarQuantizer.fit(docs, int(a[0]))
-        if kind in ("pq", "pq_refined"):
-            return codecs.ProductQuantizer.fit(docs, a[0], 1 << (a[1] or 8) if kind == "pq" else 256)
+        if kind == "pq":
+            return codecs.ProductQuantizer.fit(docs, a[0], 1 << (a[1] or 8))
+        if kind == "pq_refined":
+            return codecs.RefinedProduct.fit(docs, a[0], a[1])
+        if kind == "rabit":
+            return codecs.OneBit.fit(docs)
+        if kind == "lsh":
+            return codecs.SignBits.fit(docs, a[0], bool(a[1]), bool(a[2]))
         if kind == "additive":
             return (codecs.LocalSearchQuantizer if a[0].startswith("LS") else codecs.ResidualQuantizer).fit(docs, a[1], 1 << a[2])
         if kind == "product_additive":
@@ -117,7 +132,12 @@ class Index:
         """(qid, doc_id, score, rank); ``on`` is a condition on qid and doc_id."""
         asked, n = self._queries(queries), k if self.spec.refine is None else int(k * k_factor)
         if self.centroids is not None:
-            found = search.ivf_search(self.vectors(), asked, self.centroids, n, nprobe, self.metric, on, max_codes)
+            probes = search.coarse(asked, self.centroids, nprobe, self.metric)
+            if max_codes is not None:
+                probes = search.limit_codes(probes, self.rows, max_codes)
+            found = self._scan(asked, probes, n, on)
+        elif self.spec.codec[0] == "flat_dedup" and on is None:
+            found = search.dedup_search(self.vectors(), asked, n, self.metric)
         elif self.codec is not None and on is None:
             found = self.codec.search(self.rows, asked, n, self.metric)
         else:
@@ -127,6 +147,15 @@ class Index:
         raw = self.rows.select("doc_id", F.col("raw").alias("vec"))
         return search.refine(found, raw, queries, k, self.metric)
 
+    def _scan(self, asked: DataFrame, probes: DataFrame, n: int, on: Column | None) -> DataFrame:
+        """Search of probed lists: product codes by each query's tables, other codes decoded once in the lists that any query
+        probes."""
+        if isinstance(self.codec, codecs.ProductQuantizer):
+            return self.codec.search(self.rows, asked, n, self.metric, probes, on)
+        rows = self.rows.join(probes.select("list_no").distinct(), "list_no", "left_semi")
+        rows = (self.codec.decoded(rows) if self.codec else rows).select("doc_id", "vec", "list_no")
+        return search.preassigned(rows, asked, probes, n, self.metric, on)
+
     def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1) -> DataFrame:
         asked = self._queries(queries)
         if self.centroids is None:
@@ -136,18 +165,57 @@ class Index:
     def assign(self, queries: DataFrame) -> DataFrame:
         return top_k(self.search(queries, 1), 1, self.metric in ("inner_product", "jaccard")).select("qid", "doc_id")
 
+    def clone(self) -> Index:
+        """Another index of the same parts; what is added to one the other does not have."""
+        other = Index(self.spec, self.metric, exact_graphs=True)
+        other.chain.steps = list(self.chain.steps)
+        other.centroids, other.codec, other.rows = self.centroids, self.codec, self.rows
+        return other
+
     def save(self, path: str) -> None:
+        """All of it: rows and centroids as tables, transforms and codec as numbers in the manifest."""
         from tessella.sources.files import save_tables
 
         tables = {"rows": self.rows} | ({"centroids": self.centroids} if self.centroids is not None else {})
-        save_tables(tables, path, description=str(self.spec), metric=self.metric)
+        steps = [_plain(s) if isinstance(s, transforms.Linear) else None for s in self.chain.steps]
+        save_tables(tables, path, description=str(self.spec), metric=self.metric, steps=steps, codec=None if self.codec is None else _plain(self.codec))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        """A saved index. One with transforms or a trained codec is loaded into an index trained alike: see ``rows``."""
         from tessella.sources.files import load_tables
 
         tables, facts = load_tables(spark, path)
-        index = Index(facts["description"], facts["metric"])
+        index = Index(facts["description"], facts["metric"], exact_graphs=True)
+        for (kind, a), step in zip(index.spec.transforms, facts["steps"]):
+            index.chain.steps.append(_object(step) if step is not None else transforms.pad(a[0]) if kind == "pad" else transforms.normalization)
+        index.codec = None if facts["codec"] is None else _object(facts["codec"])
         index.rows, index.centroids = tables["rows"], tables.get("centroids")
         return index
+
+
+def _plain(x):
+    """Numbers, lists and mappings that stand for a transform or codec."""
+    import numpy as np
+
+    if isinstance(x, np.ndarray):
+        return {"shape": list(x.shape), "numbers": x.ravel().tolist()}
+    if isinstance(x, list):
+        return [_plain(i) for i in x]
+    if isinstance(x, (transforms.Linear, codecs.Codec)):
+        return {"kind": type(x).__name__, "parts": {k: _plain(v) for k, v in vars(x).items()}}
+    return x
+
+
+def _object(x):
+    import numpy as np
+
+    if isinstance(x, list):
+        return [_object(i) for i in x]
+    if isinstance(x, dict) and "shape" in x:
+        return np.array(x["numbers"]).reshape(x["shape"])
+    if isinstance(x, dict):
+        known = {c.__name__: c for c in (transforms.Linear, *codecs.KINDS)}
+        out = object.__new__(known[x["kind"]])
+        vars(out).update({k: _object(v) for k, v in x["parts"].items()})
+        return out
+    return x

@@ -131,6 +131,60 @@ def synthetic(spark: SparkSession, n: int, d: int, seed: int = 1338, latent: int
     return random_vectors(spark, n, latent, seed).select("doc_id", F.transform(matrix, lambda r: F.sin(inner_product(r, "vec")).cast("float")).alias("vec"))
 
 
+def smooth(spark: SparkSession, n: int, d: int, seed: int = 1234, latent: int = 8) -> DataFrame:
+    """(doc_id, vec) with components between 0 and 1 that vary smoothly with a few uniform numbers: a sine of a linear image
+    of them, moved and halved."""
+    rng = np.random.default_rng(seed)
+    matrix = F.array(*[F.array(*map(F.lit, map(float, r))) for r in rng.normal(size=(d, latent)) * 2])
+    from tessella.functions.vectors import inner_product
+
+    return random_vectors(spark, n, latent, seed, normal=False).select("doc_id", F.transform(matrix, lambda r: ((F.sin(inner_product(r, "vec")) + 1) / 2).cast("float")).alias("vec"))
+
+
+def read_truth(table: DataFrame, start: int, count: int, k: int) -> DataFrame:
+    """Queries start..start+count-1 of a ground truth (qid, rank, doc_id), their first ``k``; a query with fewer is an error."""
+    rows = table.filter((F.col("qid") >= start) & (F.col("qid") < start + count) & (F.col("rank") <= k))
+    short = rows.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") < k)
+    if not short.isEmpty():
+        raise ValueError(f"a query has fewer than {k} true neighbours")
+    return rows
+
+
+def write_lists(lists: DataFrame, path: str) -> None:
+    """Inverted lists on disk, a folder a list: a probe reads its lists' folders alone."""
+    lists.repartition("list_no").sortWithinPartitions("list_no", "doc_id").write.partitionBy("list_no").mode("errorifexists").parquet(path)
+
+
+def read_lists(spark: SparkSession, *paths: str) -> DataFrame:
+    """Lists on disk; of several shards, merged list by list."""
+    return spark.read.parquet(paths[0]) if len(paths) == 1 else read_lists(spark, paths[0]).unionByName(read_lists(spark, *paths[1:]))
+
+
+def merge_lists(spark: SparkSession, paths: list[str], path: str) -> None:
+    """Shards on disk as one set of lists."""
+    write_lists(read_lists(spark, *paths), path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all workers see: in ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(base or tempfile.gettempdir() + '/tessella-shared').rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
+    """One file through Spark's own file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(raw))
+    finally:
+        stream.close()
+
+
 def permutation(docs: DataFrame, seed: int = 0) -> DataFrame:
     return docs.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
 

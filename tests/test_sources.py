@@ -97,7 +97,7 @@ def test_descriptions_say_what_they_mean():
 @pytest.mark.parametrize("text, least", [("Flat", 1.0), ("IVF4,Flat", 1.0), ("SQ8", 0.9), ("PCA6,Flat", 0.5), ("IVF4,PQ4x4,RFlat", 0.8), ("RQ4x4", 0.3), ("IMI2x1,Flat", 1.0), ("HNSW16", 1.0), ("RR,SQfp16", 0.9)])
 def test_indexes_find_neighbours(spark, docs, text, least):
     queries = docs.limit(6).select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
-    index = Index(text).train(docs, rounds=3).add(docs)
+    index = Index(text, exact_graphs=True).train(docs, rounds=3).add(docs)
     got = {(r.qid, r.doc_id) for r in index.search(queries, 5, nprobe=4).collect()}
     want = {(r.qid, r.doc_id) for r in Index("Flat").train(docs).add(docs).search(queries, 5).collect()}
     assert len(got & want) >= least * len(want)

@@ -31,7 +31,18 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to shared storage and read it back: lineage ends there, and lost executors lose nothing."""
     path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of staged tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(doc_id: str = "doc_id") -> Column:

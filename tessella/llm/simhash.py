@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import slices, stage, starts_of, tokens
+from tessella.llm.common import discard, slices, stage, starts_of, tokens
 
 #: Shingles hashed at a time.
 CHUNK = 1 << 18
@@ -377,7 +377,7 @@ class _Nearest:
 
 
 #: Bytes of a sketch: how many of a text's shingles fall into each of so many classes.
-SKETCH = 128
+SKETCH = 64
 
 
 def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -472,8 +472,11 @@ def hamming_links(fps: DataFrame, limit: int = 4, group: int = 50_000, depth: in
     return _search_groups(done, ["node"], limit, 32)
 
 
-def _and(some: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if some is None else some.unionByName(more)
+def _and(*tables: DataFrame | None) -> DataFrame:
+    out = None
+    for t in tables:
+        out = t if out is None else out if t is None else out.unionByName(t)
+    return out
 
 
 def _meeting(classes: DataFrame, parts: int = 10, agree: int = 2) -> DataFrame:
@@ -525,7 +528,7 @@ def shared_sets(sets: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(sketch, "node long, n long, set array<long>, sketch binary")
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32, block: int = 20_000) -> DataFrame:
+def similar_links(docs: DataFrame, classes: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32, block: int = 20_000) -> list[DataFrame]:
     """Verified links (a, b) that connect all classes (``node``, ``doc_id``, ``text_hash``, ``fp``, ``fp1``) joined by such links.
 
     Candidates are classes that meet (see :func:`_meeting`) and differ in at most ``limit`` of 128 bits: at a similarity of
@@ -538,37 +541,57 @@ def similar_links(docs: DataFrame, classes: DataFrame, k: int = 5, similarity: f
     near = stage(_search_groups(_split(_meeting(classes.select("node", "fp", "fp1")), block), ["fp", "fp1"], limit, 256))
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     some = stage(classes.join(nodes, "node"))
-    texts = _with_keys(docs, stage(_as_keys(some)), "left_semi")
-    sets = stage(with_sets(texts, k).join(some.select("node"), "node").groupBy("node").agg(F.first("set").alias("set")))
-    sets = stage(shared_sets(sets, similarity))
-    links = stage(verified(near.groupBy("b").agg(F.min("a").alias("a")), sets, similarity))
-    state = some.select("node", "fp", "fp1").join(sets.select("node", "n", "sketch"), "node")
+    keys = stage(_as_keys(some))
+    found = stage(with_sets(_with_keys(docs, keys, "left_semi"), k).join(some.select("node"), "node").groupBy("node").agg(F.first("set").alias("set")))
+    sets = stage(shared_sets(found, similarity))
+    # what candidates connect: classes of two such parts are no candidates
+    part = components(near).withColumnRenamed("root", "part")
+    state = stage(some.select("node", "fp", "fp1").join(sets.select("node", "n", "sketch"), "node").join(part, "node"))
+    links = [stage(verified(near.groupBy("b").agg(F.min("a").alias("a")), sets, similarity))]
+    discard(near, some, keys, found, part)
     most = 2
     while True:
-        roots = components(links).withColumnRenamed("root", "label")
-        state = stage(state.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        state = _apart(state, _and(*links))
         near = stage(nearest(_meeting(state), limit, most, similarity, block))
         if near.isEmpty():
+            discard(near, state, sets)
             return links
-        links = links.unionByName(stage(verified(_pairs(near), sets, similarity)))
+        links.append(stage(verified(_pairs(near), sets, similarity)))
         last = F.get(F.col("top"), F.lit(most - 1))
-        state = state.drop("seen_d", "seen").join(near.filter(F.size("top") == most).select("node", last["d"].alias("seen_d"), last["other"].alias("seen")), "node")
+        seen = near.filter(F.size("top") == most).select("node", last["d"].alias("seen_d"), last["other"].alias("seen"))
+        before, state = (state, near), stage(state.drop("seen_d", "seen").join(seen, "node"))
+        discard(*before)
         most *= 4
 
 
+def _apart(state: DataFrame, links: DataFrame) -> DataFrame:
+    """``state`` with the ``label`` that ``links`` give, but for the parts that have come to one label; the old one goes."""
+    roots = components(links)
+    named = stage(state.drop("label").join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    several = named.groupBy("part").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("part")
+    out = stage(named.join(several, "part", "left_semi"))
+    discard(roots, named, state)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (its component's smallest node) for every node of ``links`` (a, b): least labels spread along
-    links and then jump to their own label's label, until nothing changes. Every round is written to shared storage."""
+    links and then jump to their own label's label, until nothing changes. Every round is written to shared storage, in
+    as few files as its rows need, and the round before it removed."""
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     both = stage(both.filter("node <> other").distinct())
-    state = stage(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+    files = max(1, both.count() // 50_000)
+    state = stage(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")).coalesce(files))
     while True:
         heard = both.join(state.select(F.col("node").alias("other"), F.col("root").alias("said")), "other").groupBy("node").agg(F.min("said").alias("said"))
         spread = state.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "said").alias("root"))
         jump = state.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        after = stage(spread.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("further", "root")).alias("root")))
+        after = stage(spread.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("further", "root")).alias("root")).coalesce(files))
+        discard(state)
         state = after.select("node", "root")
+        state._staged_at = after._staged_at
         if after.filter("root <> was").isEmpty():
+            discard(both)
             return state
 
 
@@ -597,15 +620,19 @@ def _classed(docs: DataFrame, k: int, similarity: float, limit: int, block: int)
     prints = stage(with_set_prints(docs, k))
     least = F.min(F.struct("doc_id", "text_hash")).alias("least")
     classes = stage(prints.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("fp", "fp1")]).select("node", "least.doc_id", "least.text_hash", "fp", "fp1"))
-    roots = components(similar_links(docs, classes, k, similarity, limit, block))
-    return prints.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    links = similar_links(docs, classes, k, similarity, limit, block)
+    roots = components(_and(*links))
+    discard(classes, *links)
+    out = stage(prints.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
+    discard(prints, roots)
+    return out
 
 
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32, block: int = 20_000) -> DataFrame:
     """``doc_id`` and ``component_id`` (its smallest doc_id) of every row with an id: components of texts whose sets of
     ``k``-word shingles have a Jaccard similarity of ``similarity`` or more. SimHash finds the candidates, see
     :func:`similar_links`. Null and blank texts have the same (empty) set; empty in, empty out."""
-    rows = stage(_classed(docs, k, similarity, limit, block))
+    rows = _classed(docs, k, similarity, limit, block)
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root").select("doc_id", "component_id")
 
@@ -617,11 +644,12 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, limit: int =
     JSON form sorts first stays. Rows without an id all stay; null and blank texts are copies of one another. Only ids and
     hashes move, unless more rows go than may be broadcast. Columns of any type and name are kept as they are.
     """
-    rows = stage(_classed(docs, k, similarity, limit, block))
+    rows = _classed(docs, k, similarity, limit, block)
     kept = stage(rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select("least.doc_id", "least.text_hash").distinct())
     each = stage(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).join(kept.withColumn("kept", F.lit(True)), ["doc_id", "text_hash"], "left"))
     gone = stage(_as_keys(each.filter("kept is null or rows > 1")))
     repeated = stage(_as_keys(each.filter("kept and rows > 1")))
+    discard(rows, kept, each)
     known = docs.filter("doc_id is not null")
     out = _with_keys(known, gone, "left_anti").unionByName(docs.filter("doc_id is null"))
     if not repeated.isEmpty():

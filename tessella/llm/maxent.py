@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,168 +9,163 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import slices, stage, starts_of, tokens
 
-#: Classes of frequent units and units of each; classes of all other words, by their last two bytes.
-COMMON, UNITS, RARE = 16, 64, 16
-CLASSES = COMMON + RARE
-#: Context symbols: a unit, the class of a rarer word, or nothing (before the text).
-SYMBOLS = COMMON * UNITS + RARE + 1
-#: Rows of hashed features: two-word contexts; features within a class.
-PAIRS, WITHIN = 1 << 15, 1 << 15
-ROWS = 1 + 3 * SYMBOLS + PAIRS
-#: Tokens of one gradient update, and its step.
-BATCH, STEP = 8192, 0.15
-#: Bytes of text whose words are looked up together.
-BLOCK = 4 << 20
+#: A unit has three digits to this base: its class, its class within that, and its place. The softmax is factored so.
+DIGIT = 16
+#: Units. The first TOP are the text's end and the most frequent words; the others are buckets of all other words, by hash.
+UNITS, TOP = DIGIT**3, DIGIT**3 // 2
+#: Rows of the three digits' features: one without context for each prefix of digits, and hashed ones (bits).
+PREFIXES, BITS = (1, DIGIT, DIGIT**2), (18, 19, 20)
+#: Rows that travel together.
+PIECE = 4096
+SIZES = tuple(-(-(p + (1 << b)) // PIECE) * PIECE for p, b in zip(PREFIXES, BITS))
+STARTS = (0, SIZES[0], SIZES[0] + SIZES[1])
+#: Tokens of one gradient update, its step, and what each row's sum of squared slopes starts from.
+BATCH, STEP, PRIOR = 8192, 0.15, 0.1
+#: Bytes of text whose words are looked up together, and that one worker learns from between two averages.
+BLOCK, SHARD = 12 << 20, 96 << 20
+#: Words whose counts every worker has; those of all others are joined.
+COMMON = 1 << 16
+#: What the context has before the text; hash of the end.
+_NONE, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 @dataclass
 class Model:
-    """``classes`` are feature rows over classes, ``units`` feature rows over a class's units; unit 0 is the text's end."""
+    """``tables`` hold a row of DIGIT weights for each feature of each digit; ``words`` are the common ones, ``counts`` how often
+    each occurs; ``mass`` is the smoothed count of each bucket's words, one unknown word included."""
 
-    words: list[str]
-    classes: np.ndarray
-    units: np.ndarray
+    words: pa.Array
+    counts: np.ndarray
+    tables: list[np.ndarray]
     mass: np.ndarray
     tokens: int
     distinct: int
     ends: int
 
 
-def rare_classes(words: pa.StringArray) -> np.ndarray:
-    """The class of each (non-empty) word outside the units: a hash of its last two bytes."""
-    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8).astype(np.uint32)
-    last, begin = ends[1:] - 1, ends[:-1]
-    return ((data[last] * 256 + np.where(last > begin, data[last - 1], 0)) * np.uint32(2_654_435_761) >> np.uint32(16)).astype(np.int64) % RARE
+def hashes(words: pa.Array) -> np.ndarray:
+    """XXH64 (seed 42) of each word."""
+    from xxhash import xxh64_intdigest
 
+    return np.fromiter((xxh64_intdigest(w, 42) for w in pc.cast(words, pa.binary()).to_pylist()), np.uint64, len(words))
 
-def symbols(words: pa.Array, units: pa.Array) -> np.ndarray:
-    """The symbol of each word: its unit's number (from 1), or that of its class of rarer words."""
-    at = pc.fill_null(pc.index_in(words, value_set=units), -1).to_numpy().astype(np.int64) + 1
-    rare = np.flatnonzero(at == 0)
-    if len(rare):
-        at[rare] = COMMON * UNITS + rare_classes(words)[rare]
-    return at
 
+def buckets(h: np.ndarray) -> np.ndarray:
+    """The unit that a word outside the most frequent ones is in."""
+    return TOP + (h >> np.uint64(40)).astype(np.int64) % (UNITS - TOP)
 
-def sequence(symbol: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Symbols of all texts with an end (unit 0) behind each."""
-    return np.insert(symbol, starts_of(counts)[1:], 0)
 
+def units_of(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Units of words by hash and place among the common ones (-1: not one of them)."""
+    return np.where((place >= 0) & (place < TOP - 1), place + 1, buckets(h))
 
-def _mix(a: np.ndarray, b: np.ndarray | int, rows: int) -> np.ndarray:
-    x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(b).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % rows
 
+def sequence(values: np.ndarray, counts: np.ndarray, end) -> np.ndarray:
+    """Values of all texts' words with ``end`` behind each text."""
+    return np.insert(values, starts_of(counts)[1:], end)
 
-def feature_rows(seq: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rows of the active features of each token: none, the word before, those two and three before alone (skips), the
-    two before together."""
-    place = np.arange(len(seq)) - np.repeat(starts_of(counts + 1)[:-1], counts + 1)
+
+def contexts(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Hashed contexts of each token: the word before, those two and three before alone (skips), the two before together."""
+    place = np.arange(len(h)) - np.repeat(starts_of(counts + 1)[:-1], counts + 1)
     before = []
     for back in (1, 2, 3):
-        own = np.full(len(seq), SYMBOLS - 1)
-        own[back:] = seq[:-back]
-        own[place < back] = SYMBOLS - 1
+        own = np.full(len(h), _NONE)
+        own[back:] = h[:-back]
+        own[place < back] = _NONE
         before.append(own)
     a, b, c = before
-    return np.stack([np.zeros(len(seq), np.int64), 1 + a, 1 + SYMBOLS + b, 1 + 2 * SYMBOLS + c, 1 + 3 * SYMBOLS + _mix(a, b + 1, PAIRS)])
+    out = []
+    for k, x in enumerate((a, b, c, a * _ODD[0] + (b ^ (b >> np.uint64(31))))):
+        x = (x ^ np.uint64(k + 1)) * _ODD[k]
+        out.append(x ^ (x >> np.uint64(29)))
+    return out
 
 
-def class_of(seq: np.ndarray) -> np.ndarray:
-    return np.where(seq < COMMON * UNITS, seq // UNITS, seq - COMMON * UNITS + COMMON)
+def digits_of(unit: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The three digits of each unit, and the prefix that each is chosen after."""
+    return [unit // DIGIT**2, unit // DIGIT % DIGIT, unit % DIGIT], [np.zeros(len(unit), np.int64), unit // DIGIT**2, unit // DIGIT]
 
 
-def within_rows(rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """The same features' rows inside a class: the class alone has a row of its own, the others are hashed with it."""
-    return np.concatenate([cls[None], COMMON + _mix(rows[1:], cls, WITHIN)])
+def feature_rows(ctx: list[np.ndarray], prefix: np.ndarray, digit: int) -> list[np.ndarray]:
+    """Rows of a digit's active features: the prefix alone, and each context with it."""
+    salt = (prefix.astype(np.uint64) + np.uint64(UNITS * (digit + 1))) * _ODD[1]
+    out = [prefix]
+    for x in ctx:
+        out.append(PREFIXES[digit] + (((x ^ salt) * _ODD[2]) >> np.uint64(64 - BITS[digit])).astype(np.int64))
+    return out
 
 
-def log_softmax(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Summed feature rows, turned into exp and its sum (the largest entry is 1)."""
+def _logits(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     total = table[rows[0]]
     for own in rows[1:]:
         total += table[own]
-    total -= total.max(1, keepdims=True)
-    e = np.exp(total)
-    return total, e
+    return np.minimum(total, 60, out=total)
 
 
-def _descend(table: np.ndarray, square: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+def _descend(table: np.ndarray, square: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
     """One update of the rows that are active, each with its own step length (AdaGrad), from these tokens' gradient."""
     n = len(target)
-    _, e = log_softmax(table, rows)
+    e = np.exp(_logits(table, rows))
     e /= e.sum(1, keepdims=True)
     e[np.arange(n), target] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort; neither table has more rows
+    flat = np.concatenate(rows)
+    order = np.argsort(flat)
     at = flat[order]
     cuts = np.flatnonzero(np.diff(at, prepend=-1))
-    size = np.diff(np.append(cuts, len(at)))
-    place = np.empty(len(flat), np.int64)
-    place[order] = np.repeat(np.arange(len(cuts)), size)
-    slope = np.empty((len(cuts), e.shape[1]), np.float32)
-    for column, own in enumerate(np.ascontiguousarray(e.T)):
-        slope[:, column] = np.bincount(place, weights=np.tile(own, len(rows)), minlength=len(cuts))
     own = at[cuts]
-    seen[own] += size
-    square[own] += np.square(slope).mean(1)
-    table[own] -= STEP * slope / np.sqrt(square[own] + 1e-8)[:, None]
-
-
-def learn(batches: Iterator[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Updates of both tables over (symbols, words per text) batches; also how often each row was active."""
-    state = [(t := np.array(table), np.zeros(len(t), np.float32), np.zeros(len(t), np.int64)) for table in (classes, units)]
-    for seq, counts in batches:
-        rows, cls = feature_rows(seq, counts), class_of(seq)
-        for a in range(0, len(seq), BATCH):
-            own, c = rows[:, a : a + BATCH], cls[a : a + BATCH]
-            _descend(*state[0], own, c)
-            common = np.flatnonzero(c < COMMON)
-            if len(common):
-                _descend(*state[1], within_rows(own[:, common], c[common]), seq[a : a + BATCH][common] % UNITS)
-    return state[0][0], state[0][2], state[1][0], state[1][2]
-
-
-def log_probability(seq: np.ndarray, counts: np.ndarray, model: Model) -> np.ndarray:
-    """log10 P(class | context), and for frequent units times P(unit | class, context), of every token."""
-    rows, cls = feature_rows(seq, counts), class_of(seq)
-    out = np.empty(len(seq))
-    for a in range(0, len(seq), BATCH):
-        own, c = rows[:, a : a + BATCH], cls[a : a + BATCH]
-        logit, e = log_softmax(model.classes, own)
-        out[a : a + BATCH] = logit[np.arange(len(c)), c] - np.log(e.sum(1))
-        common = np.flatnonzero(c < COMMON)
-        if len(common):
-            logit, e = log_softmax(model.units, within_rows(own[:, common], c[common]))
-            out[a + common] += logit[np.arange(len(common)), seq[a : a + BATCH][common] % UNITS] - np.log(e.sum(1))
+    slope = np.add.reduceat(e[order % n], cuts, axis=0)
+    seen[own] += np.diff(np.append(cuts, len(at)))
+    square[own] += np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
+    table[own] -= slope * (STEP / np.sqrt(square[own] + 1e-8))[:, None]
+
+
+def learn(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], tables: list[np.ndarray], squares: list[np.ndarray]) -> list[np.ndarray]:
+    """Updates of the tables, in place, over (units, hashes, words per text) batches; how often each row was active."""
+    seen = [np.zeros(len(t), np.int32) for t in tables]
+    for unit, h, counts in batches:
+        ctx, (digit, prefix) = contexts(h, counts), digits_of(unit)
+        for a in range(0, len(unit), BATCH):
+            own = slice(a, a + BATCH)
+            near = [x[own] for x in ctx]
+            for d in range(3):
+                _descend(tables[d], squares[d], seen[d], feature_rows(near, prefix[d][own], d), digit[d][own])
+    return seen
+
+
+def log_probability(unit: np.ndarray, h: np.ndarray, counts: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """log10 P(unit | context) of every token: the sum over its three digits."""
+    ctx, (digit, prefix) = contexts(h, counts), digits_of(unit)
+    out = np.empty(len(unit))
+    for a in range(0, len(unit), BATCH):
+        own = slice(a, a + BATCH)
+        near = [x[own] for x in ctx]
+        total = np.zeros(len(near[0]))
+        for d in range(3):
+            logit = _logits(tables[d], feature_rows(near, prefix[d][own], d))
+            total += logit[np.arange(len(total)), digit[d][own]] - np.log(np.exp(logit).sum(1))
+        out[own] = total
     return out / np.log(10)
 
 
-def _start(counts: list[int], mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tables that give the unigram distribution: only the rows without context differ from 0; missing units get nothing."""
-    classes, units = np.zeros((ROWS, CLASSES), np.float32), np.zeros((COMMON + WITHIN, UNITS), np.float32)
-    own = np.zeros(COMMON * UNITS)
-    own[: len(counts)] = np.array(counts) + 0.5
-    own = own.reshape(COMMON, UNITS)
-    with np.errstate(divide="ignore"):
-        units[:COMMON] = np.where(own > 0, np.log(own / np.maximum(own.sum(1, keepdims=True), 1e-9)), -1e9)
-        units[:COMMON][own.sum(1) == 0] = 0
-        total = np.concatenate([own.sum(1), mass])
-        classes[0] = np.where(total > 0, np.log(total / total.sum()), -1e9)
-    return classes, units
+def start(weight: np.ndarray) -> list[np.ndarray]:
+    """Rows without context that give the units' shares of ``weight``; a unit without any has next to none."""
+    own = np.maximum(weight, 1e-3).reshape(DIGIT, DIGIT, DIGIT)
+    sums = own.sum((1, 2))[None], own.sum(2), own.reshape(-1, DIGIT)
+    return [np.log(s / s.sum(1, keepdims=True)).astype(np.float32) for s in sums]
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
     """How often each word occurs in the rows marked for learning, counted by slice first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=BLOCK):
+        for batch in slices(batches, limit=4 << 20):
             _, flat = tokens(batch.column("text"))
             if len(flat):
                 got = pc.value_counts(flat)
@@ -180,90 +174,132 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.filter("learn").select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _mix_shards(shards: DataFrame) -> list:
-    """Each row's mean over all shards, weighted by how often it was active; a task adds up as rows stream in."""
+def _pieces(arrays: list[np.ndarray]) -> np.ndarray:
+    """Tables (or numbers a row) of all digits as equal pieces."""
+    return np.concatenate([np.pad(a, [(0, n - len(a)), *[(0, 0)] * (a.ndim - 1)]) for a, n in zip(arrays, SIZES)]).reshape(-1, PIECE, *arrays[0].shape[1:])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        weight: dict[int, int] = {}
-        for batch in batches:
-            for row, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(raw, np.float32).astype(np.float64) * n
-                total[row] = total[row] + own if row in total else own
-                weight[row] = weight.get(row, 0) + n
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([(total[r] / weight[r]).astype(np.float32).tobytes() for r in total], pa.binary())], names=["row", "delta"])
 
-    return shards.repartition("row").mapInArrow(add, "row long, delta binary").collect()
+def _tables(pieces: np.ndarray) -> list[np.ndarray]:
+    rows = pieces.reshape(-1, *pieces.shape[2:])
+    return [rows[a : a + p + (1 << b)] for a, p, b in zip(STARTS, PREFIXES, BITS)]
+
+
+def _round(texts: DataFrame, words: pa.Array, first: list[np.ndarray], known: tuple | None, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables (in pieces) after every shard of ``texts`` has learned from the same start, and their sums of squares.
+
+    Changes are averaged row by row, a shard weighing as much as it used the row; they travel in pieces of PIECE rows, as
+    half-precision numbers, and are added up where a piece's come together.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((words, first, known))
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, first, known = shared.value
+        if known is None:
+            tables = [np.zeros((p + (1 << b), DIGIT), np.float32) for p, b in zip(PREFIXES, BITS)]
+            for t, f in zip(tables, first):
+                t[: len(f)] = f
+            squares = [np.full(len(t), PRIOR, np.float32) for t in tables]
+        else:
+            tables, squares = ([x.astype(np.float32) for x in _tables(k)] for k in known)
+        before, old = _pieces(tables), _pieces(squares)
+
+        def read() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for batch in slices(batches, limit=2 << 20):
+                counts, flat = tokens(batch.column("text"))
+                code = pc.dictionary_encode(flat)
+                h = hashes(code.dictionary)
+                place = pc.fill_null(pc.index_in(code.dictionary, value_set=words), -1).to_numpy().astype(np.int64)
+                at = code.indices.to_numpy()
+                yield sequence(units_of(h, place)[at], counts, 0), sequence(h[at], counts, _END), counts
+
+        seen = _pieces(learn(read(), tables, squares))
+        after, now = _pieces(tables), _pieces(squares)
+        for i in np.flatnonzero(seen.any(1)):
+            parts = seen[i].astype(np.float32), (after[i] - before[i]).astype(np.float16), now[i] - old[i]
+            yield pa.RecordBatch.from_arrays([pa.array([i]), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], names=["piece", "seen", "change", "square"])
+
+    def add(table: pa.Table) -> pa.Table:
+        weight, change, square = np.zeros((PIECE, 1)), np.zeros((PIECE, DIGIT)), np.zeros(PIECE)
+        for seen, raw, more in zip(*(table.column(c).to_pylist() for c in ("seen", "change", "square"))):
+            own = np.frombuffer(seen, np.float32)[:, None]
+            weight += own
+            change += np.frombuffer(raw, np.float16).reshape(PIECE, DIGIT) * own
+            square += np.frombuffer(more, np.float32)
+        mean = (change / np.maximum(weight, 1)).astype(np.float16)
+        return pa.table({"piece": table.column("piece").slice(0, 1), "change": pa.array([mean.tobytes()], pa.binary()), "square": pa.array([square.astype(np.float32).tobytes()], pa.binary())})
+
+    shape = "piece long, seen binary, change binary, square binary"
+    got = texts.coalesce(shards).mapInArrow(shard, shape).groupBy("piece").applyInArrow(add, "piece long, change binary, square binary").toArrow()
+    shared.unpersist()
+    if known is None:
+        tables, squares = np.zeros((sum(SIZES) // PIECE, PIECE, DIGIT), np.float16), np.full((sum(SIZES) // PIECE, PIECE), PRIOR, np.float32)
+        for a, f in zip(STARTS, first):
+            tables.reshape(-1, DIGIT)[a : a + len(f)] = f
+    else:
+        tables, squares = known
+    for i, change, square in zip(got.column("piece").to_pylist(), got.column("change"), got.column("square")):
+        tables[i] = (tables[i].astype(np.float32) + np.frombuffer(change.as_py(), np.float16).reshape(PIECE, DIGIT)).astype(np.float16)
+        squares[i] += np.frombuffer(square.as_py(), np.float32)
+    return tables, squares
 
 
 def fit(docs: DataFrame, counts: DataFrame, rounds: int = 1) -> Model:
-    """Train on the rows of ``docs`` (text, learn) that ``learn`` marks, all of them; ``counts`` are their (word, n).
+    """Train on the rows of ``docs`` (doc_id, text, learn) that ``learn`` marks, all of them; ``counts`` are their (word, n).
 
-    The most frequent words (a fixed number) and the end become units in classes by frequency; the other words make
-    classes by their last two bytes, in which a word has its share of the counts. In every round each worker runs
-    gradient updates over its part of the texts from the common weights; the changes are averaged row by row, a shard
-    weighing as much as it used the row.
+    The most frequent words and the end are units of their own, all others are in hashed buckets; contexts are whole words,
+    hashed, so rare ones count too. Every text is learned from once: a round is the part of the texts that is learned from
+    between two averages, in shards of about SHARD bytes, each by one worker from the common weights. The sums of squares
+    that set each row's step go on from round to round.
     """
-    spark = docs.sparkSession
-    most = COMMON * UNITS - 1
-    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
-    words = [r.word for r in top]
-    units = pa.array(words, pa.string())
-    ends = docs.filter("learn").count()
-
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).select("word", "n").toArrow()
+    words = pc.cast(top.column("word").combine_chunks(), pa.string())
+    n = top.column("n").combine_chunks().to_numpy().astype(np.int64)
+    units = words.slice(0, TOP - 1)
+    learning = docs.filter("learn")
+    facts = learning.agg(F.count("*").alias("ends"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.filter(pc.invert(pc.is_in(batch.column("word"), value_set=units)))
             if own.num_rows:
-                cls, n = rare_classes(pc.cast(own.column("word"), pa.string())), own.column("n").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(np.bincount(cls, minlength=RARE)), pa.array(np.bincount(cls, weights=n, minlength=RARE).astype(np.int64))], names=["cls", "words", "n"])
-
-    per_class = counts.select("word", "n").mapInArrow(by_class, "cls long, words long, n long").groupBy("cls").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).collect()
-    mass = np.full(RARE, 0.5)
-    for r in per_class:
-        mass[r.cls] += r.n + 0.5 * r.words
-    classes, within = _start([ends, *[r.n for r in top]], mass)
-    total = ends + sum(r.n for r in top) + sum(r.n for r in per_class)
-    distinct = len(top) + sum(r.words for r in per_class) + (ends > 0)
-    for _ in range(rounds if ends else 0):
-        shared = spark.sparkContext.broadcast((classes, within))
-
-        def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def read() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for batch in slices(batches, limit=1 << 20):
-                    n, flat = tokens(batch.column("text"))
-                    code = pc.dictionary_encode(flat)
-                    symbol = symbols(code.dictionary, units)[code.indices.to_numpy()] if len(flat) else np.empty(0, np.int64)
-                    yield sequence(symbol, n), n
-
-            old = shared.value
-            got = learn(read(), *old)
-            for shift, before, after, seen in ((0, old[0], got[0], got[1]), (ROWS, old[1], got[2], got[3])):
-                own = np.flatnonzero(seen)
-                for a in range(0, len(own), 4096):
-                    part = own[a : a + 4096]
-                    change = (after[part] - before[part]).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array(part + shift), pa.array(seen[part]), pa.array([c.tobytes() for c in change], pa.binary())], names=["row", "n", "delta"])
-
-        classes, within = classes.copy(), within.copy()
-        for r in _mix_shards(docs.filter("learn").select("text").mapInArrow(shard, "row long, n long, delta binary")):
-            table, row = (classes, r.row) if r.row < ROWS else (within, r.row - ROWS)
-            table[row] += np.frombuffer(r.delta, np.float32)
-        shared.unpersist()
-    return Model(words, classes, within, mass, total, distinct, ends)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, pa.DictionaryArray]]:
-    """Slices of a task with a number each, their words per text, and the words by number in the slice's own dictionary."""
+                at = buckets(own.column("h").to_numpy().view(np.uint64)) - TOP
+                size, sums = np.bincount(at, minlength=UNITS - TOP), np.bincount(at, weights=own.column("n").to_numpy(), minlength=UNITS - TOP)
+                some = np.flatnonzero(size)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(size[some]), pa.array(sums[some].astype(np.int64))], names=["bucket", "words", "n"])
+
+    rest = counts.select("word", "n", F.xxhash64("word").alias("h")).mapInArrow(by_bucket, "bucket long, words long, n long")
+    rest = rest.groupBy("bucket").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).collect()  # one for each bucket
+    mass = np.full(UNITS - TOP, 0.5)
+    for r in rest:
+        mass[r.bucket] += r.n + 0.5 * r.words
+    weight = np.concatenate([[facts.ends + 0.5], n[: TOP - 1] + 0.5, np.zeros(max(0, TOP - 1 - len(n))), mass])
+    first = start(weight)
+    known, rounds = None, rounds if facts.ends else 0
+    for r in range(rounds):
+        part = learning if rounds == 1 else learning.filter(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(rounds)) == r)
+        known = _round(part.select("text"), units, first, known, max(1, -(-facts.bytes // (SHARD * rounds))))
+    if known is None:
+        tables = np.zeros((sum(SIZES) // PIECE, PIECE, DIGIT), np.float16)
+        for a, f in zip(STARTS, first):
+            tables.reshape(-1, DIGIT)[a : a + len(f)] = f
+    else:
+        tables = known[0]
+    total = facts.ends + int(n[: TOP - 1].sum()) + sum(r.n for r in rest)
+    distinct = len(units) + sum(r.words for r in rest) + (facts.ends > 0)
+    return Model(words, n, [t.copy() for t in _tables(tables)], mass, total, distinct, facts.ends)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], common: pa.Array) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """Blocks of a task with a number each, their words per text, the words by number, and the words that aren't ``common``:
+    numbers run through ``common`` first."""
     part = TaskContext.get().partitionId()
     for k, batch in enumerate(slices(batches, limit=BLOCK)):
         counts, flat = tokens(batch.column("text"))
-        yield (part << 32) + k, batch, counts, pc.dictionary_encode(flat)
-
-
-def _sum_of(words: pa.Array) -> int:
-    return zlib.crc32(memoryview(words.buffers()[2])[: pc.sum(pc.binary_length(words)).as_py() or 0]) if len(words) else 0
+        code = pc.dictionary_encode(flat)
+        known = pc.fill_null(pc.index_in(code.dictionary, value_set=common), -1).to_numpy().astype(np.int64)
+        other = np.flatnonzero(known < 0)
+        known[other] = len(common) + np.arange(len(other))
+        yield (part << 32) + k, batch, counts, known[code.indices.to_numpy()], code.dictionary.take(pa.array(other))
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -272,62 +308,66 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """log10 probability of every whole text (``doc_id``, ``text``, ``learn``) under the model and under smoothed counts.
 
-    Texts stay in blocks of a few megabytes. A block's distinct words, each once, meet the counts in a join by word and
-    come back to their block, whose texts travel as word numbers in compressed form. Both passes number a block's words
-    alike; a checksum of the dictionary is compared, and a difference stops the job.
+    A word outside the units has its bucket's probability times its share of the bucket's smoothed counts; a word that
+    learning has not met counts as the bucket's unknown word, so probabilities of all words learned and of one unknown
+    word a bucket sum to 1.
+
+    Texts stay in blocks of some megabytes. A block's distinct words, each once, meet the counts in a join by word, but for
+    the common ones, whose counts every task has; they come back to their block, whose texts travel as word numbers in
+    compressed form.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    common_hash = hashes(model.words)
+    shared = docs.sparkSession.sparkContext.broadcast((model, common_hash))
     texts = docs.select("doc_id", "learn", "text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = pa.array(shared.value.words, pa.string())
-        for block, _, _, code in _blocks(batches):
-            n, own = len(code.dictionary), code.dictionary
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), own, pa.array(symbols(own, units).astype(np.int32)), pa.array(np.full(n, _sum_of(own)))], names=["block", "place", "word", "symbol", "sum"])
+        for block, _, _, _, own in _blocks(batches, shared.value[0].words):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(len(own), dtype=np.int32)), own], names=["block", "place", "word"])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1)
-        for block, batch, n, code in _blocks(batches):
-            planes = code.indices.to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        for block, batch, n, code, own in _blocks(batches, shared.value[0].words):
+            planes = code.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
             lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in (batch.column("doc_id"), batch.column("learn"), pa.array(n))]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([squeeze.compress(planes)], pa.binary()), pa.array([_sum_of(code.dictionary)]), pa.array([len(code.dictionary)])], names=["block", "doc_id", "learn", "n", "codes", "sum", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([squeeze.compress(planes)], pa.binary()), pa.array([len(own)])], names=["block", "doc_id", "learn", "n", "codes", "words"])
+
+    ready: dict = {}
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
-        m = shared.value
+        m, common_hash = shared.value
+        if not ready:
+            ready["tables"] = [t.astype(np.float32) for t in m.tables]
         base_all = m.tokens + 0.5 * (m.distinct + 1)
-        if not left.num_rows:
-            raise RuntimeError("a block of words has no texts: the input changed between two reads")
-        row = left.slice(0, 1).to_pylist()[0]
-        if right.num_rows != row["words"] or right.num_rows and pc.min_max(right.column("sum")).as_py() != {"min": row["sum"], "max": row["sum"]}:
+        row = left.slice(0, 1).to_pylist()[0] if left.num_rows else None
+        if row is None or right.num_rows != row["words"]:
             raise RuntimeError("a block's words differ between two reads of the input")
-        place = right.column("place").to_numpy()
-        c, symbol = np.zeros(len(place)), np.zeros(len(place), np.int64)
-        c[place], symbol[place] = right.column("n").to_numpy(), right.column("symbol").to_numpy()
+        k, place = len(m.counts), right.column("place").to_numpy()
+        c, h, at = np.zeros(k + len(place)), np.zeros(k + len(place), np.uint64), np.full(k + len(place), -1)
+        c[:k], h[:k], at[:k] = m.counts, common_hash, np.arange(k)
+        c[k + place], h[k + place] = right.column("n").to_numpy(), right.column("h").to_numpy().view(np.uint64)
+        unit = units_of(h, at)
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint8)
         code = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
         n = np.array(row["n"], np.int64)
         owner = np.repeat(np.arange(len(n)), n)
         base = np.bincount(owner, weights=np.log10((c + 0.5) / base_all)[code], minlength=len(n)) + np.log10((m.ends + 0.5) / base_all)
         known = np.bincount(owner, weights=(c > 0)[code], minlength=len(n)).astype(np.int64) + (m.ends > 0)
-        rare = symbol >= COMMON * UNITS
-        share = np.where(rare, np.log10((c + 0.5) / m.mass[np.where(rare, symbol - COMMON * UNITS, 0)]), 0)
-        seq = sequence(symbol[code], n)
-        total = np.bincount(np.repeat(np.arange(len(n)), n + 1), weights=log_probability(seq, n, m), minlength=len(n))
-        total += np.bincount(owner, weights=share[code], minlength=len(n))
+        share = np.where(unit >= TOP, np.log10((c + 0.5) / m.mass[np.maximum(unit - TOP, 0)]), 0)
+        own = log_probability(sequence(unit[code], n, 0), sequence(h[code], n, _END), n, ready["tables"])
+        total = np.bincount(np.repeat(np.arange(len(n)), n + 1), weights=own, minlength=len(n)) + np.bincount(owner, weights=share[code], minlength=len(n))
         return pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pc.invert(pa.array(row["learn"], pa.bool_())), "n_tokens": n + 1, "n_known": known, "train_tokens": np.full(len(n), m.tokens), "base_score": base, "score": total})
 
-    found = texts.mapInArrow(words, "block long, place int, word string, symbol int, sum long").join(counts, "word", "left")
-    found = found.select("block", "place", "symbol", "sum", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    held = texts.mapInArrow(codes, "block long, doc_id array<long>, learn array<boolean>, n array<long>, codes binary, sum long, words long")
+    found = texts.mapInArrow(words, "block long, place int, word string").join(counts, "word", "left")
+    found = found.select("block", "place", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.xxhash64("word").alias("h"))
+    held = texts.mapInArrow(codes, "block long, doc_id array<long>, learn array<boolean>, n array<long>, codes binary, words long")
     return held.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(join, RESULT)
 
 
-def score_documents(docs: DataFrame, learn, rounds: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, rounds: int = 1) -> DataFrame:
     """Train on the rows for which ``learn`` holds (null: it holds) and score all; see :func:`fit` and :func:`score`.
 
     Null text counts as empty: its end is its only token. Repeated rows are learned from, and scored, each. Without any

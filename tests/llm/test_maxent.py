@@ -41,46 +41,80 @@ def test_scores_match_the_contract_and_beat_the_counts(spark):
         assert r.score < 0
         if r.held_out:
             base, score = base + r.base_score, score + r.score
-    assert score > base * 0.97
+    assert score > base * 0.95
 
 
-def test_probabilities_of_all_outcomes_sum_to_one():
+def _random_tables(rng):
+    tables = [rng.normal(size=(p + (1 << b), M.DIGIT)).astype(np.float32) * 0.3 for p, b in zip(M.PREFIXES, M.BITS)]
+    for t, f in zip(tables, M.start(rng.integers(0, 50, M.UNITS) + 0.5)):
+        t[: len(f)] = f
+    return tables
+
+
+def test_probabilities_of_all_units_sum_to_one():
+    """After some words, the probabilities of all 4,096 units; a bucket's known words and its unknown one share its own."""
     rng = np.random.default_rng(0)
-    counts = [5, 9, 7, 3, 2]
-    vocabulary = ["a", "b", "c", "d"]
-    rare = pa.array(["xx", "yy", "zz", "q"])
-    mass = np.full(M.RARE, 0.5)
-    np.add.at(mass, M.rare_classes(rare), 2.5)
-    classes, units = M._start(counts, mass)
-    classes[1:] += rng.normal(size=classes[1:].shape).astype(np.float32) * 0.3
-    units[M.COMMON :] += rng.normal(size=units[M.COMMON :].shape).astype(np.float32) * 0.3
-    model = M.Model(vocabulary, classes, units, mass, 0, 0, 0)
+    tables = _random_tables(rng)
+    h = M.hashes(pa.array(["a", "xx", "c"]))
     total = 0.0
-    outcomes = [*range(len(counts)), *(M.COMMON * M.UNITS + k for k in range(M.RARE))]
-    for last in outcomes:  # text "a xx" and then each outcome
-        seq = np.array([1, M.COMMON * M.UNITS + int(M.rare_classes(rare)[0]), last])
-        total += 10 ** M.log_probability(seq, np.array([2]), model)[2]
-    assert total == pytest.approx(1, abs=1e-5)
+    for last in range(M.UNITS):
+        total += 10 ** M.log_probability(np.array([1, 2700, last]), h, np.array([2]), tables)[2]
+    assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_updates_follow_the_gradient():
     rng = np.random.default_rng(1)
     table = rng.normal(size=(20, 6)).astype(np.float32)
-    rows, target = rng.integers(0, 20, (3, 40)), rng.integers(0, 6, 40)
+    rows, target = list(rng.integers(0, 20, (3, 40))), rng.integers(0, 6, 40)
 
     def loss(t):
-        z = t[rows].sum(0)
+        z = sum(t[r] for r in rows)
         return (np.log(np.exp(z).sum(1)) - z[np.arange(40), target]).sum()
 
     after, square = table.copy(), np.zeros(20, np.float32)
-    M._descend(after, square, np.zeros(20, np.int64), rows, target)
+    M._descend(after, square, np.zeros(20, np.int32), rows, target)
     slope = (table - after) / M.STEP * np.sqrt(square + 1e-8)[:, None]
-    for i, j in ((int(rows[0, 0]), 2), (int(rows[1, 5]), 4)):
+    for i, j in ((int(rows[0][0]), 2), (int(rows[1][5]), 4)):
         up = table.astype(np.float64)
         up[i, j] += 1e-4
         assert slope[i, j] == pytest.approx((loss(up) - loss(table.astype(np.float64))) / 1e-4, rel=2e-2, abs=1e-3)
 
 
+def test_contexts_are_the_words_before():
+    """Equal contexts have equal hashes, none crosses from text to text, and spark hashes words alike."""
+    h = M.hashes(pa.array(["a", "b", "a", "b", "x"]))
+    ctx = M.contexts(M.sequence(h, np.array([4, 1]), M._END), np.array([4, 1]))
+    for own in ctx:
+        assert own[0] == own[5]  # each text starts from nothing
+    assert ctx[0][1] == ctx[0][3] and ctx[1][2] == ctx[1][4] and ctx[0][1] != ctx[0][2]
+    assert len({int(x[4]) for x in ctx}) == 4
+
+
+def test_words_are_hashed_as_in_spark(spark):
+    words = ["a", "é中", "word"]
+    got = [r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    assert M.hashes(pa.array(words)).view(np.int64).tolist() == got
+
+
+def test_held_out_texts_score_better_than_by_a_bigram_and_averaging_costs_nothing(spark, monkeypatch):
+    """Against a Witten-Bell bigram counted on the same texts; and in four rounds as well as in one."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").cache()
+    monkeypatch.setattr(M, "SHARD", 4 << 20)
+    mean = []
+    for rounds in (1, 4):
+        got = M.score_documents(docs, fold() != 1, rounds).filter("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+        mean.append(got[0])
+    docs.unpersist()
+    assert mean[0] > got[1] + 0.4
+    assert mean[1] >= mean[0] - 0.005
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "the cat sat " * n, 1, 2.0) for i, n in enumerate((1, 30_000, 5))], "doc_id long, text string, block int, score double")
+    rows = {r.doc_id: r for r in M.score_documents(docs, F.lit(True)).collect()}
+    assert rows[1].n_tokens == 90_001 and rows[1].score > rows[1].base_score
+
+
 def test_edge_tables(spark):
     docs = spark.createDataFrame([(None, "a b a", 1.0), (1, None, 2.0)], "doc_id long, text string, score double")
     rows = M.score_documents(docs, F.lit(False)).collect()

@@ -36,7 +36,8 @@ def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import secrets
 
-    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.train())
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(of=secrets.language(docs)))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

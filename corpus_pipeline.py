@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind."""
-    return secrets.redact(docs, secrets.train())
+    """Secrets are replaced by their kind; what text looks like is learned from all that is left."""
+    return secrets.redact(docs, secrets.train(of=secrets.language(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: ASCII white space of the token contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = " \t\n\x0b\x0c\r"
 #: Bytes of text that a worker treats at a time: numbers for every character's n-grams take some hundred times as much.
-SLICE_BYTES = 3 << 19
+SLICE_BYTES = 3 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +52,8 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of at most ``limit`` bytes of ``column``, or one row if that is longer."""
+    """The same rows in pieces of at most ``limit`` bytes of ``column``, or one row if that is longer. Behind the last one the
+    worker's free memory goes back to the system, since the worker lives on for other tasks."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,6 +65,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -10,18 +10,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessella.llm.common import code_points, slices, stage
 
 #: Characters of an n-gram are packed as numbers of so many bits; the first numbers mean start, end, any other character.
-WIDTH, START, END, OTHER, FIRST = 12, 0, 1, 2, 3
+WIDTH, START, END, OTHER, FIRST = 15, 0, 1, 2, 3
+#: N-grams of all orders that are sent to every worker; a larger model's stay in shards and are joined.
+MOST = 4_000_000
 #: Characters of average text that every document is taken to have besides its own, so a few words don't decide.
 PRIOR = 64
 
 
 @dataclass
 class Model:
-    """Per order from 1: the n-grams known and their probability; their contexts and those contexts' back-off weight."""
+    """Per order from 1: the n-grams known and their probability; their contexts and those contexts' back-off weight. A model of
+    over MOST n-grams has them in ``shards`` only: staged tables (key, p) and (context, weight) of each order."""
 
     number: np.ndarray
     keys: list[np.ndarray]
@@ -29,14 +33,18 @@ class Model:
     contexts: list[np.ndarray]
     weight: list[np.ndarray]
     unseen: float
+    shards: list = field(default_factory=list)
+    order: int = 0
     mean: dict = field(default_factory=dict)
     threshold: dict = field(default_factory=dict)
 
 
-def _likely(docs: DataFrame, ids: DataFrame, probes: int = 3) -> DataFrame:
+def _likely(docs: DataFrame, ids: DataFrame, probes: int = 3, most: int = 64 << 20) -> DataFrame:
     """Rows of ``docs`` whose doc_id is among ``ids``, and some 3 % of the others: a Bloom filter of one byte an id, so that a
-    join that follows need not move every text."""
+    join that follows need not move every text. Over ``most`` ids (counted first) are not filtered."""
     words = ids.count() // 8 + 1
+    if words * 8 > most:
+        return docs.filter("doc_id is not null")
     bits = F.array(*[F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(i)), F.lit(64 * words)) for i in range(probes)])
     word, bit = lambda b: F.shiftright(b, 6), lambda b: b.bitwiseAND(F.lit(63)).cast("int")
     one = F.lit(1).cast("long")
@@ -97,13 +105,14 @@ def _alphabet(rows: DataFrame, most: int = (1 << WIDTH) - FIRST) -> np.ndarray:
     return number
 
 
-def fit(rows: DataFrame, order: int = 4) -> Model:
+def fit(rows: DataFrame, order: int = 4, most: int = MOST) -> Model:
     """Fit on trusted (text, lang, fitting) rows: the model on those that ``fitting`` marks.
 
     Counts are summed in shards by n-gram. Of every order, discounts come from its counts of counts; each context's total
     and numbers of n-grams met once, twice and more are joined to its n-grams by context, and the next lower order's
     probability by suffix. Lower orders count the characters met before an n-gram, not its occurrences. The rows kept
-    out of the model give each language's mean and are scored for its threshold: see :func:`calibrate`.
+    out of the model give each language's mean and are scored for its threshold: see :func:`calibrate`. Up to ``most``
+    n-grams and contexts (counted first) are sent to every worker; more stay in shards. Rows that repeat count each.
     """
     rows = stage(rows)
     spark = rows.sparkSession
@@ -119,7 +128,7 @@ def fit(rows: DataFrame, order: int = 4) -> Model:
     tables = [stage(own.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))]
     for n in range(order - 1, 0, -1):
         tables.insert(0, tables[0].groupBy(F.col("key").bitwiseAND((1 << (WIDTH * n)) - 1).alias("key")).agg(F.count("*").alias("n")))
-    model = Model(number, [], [], [], [], 1.0)
+    model = Model(number, [], [], [], [], 1.0, order=order)
     below = None
     for n, table in enumerate(tables, 1):
         table = table.withColumn("context", F.shiftright("key", WIDTH))
@@ -138,11 +147,15 @@ def fit(rows: DataFrame, order: int = 4) -> Model:
             table = table.withColumn("suffix", F.col("key").bitwiseAND((1 << (WIDTH * (n - 1))) - 1)).join(low, "suffix")
             table = table.withColumn("p", F.col("own") + F.col("weight") * F.col("lower"))
         below = stage(table.select("key", "p"))
-        got, back = below.toArrow(), contexts.select("context", "weight").toArrow()
-        model.keys.append(got.column("key").to_numpy())
-        model.probability.append(got.column("p").to_numpy())
-        model.contexts.append(back.column("context").to_numpy())
-        model.weight.append(back.column("weight").to_numpy())
+        model.shards.append((below, stage(contexts.select("context", "weight"))))
+    if sum(table.count() for pair in model.shards for table in pair) <= most:
+        for grams, contexts in model.shards:
+            got, back = grams.toArrow(), contexts.toArrow()
+            model.keys.append(got.column("key").to_numpy())
+            model.probability.append(got.column("p").to_numpy())
+            model.contexts.append(back.column("context").to_numpy())
+            model.weight.append(back.column("weight").to_numpy())
+        model.shards = []
     return calibrate(rows.filter("not fitting"), model)
 
 
@@ -200,8 +213,7 @@ def calibrate(rows: DataFrame, model: Model, quantile: float = 0.995, least: int
 SCORES = "doc_id long, lang string, n_tokens long, log10_prob double, perplexity double, loss double, threshold double, keep boolean"
 
 
-def _judge(texts: pa.Array, langs: list, model: Model) -> dict:
-    loss, n = _losses(texts, model) if model.keys else (np.zeros(len(texts)), np.ones(len(texts), np.int64))
+def _judge(langs: list, loss: np.ndarray, n: np.ndarray, model: Model) -> dict:
     names = [(lang or "") if (lang or "") in model.mean else None for lang in langs]
     mean = np.array([model.mean.get(x, 0.0) for x in names])
     threshold = np.array([model.threshold.get(x, np.inf) for x in names])
@@ -215,22 +227,83 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ``loss`` is the mean -log10 probability of a character, with PRIOR characters of the language's average added. Null
     counts as empty text (a lone end, kept). Without trusted text there is no threshold and everything is kept.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    if model.shards:
+        joined = joined_losses(rows.withColumn("row", F.monotonically_increasing_id()), model)
+        return _judged(joined.select("doc_id", "lang", "loss", "n_tokens"), model, SCORES, lambda got, batch: [batch.column("doc_id"), batch.column("lang"), *map(pa.array, got.values())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in slices(batches):
-            got = _judge(batch.column("text"), batch.column("lang").to_pylist(), shared.value)
+            loss, n = _losses(batch.column("text"), m) if m.keys else (np.zeros(batch.num_rows), np.ones(batch.num_rows, np.int64))
+            got = _judge(batch.column("lang").to_pylist(), loss, n, m)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *map(pa.array, got.values())], names=["doc_id", "lang", *got])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, SCORES)
+    return rows.mapInArrow(run, SCORES)
+
+
+def joined_losses(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` (``row``, ``text`` and others) with ``loss`` (-log10 probability) and ``n_tokens``, by joins with a model in shards.
+
+    Each text's distinct n-grams, counted, meet the highest order; what is not known there goes on to the next order as
+    its suffix, with its context's weight. Hot n-grams are salted by nothing more than their text: a known one is one row
+    of the model, so its side of the join is split by Spark where it is skewed.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model.number)
+    order = model.order
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            key, owner = _grams(batch.column("text"), shared.value, order)
+            for i in range(batch.num_rows):
+                own, n = np.unique(key[owner == i] if batch.num_rows > 1 else key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("row")[i].as_py())), pa.array(own), pa.array(n)], names=["row", "key", "n"])
+
+    left = rows.select("row", "text").mapInArrow(grams, "row long, key long, n long").withColumn("weight", F.lit(1.0))
+    done = None
+    for n in range(order, 0, -1):
+        known, contexts = model.shards[n - 1]
+        met = left.join(known, "key", "left")
+        found = met.filter("p is not null").select("row", "n", (F.col("weight") * F.col("p")).alias("p"))
+        done = found if done is None else done.unionByName(found)
+        rest = met.filter("p is null").drop("p").withColumn("context", F.shiftright("key", WIDTH))
+        rest = rest.join(contexts.withColumnRenamed("weight", "more"), "context", "left").withColumn("weight", F.col("weight") * F.coalesce("more", F.lit(1.0)))
+        left = rest.select("row", F.col("key").bitwiseAND((1 << (WIDTH * (n - 1))) - 1).alias("key"), "n", "weight")
+    done = done.unionByName(left.select("row", "n", (F.col("weight") * model.unseen).alias("p")))
+    sums = done.groupBy("row").agg(F.sum(-F.log10("p") * F.col("n")).alias("loss"), F.sum("n").alias("n_tokens"))
+    return rows.join(sums, "row").drop("row")
+
+
+def _judged(rows: DataFrame, model: Model, schema, out) -> DataFrame:
+    """Rows with ``lang``, ``loss`` and ``n_tokens`` held against the thresholds, in the form that ``out`` gives."""
+    facts = Model(np.empty(0), [], [], [], [], 1.0, mean=model.mean, threshold=model.threshold)
+    shared = rows.sparkSession.sparkContext.broadcast(facts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = _judge(batch.column("lang").to_pylist(), batch.column("loss").to_numpy(), batch.column("n_tokens").to_numpy(), shared.value)
+            made = out(got, batch)
+            yield made if isinstance(made, pa.RecordBatch) else pa.RecordBatch.from_arrays(made, names=["doc_id", "lang", *got])
+
+    return rows.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``docs`` (all columns) that the thresholds keep; the texts aren't moved."""
+    """Rows of ``docs`` (all columns) that the thresholds keep; the texts aren't moved unless the model is in shards. Nulls and
+    repeated rows are as in :func:`score`."""
+    if model.shards:
+        whole = F.struct(*docs.columns).alias("whole")
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), whole)
+        kept = StructType([StructField("whole", docs.schema)])
+        joined = joined_losses(rows, model).select("whole", "lang", "loss", "n_tokens")
+        return _judged(joined, model, kept, lambda got, batch: batch.select(["whole"]).filter(pa.array(got["keep"]))).select("whole.*")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in slices(batches):
-            yield batch.filter(pa.array(_judge(batch.column("text"), batch.column("lang").to_pylist(), shared.value)["keep"]))
+            loss, n = _losses(batch.column("text"), m) if m.keys else (np.zeros(batch.num_rows), np.ones(batch.num_rows, np.int64))
+            yield batch.filter(pa.array(_judge(batch.column("lang").to_pylist(), loss, n, m)["keep"]))
 
     return docs.mapInArrow(run, docs.schema)

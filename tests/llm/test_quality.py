@@ -54,9 +54,9 @@ def test_probabilities_sum_to_one(spark):
     texts = ["abracadabra", "abba cab"] * 3
     rows = spark.createDataFrame([(i, t, "en", True) for i, t in enumerate(texts)], "doc_id long, text string, lang string, fitting boolean")
     model = quality.fit(rows, order=3)
-    symbols = sorted({int(k) & 0xFFF for k in model.keys[0]})
-    for context in (0, 3 << 12 | 4, 4000 << 12 | 4001):
-        keys = np.array([context << 12 | s for s in [*symbols, 4095]])
+    symbols = sorted({int(k) & ((1 << quality.WIDTH) - 1) for k in model.keys[0]})
+    for context in (0, 3 << quality.WIDTH | 4, 4000 << quality.WIDTH | 4001):
+        keys = np.array([context << quality.WIDTH | s for s in [*symbols, 4095]])
         assert quality.probabilities(keys, model).sum() == pytest.approx(1)
 
 
@@ -94,3 +94,17 @@ def test_all_trusted_documents_count(spark):
         mean = -own.log10_prob.sum() / own.n_tokens.sum()
         assert model.mean[lang] == pytest.approx(mean)
         assert model.threshold[lang] == pytest.approx(np.quantile((-own.log10_prob + quality.PRIOR * mean) / (own.n_tokens + quality.PRIOR), 0.995))
+
+
+def test_a_model_in_shards_scores_alike(spark, sf):
+    """Sharded joins give what look-ups in the whole table give, and keep the same rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", "s", 0), (10**6, "", "en", "s", 0), (10**6 + 1, "zq" * 6_000, "xx", "s", 1)], docs.schema)
+    docs = docs.unionByName(extra)
+    rows = quality.trusted_rows(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    whole, shards = quality.fit(rows), quality.fit(rows, most=10)
+    assert whole.keys and shards.shards and not shards.keys
+    plain = lambda m: sorted((r.doc_id or 0, r.lang or "", r.n_tokens, round(r.log10_prob, 6), round(r.threshold, 6), r.keep) for r in quality.score(docs, m).collect())
+    assert plain(whole) == plain(shards)
+    kept = [sorted(r.doc_id or 0 for r in quality.keep_good(docs, m).collect()) for m in (whole, shards)]
+    assert kept[0] == kept[1] and quality.keep_good(docs, shards).columns == docs.columns

@@ -61,7 +61,7 @@ def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = compare_edited(_table(spark, sf_dir, "documents"))
     prints = as_text("own_hashes").alias("fingerprint"), as_text("edited_hashes").alias("edited_fingerprint")
-    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next", F.array_join(F.col("own_positions").cast("array<string>"), " ").alias("positions"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

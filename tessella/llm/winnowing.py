@@ -98,7 +98,7 @@ def _with_next(rows: DataFrame, carried: list[str], unique: bool) -> DataFrame:
     return heads.select(*rows.columns, *[F.first(f"__{c}").over(same).alias(f"next_{c}") for c in carried]).drop("__nth")
 
 
-def compare_edited(docs: DataFrame, k: int = 3, window: int = 5, per_range: int = 2048, ranges: int = 4096) -> DataFrame:
+def compare_edited(docs: DataFrame, k: int = 3, window: int = 5, per_range: int = 2048, ranges: int = 65_536) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and that of the next document.
 
     Edited text: the last floor(n/2) of the n code points replaced by the first as many of the next document's text, by
@@ -114,7 +114,7 @@ def compare_edited(docs: DataFrame, k: int = 3, window: int = 5, per_range: int
     ids = stage(known.groupBy("doc_id").agg(F.count("*").alias("n")))
     found = ids.agg(F.count("*").alias("ids"), F.max("n").alias("most"), F.min("doc_id").alias("least")).first()
     parts = max(1, min(ranges, -(-found.ids // per_range)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] if parts > 1 else []
     bounds = sorted({found.least, *cuts}) if found.ids else [0]
     last = len(bounds) - 1
     own = known.withColumn("range", _range_of("doc_id", bounds))

@@ -84,3 +84,15 @@ def test_edge_rows(spark):
     assert next(r for r in rows if r.doc_id == 2).edited_sha256 == hashlib.sha256(b"z z a a").hexdigest()
     assert W.compare_edited(frame.limit(0)).count() == 0
     assert W.compare_edited(frame.filter("doc_id = 2")).first().near_next == 1
+
+
+def test_the_query_gives_places_and_a_long_text_has_them(spark, tmp_path):
+    """Each place's k-gram has the fingerprint's hash at the same position in the list; texts of 20,000 words, columns that clash."""
+    from tessella.llm import registry
+
+    long = " ".join(f"w{i % 977}" for i in range(20_000))
+    rows = [(1, long, 5, "x"), (2, None, 0, "y"), (3, "one two three four", 18, "z"), (3, "one two three four", 18, "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long, range string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op5_winnow(spark, str(tmp_path)).collect()}
+    assert len(got[1].positions.split()) == len(got[1].fingerprint.split()) > 3000
+    assert got[2].positions == "" and got[3].positions.split() and [int(p) for p in got[1].positions.split()] == sorted(int(p) for p in got[1].positions.split())

@@ -202,3 +202,17 @@ def test_sketches_never_rule_out_a_similar_pair():
         a, b = (np.minimum(c, 255).astype(np.uint8)[None] for c in counts)
         most = np.minimum(*counts).sum()
         assert may_reach(a, b, np.array([n]), np.array([n]), most / (2 * n - most))[0]
+
+
+def test_near_duplicates_of_long_texts_beside_clashing_columns(spark):
+    """A text of 20,000 words, its copy and a near copy; columns named as the result's and as those used inside."""
+    rng = np.random.default_rng(11)
+    long = [f"w{i}" for i in rng.integers(0, 5000, 20_000)]
+    near = [*long[:-1], "other"]
+    rows = [(5, " ".join(long), 1, "a", 2), (9, " ".join(long), 1, "b", 2), (7, " ".join(near), 1, "c", 2), (1, None, 1, "d", 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, fp int, component_id string, node int")
+    got = {r.doc_id: r for r in near_duplicates(frame).collect()}
+    assert got[5].fp == got[9].fp and got[5].component_id == got[7].component_id == got[9].component_id == 5
+    assert got[1].component_id == 1 and got[1].fp == 0
+    kept = keep_one(frame)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5]

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold, slices, stage
+from tessella.llm.common import discard, fold, slices, stage
 
 #: Bytes of text a worker treats at a time: the larger, the fewer times a word is segmented.
 SLICE = 4 << 20
@@ -194,6 +194,7 @@ def fit(docs: DataFrame, path: str, per_lang: int = 1_500, rounds: int = 4, leas
         expected[got.column("piece").to_numpy(), got.column("lang").to_numpy()] += got.column("n").to_numpy()
         probability = np.vstack([expected / expected.sum(0), np.zeros(len(langs))])
         shared.unpersist()
+    discard(words)
     return Model(langs, pieces, longest, probability)
 
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import code_points, slices, stage, starts_of
+from tessella.llm.common import code_points, discard, slices, stage, starts_of
 
 MARK = "▁"
 #: Bytes of text whose units are numbered together, and that are split at a time; characters of a unit whose substrings are
@@ -198,7 +198,9 @@ def common_units(texts: DataFrame, pieces: Pieces, docs: int = 32_000, most: int
 
     counts = texts.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     top = stage(counts.orderBy(F.desc("n"), "unit").limit(most).select("unit"))
-    return encode_units(top.repartition(64, "unit"), pieces, ["unit"]).toArrow()
+    out = encode_units(top.repartition(64, "unit"), pieces, ["unit"]).toArrow()
+    discard(top)
+    return out
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

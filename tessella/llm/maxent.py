@@ -19,7 +19,7 @@ DIGIT = 16
 #: Units. The first TOP are the text's end and the most frequent words; the others are buckets of all other words, by hash.
 UNITS, TOP = DIGIT**3, DIGIT**3 // 2
 #: Rows of the three digits' features: one without context for each prefix of digits, and hashed ones (bits).
-PREFIXES, BITS = (1, DIGIT, DIGIT**2), (18, 19, 20)
+PREFIXES, BITS = (1, DIGIT, DIGIT**2), (17, 18, 19)
 #: Rows that travel together.
 PIECE = 4096
 SIZES = tuple(-(-(p + (1 << b)) // PIECE) * PIECE for p, b in zip(PREFIXES, BITS))

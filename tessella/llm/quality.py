@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tessella.llm.common import code_points, slices, stage
+from tessella.llm.common import code_points, discard, slices, stage
 
 #: Characters of an n-gram are packed as numbers of so many bits; the first numbers mean start, end, any other character.
 WIDTH, START, END, OTHER, FIRST = 15, 0, 1, 2, 3
@@ -155,8 +155,12 @@ def fit(rows: DataFrame, order: int = 4, most: int = MOST) -> Model:
             model.probability.append(got.column("p").to_numpy())
             model.contexts.append(back.column("context").to_numpy())
             model.weight.append(back.column("weight").to_numpy())
+        discard(*[table for pair in model.shards for table in pair])
         model.shards = []
-    return calibrate(rows.filter("not fitting"), model)
+    discard(*tables)
+    out = calibrate(rows.filter("not fitting"), model)
+    discard(rows)
+    return out
 
 
 def _find(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -207,6 +211,7 @@ def calibrate(rows: DataFrame, model: Model, quantile: float = 0.995, least: int
 
     group([])
     group(["lang"])
+    discard(parts)
     return model
 
 

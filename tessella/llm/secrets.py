@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import slices, tokens
+from tessella.llm.common import discard, slices, stage, tokens
 
 #: Issuers' formats, searched anywhere in a text, and strings of which a text that holds one has some.
 KINDS = (
@@ -83,8 +83,6 @@ def language(docs: DataFrame, most: int = 50_000) -> Language:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 
-    from tessella.llm.common import stage
-
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage(counts)
     plain = F.regexp_extract("word", f"^([a-z]{{{SHORTEST},{LONGEST}}})[.,;:!?]?$", 1)
@@ -92,6 +90,7 @@ def language(docs: DataFrame, most: int = 50_000) -> Language:
     table = np.full((128, 128), 0.1)
     for r in counts.mapInArrow(pairs, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         table[r.pair // 128, r.pair % 128] += r.n
+    discard(counts)
     return Language(frozenset(words.column("word").to_pylist()), -np.log2(table / table.sum(1, keepdims=True)))
 
 

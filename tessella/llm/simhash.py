@@ -528,8 +528,9 @@ def shared_sets(sets: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(sketch, "node long, n long, set array<long>, sketch binary")
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32, block: int = 20_000) -> list[DataFrame]:
-    """Verified links (a, b) that connect all classes (``node``, ``doc_id``, ``text_hash``, ``fp``, ``fp1``) joined by such links.
+def similar_classes(docs: DataFrame, classes: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32, block: int = 20_000) -> DataFrame:
+    """``node`` and ``root`` (a name of its component) of classes (``node``, ``doc_id``, ``text_hash``, ``fp``, ``fp1``) that links of
+    at least this similarity join; a class that is not there is alone.
 
     Candidates are classes that meet (see :func:`_meeting`) and differ in at most ``limit`` of 128 bits: at a similarity of
     0.8 it is 19.4 on average with a deviation of 4.1. Every candidate is decided, either by whole shingle sets, by counts
@@ -544,33 +545,33 @@ def similar_links(docs: DataFrame, classes: DataFrame, k: int = 5, similarity: f
     keys = stage(_as_keys(some))
     found = stage(with_sets(_with_keys(docs, keys, "left_semi"), k).join(some.select("node"), "node").groupBy("node").agg(F.first("set").alias("set")))
     sets = stage(shared_sets(found, similarity))
-    # what candidates connect: classes of two such parts are no candidates
-    part = components(near).withColumnRenamed("root", "part")
-    state = stage(some.select("node", "fp", "fp1").join(sets.select("node", "n", "sketch"), "node").join(part, "node"))
-    links = [stage(verified(near.groupBy("b").agg(F.min("a").alias("a")), sets, similarity))]
-    discard(near, some, keys, found, part)
+    first = stage(verified(near.groupBy("b").agg(F.min("a").alias("a")), sets, similarity))
+    state = stage(some.select("node", "fp", "fp1").join(sets.select("node", "n", "sketch"), "node"))
+    labels = _relabelled(sets.select("node", F.col("node").alias("label")), first)
+    discard(near, some, keys, found, first)
     most = 2
     while True:
-        state = _apart(state, _and(*links))
-        near = stage(nearest(_meeting(state), limit, most, similarity, block))
+        near = stage(nearest(_meeting(state.join(labels, "node")), limit, most, similarity, block))
         if near.isEmpty():
             discard(near, state, sets)
-            return links
-        links.append(stage(verified(_pairs(near), sets, similarity)))
+            return labels.withColumnRenamed("label", "root")
+        links = stage(verified(_pairs(near), sets, similarity))
         last = F.get(F.col("top"), F.lit(most - 1))
         seen = near.filter(F.size("top") == most).select("node", last["d"].alias("seen_d"), last["other"].alias("seen"))
-        before, state = (state, near), stage(state.drop("seen_d", "seen").join(seen, "node"))
+        before, state = (state, near, links, labels), stage(state.drop("seen_d", "seen").join(seen, "node"))
+        labels = _relabelled(labels, links)
         discard(*before)
         most *= 4
 
 
-def _apart(state: DataFrame, links: DataFrame) -> DataFrame:
-    """``state`` with the ``label`` that ``links`` give, but for the parts that have come to one label; the old one goes."""
-    roots = components(links)
-    named = stage(state.drop("label").join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
-    several = named.groupBy("part").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("part")
-    out = stage(named.join(several, "part", "left_semi"))
-    discard(roots, named, state)
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after ``links`` (a, b) between nodes: only links between two labels count, each two once."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    rows = links.join(of("a"), "a").join(of("b"), "b").filter("label_a <> label_b")
+    met = stage(rows.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct())
+    roots = components(met)
+    out = stage(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+    discard(met, roots)
     return out
 
 
@@ -620,18 +621,16 @@ def _classed(docs: DataFrame, k: int, similarity: float, limit: int, block: int)
     prints = stage(with_set_prints(docs, k))
     least = F.min(F.struct("doc_id", "text_hash")).alias("least")
     classes = stage(prints.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("fp", "fp1")]).select("node", "least.doc_id", "least.text_hash", "fp", "fp1"))
-    links = similar_links(docs, classes, k, similarity, limit, block)
-    roots = components(_and(*links))
-    discard(classes, *links)
+    roots = similar_classes(docs, classes, k, similarity, limit, block)
     out = stage(prints.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")))
-    discard(prints, roots)
+    discard(prints, classes)
     return out
 
 
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 32, block: int = 20_000) -> DataFrame:
     """``doc_id`` and ``component_id`` (its smallest doc_id) of every row with an id: components of texts whose sets of
     ``k``-word shingles have a Jaccard similarity of ``similarity`` or more. SimHash finds the candidates, see
-    :func:`similar_links`. Null and blank texts have the same (empty) set; empty in, empty out."""
+    :func:`similar_classes`. Null and blank texts have the same (empty) set; empty in, empty out."""
     rows = _classed(docs, k, similarity, limit, block)
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root").select("doc_id", "component_id")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import code_points, slices, stage, starts_of
+from tessella.llm.common import code_points, discard, slices, stage, starts_of
 
 #: Hash bits of an n-gram; n-gram orders.
 BITS, ORDERS = 20, (4, 5, 6)
@@ -81,6 +81,7 @@ def fit(rows: DataFrame, features: int = 4096, rounds: int = 250) -> Model:
     totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     neg, pos = totals.get(0, 0), totals.get(1, 0)
     if not neg or not pos:
+        discard(rows)
         return Model(np.full(1 << BITS, -1, np.int16), np.zeros(0), -30.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +102,7 @@ def fit(rows: DataFrame, features: int = 4096, rounds: int = 250) -> Model:
     z = F.abs(r) / F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1))
     best = counts.select("gram", r.alias("r"), F.round(z, 9).alias("z")).filter("z > 0").orderBy(F.desc("z"), "gram").limit(features).collect()
     if not best:
+        discard(rows)
         return Model(np.full(1 << BITS, -1, np.int16), np.zeros(0), -30.0)
     slot = np.full(1 << BITS, -1, np.int16)
     slot[[b.gram for b in best]] = np.arange(len(best), dtype=np.int16)
@@ -115,6 +117,7 @@ def fit(rows: DataFrame, features: int = 4096, rounds: int = 250) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(raw, pa.binary())], names=["toxic", "features"])
 
     sample = rows.mapInArrow(sparse, "toxic int, features binary").toArrow()
+    discard(rows)
     label = sample.column("toxic").to_numpy().astype(np.float64)
     raw = sample.column("features").to_pylist()
     feature = np.frombuffer(b"".join(raw), np.int16).astype(np.int64)

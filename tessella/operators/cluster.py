@@ -88,7 +88,9 @@ def two_level(docs: DataFrame, coarse: int, fine: int, rounds: int = 5, metric:
     for i in range(coarse):
         own = kmeans(lists.filter(F.col("list_no") == i).select("doc_id", "vec"), fine, rounds, metric).withColumn("list_no", F.col("list_no") + i * fine)
         out = own if out is None else out.unionByName(own)
-    return _settle(out)
+    out = _settle(out)
+    lists.unpersist()
+    return out
 
 
 def kmeans_1d(values: DataFrame, n: int, column: str = "x") -> list[float]:
@@ -137,7 +139,11 @@ def progressive(docs: DataFrame, n: int, dims: list[int], rounds: int = 3, metri
         cut = docs.select("doc_id", F.slice("vec", 1, d).alias("vec"))
         start = None if lists is None else _vector_mean(cut.join(lists, "doc_id"), "list_no")
         centroids = kmeans(cut, n, rounds, metric, init=start, split=False)
+        if lists is not None:
+            lists.unpersist()
         lists = assign(cut, centroids, metric).select("doc_id", "list_no").persist()
+    if lists is not None:
+        lists.unpersist()
     return centroids
 
 

@@ -75,7 +75,11 @@ def handle_ties(results: DataFrame, by: str = "qid") -> DataFrame:
 def argsort(df: DataFrame, value: str, ident: str, out: str = "place") -> DataFrame:
     """Place of each row by value from 0, without one task for all: ranges are sorted apart and offset by their counts."""
     dealt = df.repartitionByRange(F.col(value), F.col(ident)).withColumn("__range", F.spark_partition_id())
-    dealt = dealt.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else dealt.persist()
+    from tessella.sources.files import scratch
+
+    path = scratch(df.sparkSession)  # ranges are cut by a sample, so they are fixed before they are numbered
+    dealt.write.parquet(path)
+    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
     counts = dealt.groupBy("__range").count()
     offsets = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(value, ident))

@@ -166,11 +166,14 @@ def merge_lists(spark: SparkSession, paths: list[str], path: str) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and all workers see: in ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """A new folder that the driver and all workers see, in ``spark.checkpoint.dir``; where that is unset, a temporary one if
+    Spark runs in one process, else an error."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(base or tempfile.gettempdir() + '/tessella-shared').rstrip('/')}/{uuid.uuid4().hex}"
 
 

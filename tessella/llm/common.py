@@ -21,9 +21,12 @@ SLICE_BYTES = 3 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``, or in a temporary one where that is unset (tests)."""
+    """A new folder in ``spark.checkpoint.dir``; where that is unset, in a temporary one if Spark runs in one process (tests),
+    else an error, since executors don't share such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "tessella-shared")
     return f"{base.rstrip('/')}/tessella-{uuid.uuid4().hex}"
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +19,33 @@ def sample(docs: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def _vector_mean(rows: DataFrame, key: str, weight: str | None = None) -> DataFrame:
-    """(Weighted) mean vector of each key, summed by component before the exchange."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    cells = rows.select(key, w.alias("w"), F.posexplode("vec").alias("pos", "x")).groupBy(key, "pos").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("m"))
-    return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("cvec"))
+    """(Weighted) mean vector of each key: each task adds up its own, one row a key, and those rows alone are exchanged."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    own = rows.select(F.col(key).cast("long").alias("key"), w.alias("w"), V.doubles("vec").alias("vec")).filter("key is not null")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, at = np.unique(batch.column("key").to_numpy(), return_inverse=True)
+            w = batch.column("w").to_numpy()
+            x = np.asarray(batch.column("vec").flatten()).reshape(batch.num_rows, -1) * w[:, None]
+            order = np.argsort(at, kind="stable")
+            parts = np.add.reduceat(x[order], np.searchsorted(at[order], np.arange(len(keys))), axis=0)
+            for k, part, weight in zip(keys.tolist(), parts, np.bincount(at, weights=w)):
+                held = sums.setdefault(k, [0.0, 0.0])
+                held[0], held[1] = held[0] + part, held[1] + weight
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v[1] for v in sums.values()]), pa.array([v[0] for v in sums.values()], pa.list_(pa.float64()))], names=["key", "w", "vec"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        x = np.asarray(table.column("vec").combine_chunks().flatten()).reshape(table.num_rows, -1)
+        total = x.sum(0) / table.column("w").to_numpy().sum()
+        return pa.table({"key": table.column("key").slice(0, 1), "cvec": pa.array([total], pa.list_(pa.float64()))})
+
+    found = own.mapInArrow(add, "key long, w double, vec array<double>").groupBy("key").applyInArrow(mean, "key long, cvec array<double>")
+    return found.select(F.col("key").cast(rows.schema[key].dataType).alias(key), "cvec")
 
 
 def first_centroids(docs: DataFrame, n: int, seed: int | None = None) -> DataFrame:

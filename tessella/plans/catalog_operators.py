@@ -135,7 +135,7 @@ def file_saved_index(spark, sf):
     return tables["lists"].select("doc_id", _long("list_no"))
 
 
-@query("select label attr, count(*) n from embeddings group by 1")
+@query("select label::BIGINT attr, count(*) n from embeddings group by 1")
 def file_cached(spark, sf):
     path, docs = files.scratch(spark), _docs(spark, sf)
     n, made = docs.count(), []
@@ -150,7 +150,7 @@ def file_cached(spark, sf):
     return tables["docs"].groupBy("attr").agg(F.count("*").alias("n"))
 
 
-@query("select n_name name, n_regionkey region from nation")
+@query("select n_name name, n_regionkey::BIGINT region from nation")
 def file_csv(spark, sf):
     path = files.scratch(spark)
     files.write_csv(_table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), path)
@@ -1268,7 +1268,7 @@ def ground_truth(spark, sf):
     return _out(evaluate.ground_truth(_docs(spark, sf), _asked(spark, sf), K))
 
 
-@query("select label attr, true fresh from embeddings where label >= 5 group by 1")
+@query("select label::BIGINT attr, true fresh from embeddings where label >= 5 group by 1")
 def held_out_predicates(spark, sf):
     """Fit predicates that no held-out query asks: the values from five on."""
     docs = _docs(spark, sf).select(F.col("attr").alias("qid"), "doc_id")

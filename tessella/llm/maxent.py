@@ -27,7 +27,7 @@ STARTS = (0, SIZES[0], SIZES[0] + SIZES[1])
 #: Tokens of one gradient update, its step, and what each row's sum of squared slopes starts from.
 BATCH, STEP, PRIOR = 8192, 0.15, 0.1
 #: Bytes of text whose words are looked up together, and that one worker learns from between two averages.
-BLOCK, SHARD = 12 << 20, 96 << 20
+BLOCK, SHARD = 8 << 20, 96 << 20
 #: Words whose counts every worker has; those of all others are joined.
 COMMON = 1 << 16
 #: What the context has before the text; hash of the end.
@@ -72,17 +72,17 @@ def sequence(values: np.ndarray, counts: np.ndarray, end) -> np.ndarray:
 
 
 def contexts(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Hashed contexts of each token: the word before, those two and three before alone (skips), the two before together."""
+    """Hashed contexts of each token: the word before, the one before that alone (a skip), both together."""
     place = np.arange(len(h)) - np.repeat(starts_of(counts + 1)[:-1], counts + 1)
     before = []
-    for back in (1, 2, 3):
+    for back in (1, 2):
         own = np.full(len(h), _NONE)
         own[back:] = h[:-back]
         own[place < back] = _NONE
         before.append(own)
-    a, b, c = before
+    a, b = before
     out = []
-    for k, x in enumerate((a, b, c, a * _ODD[0] + (b ^ (b >> np.uint64(31))))):
+    for k, x in enumerate((a, b, a * _ODD[0] + (b ^ (b >> np.uint64(31))))):
         x = (x ^ np.uint64(k + 1)) * _ODD[k]
         out.append(x ^ (x >> np.uint64(29)))
     return out
@@ -103,7 +103,7 @@ def feature_rows(ctx: list[np.ndarray], prefix: np.ndarray, digit: int) -> list[
 
 
 def _logits(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    total = table.take(rows[0], axis=0).astype(np.float32, copy=False)  # several times as fast as an index
+    total = table.take(rows[0], axis=0)  # several times as fast as an index
     for own in rows[1:]:
         total += table.take(own, axis=0)
     return np.minimum(total, 60, out=total)
@@ -359,10 +359,14 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in (batch.column("doc_id"), batch.column("learn"), pa.array(n))]
             yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([squeeze.compress(planes)], pa.binary()), pa.array([len(own)])], names=["block", "doc_id", "learn", "n", "codes", "words"])
 
+    ready: dict = {}
+
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
         m, common_hash = shared.value
+        if not ready:  # once a task: half-precision numbers are slow to add
+            ready["tables"] = [t.astype(np.float32) for t in m.tables]
         base_all = m.tokens + 0.5 * (m.distinct + 1)
         row = left.slice(0, 1).to_pylist()[0] if left.num_rows else None
         if row is None or right.num_rows != row["words"]:
@@ -379,7 +383,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         base = np.bincount(owner, weights=np.log10((c + 0.5) / base_all)[code], minlength=len(n)) + np.log10((m.ends + 0.5) / base_all)
         known = np.bincount(owner, weights=(c > 0)[code], minlength=len(n)).astype(np.int64) + (m.ends > 0)
         share = np.where(unit >= TOP, np.log10((c + 0.5) / m.mass[np.maximum(unit - TOP, 0)]), 0)
-        own = log_probability(sequence(unit[code], n, 0), sequence(h[code], n, _END), n, m.tables)
+        own = log_probability(sequence(unit[code], n, 0), sequence(h[code], n, _END), n, ready["tables"])
         total = np.bincount(np.repeat(np.arange(len(n)), n + 1), weights=own, minlength=len(n)) + np.bincount(owner, weights=share[code], minlength=len(n))
         return pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pc.invert(pa.array(row["learn"], pa.bool_())), "n_tokens": n + 1, "n_known": known, "train_tokens": np.full(len(n), m.tokens), "base_score": base, "score": total})
 

@@ -87,7 +87,7 @@ def test_contexts_are_the_words_before():
     for own in ctx:
         assert own[0] == own[5]  # each text starts from nothing
     assert ctx[0][1] == ctx[0][3] and ctx[1][2] == ctx[1][4] and ctx[0][1] != ctx[0][2]
-    assert len({int(x[4]) for x in ctx}) == 4
+    assert len({int(x[4]) for x in ctx}) == 3
 
 
 def test_words_are_hashed_as_in_spark(spark):

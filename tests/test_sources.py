@@ -134,3 +134,12 @@ def test_streams(spark, docs, tmp_path):
     q = codes.writeStream.format("memory").queryName("codes").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("codes").count() == 7
+
+
+@pytest.mark.parametrize("kind", ["fvecs", "ivecs"])
+def test_vecs_of_many_files_are_read_by_name(spark, tmp_path, kind):
+    number = np.dtype("<f4" if kind == "fvecs" else "<i4")
+    for part in reversed(range(40)):
+        rows = [np.array([part * 3 + i] * 2).astype(number).tobytes() for i in range(3)]
+        (tmp_path / f"part-{part:05d}.{kind}").write_bytes(b"".join(np.array([2], "<i4").tobytes() + r for r in rows))
+    assert [(r.doc_id, list(r.vec)) for r in files.read_vecs(spark, str(tmp_path), kind).orderBy("doc_id").collect()] == [(i, [i, i]) for i in range(120)]

@@ -387,3 +387,11 @@ def test_scan_deals_many_queries_into_blocks(spark, metric):
     assert (got == want).all()
     few = search.scan(docs, queries.filter("qid < 40"), 3, metric, block=7).toPandas().sort_values(["qid", "rank"])
     assert (few.doc_id.to_numpy().reshape(-1, 3) == want[:40]).all()
+
+
+def test_packed_bits_are_computed_once_a_row(spark):
+    """Words that are all zeros or all ones by chance stay so: they would mix if each bit asked for its word anew."""
+    words = F.array(F.when(F.rand(3) < 0.5, F.lit(0)).otherwise(F.lit(-1)).cast("long"))
+    for column in (V.words_to_signs(words, 64), V.words_to_signs(V.shuffle_bits(words, list(range(63, -1, -1))), 64)):
+        rows = [set(r.v) for r in spark.range(40).select(column.alias("v")).collect()]
+        assert all(len(r) == 1 for r in rows) and len(set.union(*rows)) == 2

@@ -35,3 +35,19 @@ def test_nearest_with_ties_in_dealt_blocks(spark):
     asked = spark.range(4_200).select(F.col("id").alias("qid"), F.array(F.lit(0.0), F.lit(1.0)).alias("qvec"))
     found = search.knn(docs, asked, 4, "l2").groupBy("rank", "doc_id", "score").count().orderBy("rank").collect()
     assert [tuple(r) for r in found] == [(1, 0, 0.0, 4_200), (2, 3, 0.0, 4_200), (3, 6, 0.0, 4_200), (4, 1, 1.0, 4_200)]
+
+
+def test_nearest_numbers_with_ties_and_odd_values(spark):
+    """Ties on both sides and beyond k places, equal numbers, and values and queries without a number, as of all pairs."""
+    x = [float(v) for v in (5, 5, 5, 5, 4, 6, 4, 6, 7, 3, 100)] + [math.nan, None, math.inf, -math.inf, 1e17, 1e17 + 16, 1e17 + 32]
+    values = spark.createDataFrame([(len(x) - i, v) for i, v in enumerate(x)], "doc_id long, x double")
+    queries = spark.createDataFrame([(0, 5.0), (1, 4.5), (2, 1e9), (3, None), (4, math.nan), (5, -1e17)], "qid long, y double")
+    for k in (1, 3, 7, 40):
+        got = search.nearest_1d(values, queries, k)
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        want = []
+        for q, y in [(0, 5.0), (1, 4.5), (2, 1e9), (3, None), (4, math.nan), (5, -1e17)]:
+            own = [(len(x) - i, None if v is None or y is None else abs(v - y)) for i, v in enumerate(x)]
+            own.sort(key=lambda r: (r[1] is None, r[1] is not None and math.isnan(r[1]), 0 if r[1] is None or math.isnan(r[1]) else r[1], r[0]))
+            want += [(q, n + 1, d) for n, (d, _) in enumerate(own[:k])]
+        assert sorted((r.qid, r["rank"], r.doc_id) for r in got.collect()) == want

@@ -1,15 +1,16 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import blocks
 from tessella.functions import vectors as V
-from tessella.operators import search
+from tessella.operators import predicates, search
 from tessella.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["knn_bray_curtis", "knn_jaccard", "knn_jensen_shannon", "knn_lp", "knn_nan_euclidean", "knn_gower", "budgeted_range", "index_itq", "index_padded", "knn_and_range", "tolerant_comparison"])
+@pytest.mark.parametrize("name", ["knn_bray_curtis", "knn_jaccard", "knn_jensen_shannon", "knn_lp", "knn_nan_euclidean", "knn_gower", "budgeted_range", "index_itq", "index_padded", "knn_and_range", "tolerant_comparison", "selector_2d_callback"])
 def test_pairs_are_compared_as_matrices(spark, sf, name):
     assert "MapInArrow" in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
@@ -37,6 +38,16 @@ def test_nearest_with_ties_in_dealt_blocks(spark):
     assert [tuple(r) for r in found] == [(1, 0, 0.0, 4_200), (2, 3, 0.0, 4_200), (3, 6, 0.0, 4_200), (4, 1, 1.0, 4_200)]
 
 
+def test_callback_is_asked_of_as_many_pairs_as_needed(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(300, 4)))], "doc_id long, vec array<double>")
+    asked = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
+    found = search.knn(docs, asked, 7, among=predicates.pairs_callback(lambda q, d: (q + d) % 11 == 0))
+    want = search.knn(docs, asked, 7, on=(F.col("qid") + F.col("doc_id")) % 11 == 0)
+    assert sorted((r.qid, r.rank, r.doc_id) for r in found.collect()) == sorted((r.qid, r.rank, r.doc_id) for r in want.collect())
+    assert found.count() == 42
+
+
 def test_nearest_numbers_with_ties_and_odd_values(spark):
     """Ties on both sides and beyond k places, equal numbers, and values and queries without a number, as of all pairs."""
     x = [float(v) for v in (5, 5, 5, 5, 4, 6, 4, 6, 7, 3, 100)] + [math.nan, None, math.inf, -math.inf, 1e17, 1e17 + 16, 1e17 + 32]

@@ -10,7 +10,7 @@ from tessella.operators import predicates, search
 from tessella.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["knn_bray_curtis", "knn_jaccard", "knn_jensen_shannon", "knn_lp", "knn_nan_euclidean", "knn_gower", "budgeted_range", "index_itq", "index_padded", "knn_and_range", "tolerant_comparison", "selector_2d_callback"])
+@pytest.mark.parametrize("name", ["knn_bray_curtis", "knn_jaccard", "knn_jensen_shannon", "knn_lp", "knn_nan_euclidean", "knn_gower", "budgeted_range", "index_itq", "index_padded", "knn_and_range", "tolerant_comparison", "selector_2d_callback", "l2_from_products"])
 def test_pairs_are_compared_as_matrices(spark, sf, name):
     assert "MapInArrow" in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 

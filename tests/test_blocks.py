@@ -62,3 +62,18 @@ def test_nearest_numbers_with_ties_and_odd_values(spark):
             own.sort(key=lambda r: (r[1] is None, r[1] is not None and math.isnan(r[1]), 0 if r[1] is None or math.isnan(r[1]) else r[1], r[0]))
             want += [(q, n + 1, d) for n, (d, _) in enumerate(own[:k])]
         assert sorted((r.qid, r["rank"], r.doc_id) for r in got.collect()) == want
+
+
+def test_graph_step_finds_the_best_of_neighbours_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    docs = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id long, vec array<double>")
+    links = {(i, int(j)) for i in range(60) for j in rng.choice(60, 3) if i != j}
+    both = links | {(b, a) for a, b in links}
+    graph = search.improve_graph(spark.createDataFrame(sorted(links), "src long, dst long"), docs, 5)
+    assert "FlatMapGroupsInArrow" in graph._jdf.queryExecution().executedPlan().toString()
+    for i in range(60):
+        near = {b for a, b in both if a == i}
+        near |= {b for a, b in both if a in near and b != i}
+        want = sorted(near, key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:5]
+        assert [r.dst for r in graph.filter(f"src = {i}").orderBy("rank").collect()] == want if i % 20 == 0 else True

@@ -102,6 +102,11 @@ def feature_rows(ctx: list[np.ndarray], prefix: np.ndarray, digit: int) -> list[
     return out
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of rows of a few numbers: as a product several times as fast."""
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def _logits(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     total = table.take(rows[0], axis=0)  # several times as fast as an index
     for own in rows[1:]:
@@ -120,11 +125,13 @@ def _descend(table: np.ndarray, square: np.ndarray, seen: np.ndarray, rows: list
     n = len(target)
     e = _logits(table, rows)
     np.exp(e, out=e)
-    e /= e.sum(1, keepdims=True)
-    e[np.arange(n), target] -= 1
-    flat = np.concatenate(rows).astype(np.int32)
-    order = np.argsort(flat)
-    at, token = flat.take(order), (order.astype(np.int32) % np.int32(n))
+    e *= (1 / _row_sums(e))[:, None]
+    e.ravel()[np.arange(0, e.size, e.shape[1]) + target] -= 1
+    # rows and their tokens as one number: several times as fast to sort as by an index
+    bits = n.bit_length()
+    keys = np.concatenate([(own << bits) + np.arange(n) for own in rows])
+    keys.sort()
+    at, token = keys >> bits, keys & ((1 << bits) - 1)
     first = np.ones(len(at), bool)
     np.not_equal(at[1:], at[:-1], out=first[1:])
     cuts = np.flatnonzero(first)
@@ -137,7 +144,7 @@ def _descend(table: np.ndarray, square: np.ndarray, seen: np.ndarray, rows: list
         starts = starts_of(size.take(often))[:-1]
         slope[often] = np.add.reduceat(e.take(token[some], axis=0), starts, axis=0)
     seen[own] += size.astype(np.int32)
-    total = square.take(own) + np.einsum("ij,ij->i", slope, slope) / np.float32(slope.shape[1])
+    total = square.take(own) + _row_sums(slope * slope) / np.float32(slope.shape[1])
     square[own] = total
     slope *= (-STEP / np.sqrt(total + np.float32(1e-8)))[:, None]
     slope += table.take(own, axis=0)
@@ -167,7 +174,8 @@ def log_probability(unit: np.ndarray, h: np.ndarray, counts: np.ndarray, tables:
         total = np.zeros(len(near[0]))
         for d in range(3):
             logit = _logits(tables[d], feature_rows(near, prefix[d][own], d))
-            total += logit[np.arange(len(total)), digit[d][own]] - np.log(np.exp(logit).sum(1))
+            total += logit.ravel().take(np.arange(0, logit.size, logit.shape[1]) + digit[d][own])
+            total -= np.log(_row_sums(np.exp(logit, out=logit)))
         out[own] = total
     return out / np.log(10)
 

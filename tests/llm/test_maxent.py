@@ -122,3 +122,22 @@ def test_edge_tables(spark):
     assert M.score_documents(docs.limit(0), fold() != 1).count() == 0
     rows = M.score_documents(docs, fold() != 1).collect()
     assert sorted(r.n_tokens for r in rows) == [1, 4] and all(not r.held_out for r in rows)
+
+
+def test_updates_do_not_sort_by_an_index(monkeypatch):
+    """Rows and tokens are sorted as one number: an argsort of four rows a token was a fifth of learning."""
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("argsort")
+
+    monkeypatch.setattr(M.np, "argsort", refuse)
+    rng = np.random.default_rng(1)
+    table, square, seen = np.zeros((40, 16), np.float32), np.full(40, 0.1, np.float32), np.zeros(40, np.int32)
+    rows, target = [rng.integers(0, 20, 300), rng.integers(20, 40, 300)], rng.integers(0, 16, 300)
+    M._descend(table, square, seen, rows, target)
+    slope = np.zeros((40, 16))
+    for own in rows:
+        np.add.at(slope, own, 1 / 16 - (np.arange(16) == target[:, None]))
+    assert (seen == np.bincount(np.concatenate(rows), minlength=40)).all()
+    total = 0.1 + (slope**2).mean(1)
+    assert np.allclose(square, total, rtol=1e-4) and np.allclose(table, -M.STEP * slope / np.sqrt(total)[:, None], rtol=1e-3, atol=1e-5)

@@ -8,6 +8,7 @@ from tessella.functions import blocks
 from tessella.functions import vectors as V
 from tessella.operators import predicates, search, topk
 from tessella.plans import catalog
+from tessella.plans.index import Index
 
 
 @pytest.mark.parametrize("name", ["knn_bray_curtis", "knn_jaccard", "knn_jensen_shannon", "knn_lp", "knn_nan_euclidean", "knn_gower", "budgeted_range", "index_itq", "index_padded", "knn_and_range", "tolerant_comparison", "selector_2d_callback", "l2_from_products"])
@@ -120,3 +121,23 @@ def test_pairs_of_a_small_file_are_dealt_to_all_cores(spark, sf):
     plan = search.pairwise(docs, asked)._jdf.queryExecution().executedPlan().toString()
     assert docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
     assert "REPARTITION_BY_NUM" in plan[plan.index("MapInArrow") :].split("Join")[0]
+
+
+def test_refining_all_candidates_compares_matrices(spark, sf):
+    """A pair's row for each was joined twice and ranked; of lists that are not all probed only the probed ones count."""
+    plan = catalog.QUERIES["index_lists_product_refined"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "list_no" not in plan.split("MapInArrow")[0]
+    docs = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
+    index = Index("IVF8,PQ8x4,RFlat").train(docs, rounds=1).add(docs)
+    probed = search.coarse(asked, index.centroids, 3, "l2").select("qid", "list_no").collect()
+    lists = {r.doc_id: r.list_no for r in index.rows.collect()}
+    pairs = {(r.qid, d) for r in probed for d, own in lists.items() if own == r.list_no}
+    want = topk.top_k(search.pairwise(docs, asked).filter(F.concat_ws("-", "qid", "doc_id").isin([f"{a}-{b}" for a, b in pairs])), 5, False)
+    got = index.search(asked, 5, nprobe=3, k_factor=1e9)
+    assert sorted((r.qid, r["rank"], r.doc_id) for r in got.collect()) == sorted((r.qid, r["rank"], r.doc_id) for r in want.collect())
+
+
+def test_comparison_finds_each_result_twice_at_most(spark, sf):
+    plan = catalog.QUERIES["tolerant_comparison"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 2

@@ -141,3 +141,36 @@ def test_refining_all_candidates_compares_matrices(spark, sf):
 def test_comparison_finds_each_result_twice_at_most(spark, sf):
     plan = catalog.QUERIES["tolerant_comparison"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") <= 2
+
+
+@pytest.mark.parametrize("metric", ["inner_product", "l2", "jaccard", "jensen_shannon", "nan_euclidean"])
+def test_documents_are_read_once_and_odd_vectors_meet_all(spark, metric):
+    """Vectors with nulls, too short, empty or missing ones, on both sides, get what expressions give, in the one reading."""
+    nan, inf = math.nan, math.inf
+    x = [[0.1, 0.5, 0.0], [0.0, 0.0, 0.0], [nan, 0.2, 0.3], [-1.0, 0.5, -2.0], [inf, 0.5, 0.25], [0.3, None, 0.1], [0.4, 0.1], None, [0.1, 0.5, 0.0], [2.5, 0.1, 0.7], []]
+    docs = spark.createDataFrame(list(enumerate(x)), "doc_id long, vec array<double>")
+    asked = docs.select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
+    plain = docs.crossJoin(asked).select("qid", "doc_id", V.distance(metric, "qvec", "vec").alias("score"))
+    similar = V.is_similarity(metric)
+    key = lambda rows, *more: sorted(str((r.qid, r.doc_id, *(r[c] for c in more), None if r.score is None else round(r.score, 12))) for r in rows.collect())
+    found = search.knn(docs, asked, 4, metric)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "NestedLoop" not in plan and "Union" not in plan
+    assert key(found, "rank") == key(topk.top_k(plain.filter("not isnan(score)"), 4, similar), "rank")
+    inside = plain.filter("score > 0.2" if similar else "score < 0.9")
+    assert key(search.range_search(docs, asked, 0.2 if similar else 0.9, metric)) == key(inside) != []
+    graph = search.knn_graph(docs, 3, metric).select(F.col("src").alias("qid"), F.col("dst").alias("doc_id"), F.col("dist").alias("score"), "rank")
+    assert key(graph, "rank") == key(topk.top_k(plain.filter("qid <> doc_id and not isnan(score)"), 3, similar), "rank")
+
+
+def test_callback_is_asked_of_odd_vectors_too(spark):
+    docs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, None]), (2, None), (3, [0.5, 0.5])], "doc_id long, vec array<double>")
+    asked = docs.select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
+    for among, passed in ((predicates.pairs_callback(lambda q, d: d != 2), (0, 1, 3)), (predicates.pairs_callback(lambda q, d: d != 3) & predicates.pairs_callback(lambda q, d: q != 9), (0, 1, 2))):
+        found = search.knn(docs, asked, 9, "l2", among=among)
+        assert sorted((r.qid, r.doc_id) for r in found.collect()) == [(q, d) for q in range(4) for d in passed]
+
+
+def test_compared_results_are_found_by_one_reading(spark, sf):
+    plan = catalog.QUERIES["tolerant_comparison"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and plan.count("FileScan") <= 2

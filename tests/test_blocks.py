@@ -174,3 +174,31 @@ def test_callback_is_asked_of_odd_vectors_too(spark):
 def test_compared_results_are_found_by_one_reading(spark, sf):
     plan = catalog.QUERIES["tolerant_comparison"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and plan.count("FileScan") <= 2
+
+
+@pytest.mark.parametrize("similar", [True, False])
+def test_best_are_chosen_by_groups(similar):
+    """No pair that may count is missed, few others are taken; rows without numbers, with few, and with ties at the cut."""
+    rng = np.random.default_rng(8)
+    score = rng.normal(size=(40, 3_205))
+    score[1], score[2, 5:], score[3], score[4, ::2], score[5, 100] = math.nan, math.nan, 1.0, math.nan, math.inf
+    for k in (1, 10, 150, 3_204, 3_205):
+        taken = blocks.among_best(k, similar)(score.copy(), np.full(40, 1e-9))
+        for own, got in zip(-score if similar else score, taken):
+            number = ~np.isnan(own)
+            cut = np.sort(own[number])[: k][-1] if number.any() else math.inf
+            assert got[number & (own <= cut)].all() and not got[~number].any()
+        assert taken[6:].sum() <= 34 * (k + 8 + k // 2)
+    calls = []
+    part = np.partition
+    np.partition = lambda a, *more, **how: calls.append(a.size) or part(a, *more, **how)
+    try:
+        blocks.among_best(10, similar)(score, np.zeros(40))
+    finally:
+        np.partition = part
+    assert calls == [40 * 160]
+
+
+def test_padding_is_no_work_of_each_component(spark, sf):
+    plan = catalog.QUERIES["index_padded"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction(cast(" not in plan.split("MapInArrow")[-1]

@@ -208,3 +208,19 @@ def test_a_comparison_of_one_search_searches_once(spark, sf):
     frame = catalog.QUERIES["tolerant_comparison"](spark, sf)
     assert frame._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(r.qid for r in frame.collect()) == [0, 100, 200, 300, 400]
+
+
+@pytest.mark.parametrize("metric", ["l2", "inner_product", "jaccard"])
+def test_nearest_and_range_compare_pairs_once(spark, sf, metric):
+    """As both searches combined, with ties at the cut, odd vectors, and queries with fewer, as many and more inside."""
+    plan = catalog.QUERIES["knn_and_range"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning(qid") == 1 and "Join" not in plan
+    rng = np.random.default_rng(9)
+    x = [[float(v) for v in r] for r in rng.integers(0, 4, size=(300, 3))] + [[math.inf, 0.0, 0.0], [math.nan, 0.0, 0.0], [1.0, None, 0.0], None, [1.0]]
+    docs = spark.createDataFrame(list(enumerate(x)), "doc_id long, vec array<double>")
+    asked = docs.filter("doc_id % 30 = 7 or doc_id > 299").select((F.col("doc_id") + 1000).alias("qid"), F.transform("vec", lambda v, i: v + 0.3 * i).alias("qvec"))
+    key = lambda rows: sorted(str((r.qid, r.doc_id, r.score)) for r in rows.select("qid", "doc_id", "score").collect())
+    for radius in {"l2": (0.0, 1.0, 4.0, math.inf), "inner_product": (20.0, 5.0, math.inf), "jaccard": (0.8, 0.3, 0.0)}[metric]:
+        both = search.knn(docs, asked, 9, metric), search.range_search(docs, asked, radius, metric)
+        got = search.knn_and_range(docs, asked, 9, radius, metric)
+        assert key(got) == key(topk.combine_knn_and_range(*both, 9, radius, V.is_similarity(metric)))

@@ -13,12 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import code_points, discard, slices, stage, starts_of
+from tessella.llm.common import code_points, discard, release, slices, stage, starts_of
 
 MARK = "▁"
 #: Bytes of text whose units are numbered together, and that are split at a time; characters of a unit whose substrings are
 #: cut from one window.
-BLOCK, SPLIT, WINDOW = 32 << 20, 2 << 20, 64
+BLOCK, SPLIT, WINDOW = 32 << 20, 1 << 19, 64
 #: Added to a piece's merge rank: a file of merges has no probabilities and tokenizers aren't trained, so a piece costs
 #: ln(SMOOTH + rank), as if probabilities fell with the rank by Zipf's law.
 SMOOTH = 1000
@@ -159,18 +159,25 @@ def split_units(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, pa.StringA
     return np.diff(np.searchsorted(at, edges)), pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(begin, len(data)).astype(np.int32)), pa.py_buffer(data))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pieces: Pieces, common: pa.Array) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
-    """Blocks of a task with a number each, their units per text, the units by number, and the units that aren't ``common``:
-    numbers run through ``common`` first."""
-    part = TaskContext.get().partitionId()
+def _blocks(batches: Iterator[pa.RecordBatch], pieces: Pieces, common: pa.Array) -> Iterator[tuple[int, Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], pa.Array]]:
+    """Blocks of a task with a number each, their parts, and the units that aren't ``common``: numbers run through ``common``
+    first. A part has its rows, their units per text, and the units by number. Of a block only each part's distinct units and
+    their places are held, not all units spelled out."""
+    task = TaskContext.get().partitionId()
     for k, batch in enumerate(slices(batches, limit=BLOCK)):
-        split = [split_units(part.column("text"), pieces) for part in slices(iter([batch]), limit=SPLIT)]
-        counts = np.concatenate([n for n, _ in split])
-        code = pa.chunked_array([flat for _, flat in split]).dictionary_encode().combine_chunks()
+        parts, counts, places, names = [], [], [], []
+        for part in slices(iter([batch]), limit=SPLIT):
+            n, flat = split_units(part.column("text"), pieces)
+            code = flat.dictionary_encode()
+            for kept, new in ((parts, part), (counts, n), (places, code.indices.to_numpy()), (names, code.dictionary)):
+                kept.append(new)
+            del flat, code
+        code = pa.chunked_array(names, pa.string()).dictionary_encode().combine_chunks()
         known = pc.fill_null(pc.index_in(code.dictionary, value_set=common), -1).to_numpy().astype(np.int64)
         other = np.flatnonzero(known < 0)
         known[other] = len(common) + np.arange(len(other))
-        yield (part << 32) + k, batch, counts, known[code.indices.to_numpy()], code.dictionary.take(pa.array(other))
+        numbers = np.split(known[code.indices.to_numpy()], np.cumsum([len(x) for x in names])[:-1])
+        yield (task << 32) + k, ((p, n, own[at]) for p, n, own, at in zip(parts, counts, numbers, places)), code.dictionary.take(pa.array(other))
 
 
 def _pick(values: np.ndarray, start: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -207,7 +214,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``ids`` and ``round_trip`` (the ids spell the text again) of every row's whole text.
 
     Texts stay in blocks. A block's distinct units, each once, are encoded, but for the most common, whose ids every task
-    has; they come back to their block, whose texts travel as compressed unit numbers. Null and empty texts have no ids.
+    has; they come back to their block, whose texts travel as compressed unit numbers, a row a part. Null and empty texts have no ids.
     Repeated rows are encoded each. Other columns aren't used. Empty in, empty out.
     """
     pieces = load(path)
@@ -219,7 +226,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, common = shared.value
-        for block, _, _, _, own in _blocks(batches, pieces, pa.array(common.column("unit").combine_chunks())):
+        for block, _, own in _blocks(batches, pieces, pa.array(common.column("unit").combine_chunks())):
             for a in range(0, len(own), 100_000):
                 some = own.slice(a, 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(np.arange(a, a + len(some), dtype=np.int32)), some], names=["block", "place", "unit"])
@@ -229,18 +236,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
         pieces, common = shared.value
         squeeze = zstandard.ZstdCompressor(level=3)
-        for block, batch, n, code, own in _blocks(batches, pieces, pa.array(common.column("unit").combine_chunks())):
-            planes = code.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-            sums = [zlib.crc32((t or "").encode()) for t in batch.column("text").to_pylist()]
-            lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in (batch.column("doc_id"), pa.array(n), pa.array(sums, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([squeeze.compress(planes)], pa.binary()), pa.array([len(own)])], names=["block", "doc_id", "n", "sums", "codes", "units"])
+        for block, parts, own in _blocks(batches, pieces, pa.array(common.column("unit").combine_chunks())):
+            for part, n, code in parts:
+                planes = code.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                sums = [zlib.crc32((t or "").encode()) for t in part.column("text").to_pylist()]
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), x) for x in (part.column("doc_id"), pa.array(n), pa.array(sums, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([squeeze.compress(planes)], pa.binary()), pa.array([len(own)])], names=["block", "doc_id", "n", "sums", "codes", "units"])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
         pieces, common = shared.value
-        row = left.slice(0, 1).to_pylist()[0] if left.num_rows else None
-        if row is None or right.num_rows != row["units"]:
+        if not left.num_rows or set(left.column("units").to_pylist()) != {right.num_rows}:
             raise RuntimeError("a block's units differ between two reads of the input")
         known, lists = (t.column("ids").combine_chunks() for t in (common, right))
         order = np.empty(len(known) + right.num_rows, np.int64)
@@ -249,18 +256,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         flat = np.concatenate([np.asarray(x.flatten()).astype(np.int32) for x in (known, lists)])
         size = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (known, lists)])
         begin = starts_of(size)[:-1]
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint8)
-        code = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-        n = np.array(row["n"], np.int64)
-        at = starts_of(n)
-        ids, same = [], []
-        for a, b, total in zip(at[:-1].tolist(), at[1:].tolist(), row["sums"]):
-            own = _pick(flat, begin, size, order[code[a:b]])
-            ids.append(own)
-            same.append(zlib.crc32(decode_ids(own, pieces)) == total)
-        ends = starts_of(np.array([len(x) for x in ids], np.int64)).astype(np.int32)
-        values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-        return pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), values), "round_trip": same})
+        out = []
+        for k in range(left.num_rows):
+            row = left.slice(k, 1).to_pylist()[0]
+            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint8)
+            chosen = order[np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()]
+            ids = _pick(flat, begin, size, chosen)
+            ends = starts_of(size[chosen])[starts_of(np.array(row["n"], np.int64))]
+            same = [zlib.crc32(decode_ids(ids[a:b], pieces)) == total for a, b, total in zip(ends[:-1].tolist(), ends[1:].tolist(), row["sums"])]
+            out.append(pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), "round_trip": pa.array(same, pa.bool_())}))
+        release()
+        return pa.concat_tables(out)
 
     own = texts.mapInArrow(units, "block long, place int, unit string").repartition(max(1, -(-size // (4 << 20))), "block", "place")
     found = encode_units(own, pieces, ["block", "place"])

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -73,6 +75,60 @@ def test_common_units_change_no_result(spark, monkeypatch):
     assert sorted(map(str, L.encode(docs, PATH).collect())) == want
 
 
+@pytest.fixture
+def stages(spark, monkeypatch):
+    """The functions that ``encode`` gives to the workers (units, codes, join), to be called here."""
+    docs = spark.createDataFrame([(1, "the word")], "doc_id long, text string")
+    given, group = {}, type(docs.groupBy("doc_id").cogroup(docs.groupBy("doc_id")))
+    for kind, name in ((type(docs), "mapInArrow"), (group, "applyInArrow")):
+        monkeypatch.setattr(kind, name, lambda self, f, schema, call=getattr(kind, name): given.setdefault(f.__name__, f) and call(self, f, schema))
+    L.encode(docs, PATH)
+    monkeypatch.setattr(L, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Own", (), {"partitionId": lambda self: 3})())}))
+    return given
+
+
+def batch_of(texts):
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+
+
+def with_ids(units, ids):
+    table = pa.Table.from_batches(units)
+    return table.append_column("ids", pa.array([ids(u) for u in table["unit"].to_pylist()], pa.list_(pa.int32())))
+
+
+def test_blocks_of_several_parts(stages, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 400)
+    monkeypatch.setattr(L, "SPLIT", 60)
+    rng = random.Random(2)
+    texts = [None, ""] + [" ".join(rng.choices(["the", "word", "and", "中文", "eau\n", "", "x1", f"z{i}"], k=rng.choice((0, 3, 9, 40)))) for i in range(60)] + [""]
+    found = with_ids(stages["units"](iter([batch_of(texts)])), brute)
+    held = pa.Table.from_batches(stages["codes"](iter([batch_of(texts)])))
+    blocks = sorted(set(held["block"].to_pylist()))
+    assert len(blocks) > 3
+    of = lambda t, b: t.filter(pa.compute.equal(t["block"], b))
+    got = pa.concat_tables([stages["join"](of(held, b), of(found, b)) for b in blocks]).to_pylist()
+    assert got == [{"doc_id": k, "ids": brute(" " + t if t else ""), "round_trip": True} for k, t in enumerate(texts)]
+
+
+def test_memory_of_a_block(stages):
+    """A worker holds a few times the bytes of a block at once, not all its units and ids several times over."""
+    rng = np.random.default_rng(0)
+    names = np.array([f"w{i}" for i in range(30_000)])
+    batch = batch_of([" ".join(rng.choice(names, 2_000)) for _ in range(1_000)])
+    size = batch.column("text").nbytes
+    left, right = pa.Table.from_batches(stages["codes"](iter([batch]))), with_ids(stages["units"](iter([batch])), lambda u: [7, 8])
+    drain = lambda name: sum(b.num_rows for b in stages[name](iter([batch])))
+    peaks, usual = {}, pa.default_memory_pool()
+    for name, run in {"units": lambda: drain("units"), "codes": lambda: drain("codes"), "join": lambda: stages["join"](left, right).num_rows}.items():
+        pa.set_memory_pool(pool := pa.proxy_memory_pool(usual))
+        tracemalloc.start()
+        run()
+        peaks[name] = (tracemalloc.get_traced_memory()[1] + pool.max_memory()) / size
+        tracemalloc.stop()
+        pa.set_memory_pool(usual)
+    assert max(peaks.values()) < 15, peaks  # was 18 (units), 25 (codes), 21 (join)
+
+
 def test_other_columns_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b", 3, [1]), (1, "a b", 3, [1])], "doc_id long, text string, block long, ids array<int>")
     rows = L.encode(docs, PATH).collect()

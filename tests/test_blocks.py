@@ -80,6 +80,27 @@ def test_graph_step_finds_the_best_of_neighbours_neighbours(spark):
         assert [r.dst for r in graph.filter(f"src = {i}").orderBy("rank").collect()] == want if i % 20 == 0 else True
 
 
+def test_descent_finds_nine_in_ten_of_vectors_without_order(spark):
+    """Of vectors that need all their dimensions, so that a neighbour's neighbours are seldom near and few candidates do not do."""
+    x = np.random.default_rng(8).normal(size=(5000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    docs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, vec array<float>").repartition(4).persist()
+    graph = search.neighbour_descent(docs, 10).select("src", "dst").persist()
+    exact = search.knn_graph(docs, 10, "l2").select("src", "dst")
+    assert graph.groupBy("src").agg(F.countDistinct("dst").alias("n")).filter("n = 10").count() == 5000 and graph.count() == 50_000
+    assert graph.intersect(exact).count() >= 0.9 * 50_000
+
+
+@pytest.mark.parametrize("metric", ["l2", "inner_product", "bray_curtis"])
+def test_descent_of_odd_vectors(spark, metric):
+    """Copies, too short ones, missing ones, ones with nulls, NaN or numbers that overflow: edges and distances of the exact graph."""
+    x = [[float(v) for v in r] for r in np.random.default_rng(9).normal(size=(90, 3))]
+    x += [x[0]] * 4 + [[math.nan, 1.0, 2.0], [1e200, 1.0, 1.0], [0.5, None, 1.0], [0.5, 0.25], None]
+    docs = spark.createDataFrame(list(enumerate(x)), "doc_id long, vec array<double>")
+    got, want = search.neighbour_descent(docs, 4, metric=metric), search.knn_graph(docs, 4, metric)
+    assert sorted(map(str, got.select("src", "rank", "dst", "dist").collect())) == sorted(map(str, want.select("src", "rank", "dst", "dist").collect()))
+
+
 def test_budget_over_all_queries_needs_few_rows_of_a_block(spark):
     """Ties at the cut, infinite and missing components; as of all pairs."""
     rng = np.random.default_rng(5)

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tessella.llm.common import code_points, discard, release, slices, stage, starts_of
 
@@ -27,6 +28,8 @@ UNCOVERED = 1000.0
 #: An edge is its end, times LENGTHS, less its length, times PIECES, plus its piece's id; a character without a piece has its
 #: code point over BARE. An id is less than that.
 LENGTHS, PIECES, BARE = 64, 1 << 22, 1 << 21
+#: Units times the last end that fit in one number beside an edge.
+TOGETHER = 1 << 34
 
 
 @dataclass
@@ -75,16 +78,52 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return rows.withColumn("hash", F.xxhash64("name"))
 
 
-def _byte_ids(code: Column, first: int) -> Column:
-    """Ids of the byte pieces of a code point's UTF-8 bytes; ``first`` is that of byte 0."""
+def _spelled(code: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the byte pieces of code points' UTF-8 bytes, and how many each has; ``first`` is that of byte 0."""
+    raw = code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return np.frombuffer(raw, np.uint8).astype(np.int32) + first, 1 + sum((code >= least).astype(np.int64) for least in (0x80, 0x800, 0x10000))
 
-    def later(shift: int) -> Column:
-        return F.shiftright(code, shift).bitwiseAND(63) + (first + 0x80)
 
-    two = F.array(F.shiftright(code, 6) + (first + 0xC0), later(0))
-    three = F.array(F.shiftright(code, 12) + (first + 0xE0), later(6), later(0))
-    four = F.array(F.shiftright(code, 18) + (first + 0xF0), later(12), later(6), later(0))
-    return F.when(code < 0x80, F.array(code + first)).when(code < 0x800, two).when(code < 0x10000, three).otherwise(four)
+def cheapest_paths(edges: np.ndarray, counts: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of the cheapest path of each unit, and how many it has, by Viterbi's algorithm over the ends of all units at once.
+
+    ``edges`` are those of all units, one unit's (``counts``) behind the other's; each character has an edge of its own.
+    ``cost`` is by id. At each end the edge of least cost is kept, of equal ones the longest, then that of the smallest id.
+    """
+    units, low = len(counts), LENGTHS * PIECES
+    unit, end = np.repeat(np.arange(units), counts), edges // low
+    if units > 1 and int(end.max(initial=0)) * units >= TOGETHER:
+        cut, half = int(counts[: units // 2].sum()), units // 2
+        parts = cheapest_paths(edges[:cut], counts[:half], cost), cheapest_paths(edges[cut:], counts[half:], cost)
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+    keys = (end * units + unit) * low + edges % low
+    keys.sort()
+    piece, length, group = keys % PIECES, LENGTHS - keys // PIECES % LENGTHS, keys // low
+    end, unit = np.divmod(group, max(units, 1))
+    base = starts_of(np.bincount(unit[length == 1], minlength=units) + 1)
+    at, step = base[unit] + end, np.where(piece < BARE, cost[np.minimum(piece, len(cost) - 1)], UNCOVERED)
+    best, into, back = np.zeros(base[-1]), np.zeros(base[-1], np.int64), np.zeros(base[-1], np.int64)
+    heads = np.flatnonzero(np.diff(group, prepend=-1))
+    of_end = np.searchsorted(end[heads], np.arange(1, end[-1] + 2 if len(end) else 1))
+    for a, b in zip(of_end[:-1].tolist(), of_end[1:].tolist()):
+        first = heads[a:b]
+        own = slice(int(first[0]), int(heads[b]) if b < len(heads) else len(keys))
+        total = best[at[own] - length[own]] + step[own]
+        least = np.minimum.reduceat(total, first - own.start)
+        node = at[first]
+        best[node] = least
+        same = np.flatnonzero(total == best[at[own]])[::-1] + own.start
+        into[at[same]] = same  # of repeated places the last one counts, which is the first edge
+    back[1:] = length[into[1:]] if len(length) else 0
+    on, now = np.zeros(len(best), bool), base[1:] - 1
+    now = now[now > base[:-1]]
+    floor = np.zeros(len(best), bool)
+    floor[base[:-1]] = True
+    while len(now):
+        on[now] = True
+        now = now - back[now]
+        now = now[~floor[now]]
+    return piece[into[on]], np.diff(starts_of(on.astype(np.int64))[base])
 
 
 def encode_units(units: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
@@ -92,11 +131,9 @@ def encode_units(units: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame
 
     Substrings of at most the longest piece's characters are exploded with their places and joined to the pieces (by
     their hash, which is a long; the strings are compared too); a character that is no piece becomes an edge too. An edge
-    is one number: its end, its length (the longer first) and its piece. Edges are grouped by unit again, in order, and
-    folded over the ends: each end's least cost is kept with the last piece of its path, of equal ones the longest. The
-    path is then read backwards. The table of pieces is a constant, so it is broadcast. If ``units`` are partitioned by
-    the keys, nothing is exchanged. An accumulator is copied at every end, so time grows with the square of a unit's
-    length; units are short unless no cut is possible (see :func:`split_units`).
+    is one number: its end, its length (the longer first) and its piece. Edges are grouped by unit again and folded over the
+    ends, those of an Arrow batch of units at once (see :func:`cheapest_paths`). The table of pieces is a constant, so it is
+    broadcast. If ``units`` are partitioned by the keys, nothing is exchanged.
     """
     table = piece_table(units.sparkSession, pieces)
     longest = pieces.longest
@@ -108,33 +145,29 @@ def encode_units(units: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame
     spans = spans.select(*keys, order.alias("k"), "n", F.substring("part", F.col("i") + 1, F.col("n")).alias("piece")).withColumn("hash", F.xxhash64("piece"))
     edges = spans.join(F.broadcast(table), "hash", "left").withColumn("known", F.coalesce(F.col("piece") == F.col("name"), F.lit(False))).filter("known or n = 1")
     piece = F.when(F.col("known"), F.col("id")).otherwise(F.ascii("piece") + BARE).cast("long")
-    grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("k") * PIECES + piece)).alias("edges"))
-
-    by_id = [UNCOVERED] * (max(pieces.ids, default=0) + 1)
-    for i, c in zip(pieces.ids, pieces.cost):
-        by_id[i] = c
-    costs = F.split(F.lit(",".join(map(repr, by_id))), ",").cast("array<double>")  # folded to one constant
-    piece_of = lambda e: e.bitwiseAND(PIECES - 1).cast("int")
-    length_of = lambda e: LENGTHS - F.shiftright(e, PIECES.bit_length() - 1).bitwiseAND(LENGTHS - 1).cast("int")
-    cost_of = lambda e: F.coalesce(F.get(costs, piece_of(e)), F.lit(UNCOVERED))
-
-    def step(ends: Column, own: Column) -> Column:
-        into = F.transform(F.slice("edges", own["first"], own["n"]), lambda e: F.struct((F.get(ends, F.size(ends) - length_of(e))["cost"] + cost_of(e)).alias("cost"), e.alias("edge")))
-        return F.concat(ends, F.array(F.array_min(into)))
-
-    def back(state: Column, end: Column) -> Column:
-        taken = F.struct((length_of(end["edge"]) - 1).alias("skip"), F.concat(state["ids"], F.array(piece_of(end["edge"]))).alias("ids"))
-        return F.when(state["skip"] > 0, F.struct((state["skip"] - 1).alias("skip"), state["ids"].alias("ids"))).otherwise(taken)
-
-    # the last edge to each end is that of one character; it and those since the last before it are that end's
-    last = F.filter(F.sequence(F.lit(1), F.size("edges")), lambda i: length_of(F.get("edges", i - 1)) == 1)
-    runs = F.transform("last", lambda j, i: F.struct((F.coalesce(F.get("last", i - 1), F.lit(0)) + 1).alias("first"), (j - F.coalesce(F.get("last", i - 1), F.lit(0))).alias("n")))
-    origin = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("edge")))
-    folded = grouped.withColumn("last", last).select(*keys, F.aggregate(runs, origin, step, lambda ends: F.reverse(F.slice(ends, 2, F.size(ends) - 1))).alias("ends"))
-    ids = F.aggregate("ends", F.struct(F.lit(0).alias("skip"), F.array().cast("array<int>").alias("ids")), back, lambda s: F.reverse(s["ids"]))
-    found = folded.select(*keys, ids.alias("ids"))
-    spelled = F.flatten(F.transform("ids", lambda i: F.when(i < BARE, F.array(i)).otherwise(_byte_ids(i - BARE, pieces.bytes_from))))
-    return found.select(*keys, F.when(F.exists("ids", lambda i: i >= BARE), spelled).otherwise(F.col("ids")).alias("ids"))
+    grouped = edges.groupBy(*keys).agg(F.collect_list(F.col("k") * PIECES + piece).alias("edges"))
+
+    cost = np.full(max(pieces.ids, default=0) + 1, UNCOVERED)
+    cost[pieces.ids] = pieces.cost
+    bytes_from = pieces.bytes_from
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("edges")
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, n = cheapest_paths(lists.flatten().to_numpy(), counts, cost)
+            if (bare := ids >= BARE).any():
+                spelled, wide = _spelled(ids[bare] - BARE, bytes_from)
+                size = np.ones(len(ids), np.int64)
+                size[bare] = wide
+                n = np.diff(starts_of(size)[starts_of(n)])
+                of_bare, ids = np.repeat(bare, size), np.repeat(ids, size)
+                ids[of_bare] = spelled
+            ends = pa.array(starts_of(n).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)))], names=[*keys, "ids"])
+
+    schema = StructType([*(grouped.schema[k] for k in keys), StructField("ids", ArrayType(IntegerType()))])
+    return grouped.mapInArrow(fold, schema)
 
 
 def split_units(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, pa.StringArray]:

@@ -152,3 +152,26 @@ def test_round_trip_and_the_library_decodes(spark, sf):
 
 def test_empty(spark):
     assert L.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_units_of_a_batch_are_folded_at_once(spark, monkeypatch):
+    """In arrays, not by expressions that are interpreted edge by edge, which were most of the encoding's time: a batch has
+    the paths of each unit alone, also where one number holds few units beside an edge."""
+    edges = lambda u: [(b * L.LENGTHS + L.LENGTHS - n) * L.PIECES + (COST[u[b - n : b]][1] if u[b - n : b] in COST else L.BARE + ord(u[b - 1])) for b in range(1, len(u) + 1) for n in range(1, min(PIECES.longest, b) + 1) if n == 1 or u[b - n : b] in COST]
+    cost = np.full(max(PIECES.ids) + 1, L.UNCOVERED)
+    cost[PIECES.ids] = PIECES.cost
+    rng = random.Random(3)
+    units = ["".join(rng.choices("aeiounrst é中", k=rng.randint(1, 30))) for _ in range(300)] + ["a" * 2000]
+    own = [edges(u) for u in units]
+    for e in own:
+        rng.shuffle(e)
+    ids, n = L.cheapest_paths(np.concatenate(own), np.array(list(map(len, own))), cost)
+    want = [[i if i >= 0 else L.BARE - 1 - i for i in cheapest(u)[1]] for u in units]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    with monkeypatch.context() as m:
+        m.setattr(L, "TOGETHER", 400)
+        halves = L.cheapest_paths(np.concatenate(own), np.array(list(map(len, own))), cost)
+    assert halves[0].tolist() == ids.tolist() and halves[1].tolist() == n.tolist()
+    assert [len(x) for x in L.cheapest_paths(np.zeros(0, np.int64), np.zeros(3, np.int64), cost)] == [0, 3]
+    plan = L.encode_units(spark.createDataFrame([(1, " the")], "place long, unit string"), PIECES, ["place"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan

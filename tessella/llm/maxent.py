@@ -26,12 +26,16 @@ SIZES = tuple(-(-(p + (1 << b)) // PIECE) * PIECE for p, b in zip(PREFIXES, BITS
 STARTS = (0, SIZES[0], SIZES[0] + SIZES[1])
 #: Tokens of one gradient update, its step, and what each row's sum of squared slopes starts from.
 BATCH, STEP, PRIOR = 8192, 0.15, 0.1
+#: Tokens of a row in an update that are added one by one.
+FEW = 8
 #: Bytes of text whose words are looked up together, and that one worker learns from between two averages.
 BLOCK, SHARD = 8 << 20, 96 << 20
 #: Words whose counts every worker has; those of all others are joined.
 COMMON = 1 << 16
 #: What the context has before the text; hash of the end.
 _NONE, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: XXH64's.
+_PRIMES = tuple(np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -49,11 +53,41 @@ class Model:
     ends: int
 
 
-def hashes(words: pa.Array) -> np.ndarray:
-    """XXH64 (seed 42) of each word."""
-    from xxhash import xxh64_intdigest
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
 
-    return np.fromiter((xxh64_intdigest(w, 42) for w in pc.cast(words, pa.binary()).to_pylist()), np.uint64, len(words))
+def hashes(words: pa.Array) -> np.ndarray:
+    """XXH64 (seed 42) of each word: of those under 32 bytes all at once, in arrays; of longer ones one by one."""
+    raw = pc.cast(words, pa.binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) if len(raw) else np.zeros(1, np.int64)
+    data = np.frombuffer((raw.buffers()[2] or b"") if len(raw) else b"", np.uint8)[offsets[0] : offsets[-1]]
+    at, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    # bytes from each place on as one number
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = size.astype(np.uint64) + (np.uint64(42) + _PRIMES[4])
+    for k in range(0, 24, 8):
+        own = np.flatnonzero((size >= k + 8) & (size < 32))
+        if len(own):
+            lane = _turn(eight[at[own] + k] * _PRIMES[1], 31) * _PRIMES[0]
+            h[own] = _turn(h[own] ^ lane, 27) * _PRIMES[0] + _PRIMES[3]
+    done = size & ~7
+    own = np.flatnonzero((size & 4 > 0) & (size < 32))
+    h[own] = _turn(h[own] ^ ((eight[at[own] + done[own]] & np.uint64(0xFFFFFFFF)) * _PRIMES[0]), 23) * _PRIMES[1] + _PRIMES[2]
+    done = size & ~3
+    for k in range(3):
+        own = np.flatnonzero((size & 3 > k) & (size < 32))
+        h[own] = _turn(h[own] ^ (data[at[own] + done[own] + k].astype(np.uint64) * _PRIMES[4]), 11) * _PRIMES[0]
+    for by, prime in ((33, _PRIMES[1]), (29, _PRIMES[2])):
+        h = (h ^ (h >> np.uint64(by))) * prime
+    h ^= h >> np.uint64(32)
+    long = np.flatnonzero(size >= 32)
+    if len(long):
+        from xxhash import xxh64_intdigest
+
+        h[long] = [xxh64_intdigest(w, 42) for w in raw.take(pa.array(long)).to_pylist()]
+    return h
 
 
 def buckets(h: np.ndarray) -> np.ndarray:
@@ -107,7 +141,7 @@ def _row_sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], x.dtype)
 
 
-def _logits(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+def _logits(table: np.ndarray, rows: list[np.ndarray] | np.ndarray) -> np.ndarray:
     total = table.take(rows[0], axis=0)  # several times as fast as an index
     for own in rows[1:]:
         total += table.take(own, axis=0)
@@ -120,34 +154,57 @@ def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     table.view(whole).ravel()[rows] = values.view(whole).ravel()
 
 
+def _slopes(e: np.ndarray, token: np.ndarray, cuts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the tokens' ``e`` by row, whose ``size`` tokens are at ``cuts``: most rows have few, and all rows' first ones are
+    added at once, then the second ones; only of rows with more than FEW are the tokens brought together."""
+    out = e.take(token.take(cuts), axis=0)
+    more = np.flatnonzero(size > 1)
+    n = size.take(more)
+    some, often = more[n <= FEW], more[n > FEW]
+    if len(some):
+        bits = len(size).bit_length()
+        some = np.sort((size.take(some) << bits) + some)[::-1]  # rows with most tokens first
+        many, some = some >> bits, some & ((1 << bits) - 1)
+        start, total = cuts.take(some), out.take(some, axis=0)
+        for k in range(1, int(many[0])):
+            left = int(np.count_nonzero(many > k))
+            total[:left] += e.take(token.take(start[:left] + k), axis=0)
+        _put(out, some, total)
+    if len(often):
+        n = size.take(often)
+        starts = starts_of(n)[:-1]
+        within = np.arange(int(n.sum())) + np.repeat(cuts.take(often) - starts, n)
+        out[often] = np.add.reduceat(e.take(token.take(within), axis=0), starts, axis=0)
+    return out
+
+
 def _descend(table: np.ndarray, square: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> None:
     """One update of the rows that are active, each with its own step length (AdaGrad), from these tokens' gradient."""
     n = len(target)
-    e = _logits(table, rows)
-    np.exp(e, out=e)
-    e *= (1 / _row_sums(e))[:, None]
-    e.ravel()[np.arange(0, e.size, e.shape[1]) + target] -= 1
     # rows and their tokens as one number: several times as fast to sort as by an index
     bits = n.bit_length()
-    keys = np.concatenate([(own << bits) + np.arange(n) for own in rows])
+    wide = bits + len(rows).bit_length()
+    keys = np.concatenate([(own << wide) + ((k << bits) + np.arange(n)) for k, own in enumerate(rows)])
     keys.sort()
-    at, token = keys >> bits, keys & ((1 << bits) - 1)
+    at, place = keys >> wide, keys & ((1 << wide) - 1)
     first = np.ones(len(at), bool)
     np.not_equal(at[1:], at[:-1], out=first[1:])
     cuts = np.flatnonzero(first)
     own, size = at.take(cuts), np.diff(cuts, append=len(at))
-    # most rows are active once; the others' slopes are added up
-    slope = e.take(token.take(cuts), axis=0)
-    often = np.flatnonzero(size > 1)
-    if len(often):
-        some = np.repeat(size > 1, size)
-        starts = starts_of(size.take(often))[:-1]
-        slope[often] = np.add.reduceat(e.take(token[some], axis=0), starts, axis=0)
-    seen[own] += size.astype(np.int32)
-    total = square.take(own) + _row_sums(slope * slope) / np.float32(slope.shape[1])
+    # each row is fetched once, in order; tokens find theirs among those
+    before, of = table.take(own, axis=0), np.empty(len(rows) << bits, np.int64)
+    of[place] = np.repeat(np.arange(len(own)), size)
+    e = _logits(before, of.reshape(len(rows), -1)[:, :n])
+    np.exp(e, out=e)
+    e *= (1 / _row_sums(e))[:, None]
+    e.ravel()[np.arange(0, e.size, e.shape[1]) + target] -= 1
+    token = place & ((1 << bits) - 1)
+    slope = _slopes(e, token, cuts, size)
+    seen[own] = seen.take(own) + size.astype(np.int32)
+    total = square.take(own) + np.einsum("ij,ij->i", slope, slope) / np.float32(slope.shape[1])
     square[own] = total
     slope *= (-STEP / np.sqrt(total + np.float32(1e-8)))[:, None]
-    slope += table.take(own, axis=0)
+    slope += before
     _put(table, own, slope)
 
 
@@ -336,6 +393,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], common: pa.Array) -> Iterator[tup
         yield (part << 32) + k, batch, counts, known[code.indices.to_numpy()], code.dictionary.take(pa.array(other))
 
 
+def _packed(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -347,38 +411,40 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     word a bucket sum to 1.
 
     Texts stay in blocks of some megabytes. A block's distinct words, each once, meet the counts in a join by word, but for
-    the common ones, whose counts every task has; they come back to their block, whose texts travel as word numbers in
-    compressed form.
+    the common ones, whose counts every task has; they come back to their block. Its texts go the same way as word numbers in
+    compressed form, in a row without counts, so blocks are read once.
     """
     common_hash = hashes(model.words)
     shared = docs.sparkSession.sparkContext.broadcast((model, common_hash))
     texts = docs.select("doc_id", "learn", "text")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, _, own in _blocks(batches, shared.value[0].words):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(len(own), dtype=np.int32)), own], names=["block", "place", "word"])
-
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1)
         for block, batch, n, code, own in _blocks(batches, shared.value[0].words):
             planes = code.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
             lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in (batch.column("doc_id"), batch.column("learn"), pa.array(n))]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([squeeze.compress(planes)], pa.binary()), pa.array([len(own)])], names=["block", "doc_id", "learn", "n", "codes", "words"])
+            row = pa.RecordBatch.from_arrays([*lists, pa.array([squeeze.compress(planes)], pa.binary()), pa.array([len(own)])], names=["doc_id", "learn", "n", "codes", "words"])
+            names = ["block", "place", "word", "held"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(len(own), dtype=np.int32)), own, pa.nulls(len(own), pa.binary())], names=names)
+            # no word has a blank, so this one has no counts
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), pa.array([f" {block}"]), pa.array([_packed(row)], pa.binary())], names=names)
 
     ready: dict = {}
 
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+    def join(table: pa.Table) -> pa.Table:
         import zstandard
 
         m, common_hash = shared.value
         if not ready:  # once a task: half-precision numbers are slow to add
             ready["tables"] = [t.astype(np.float32) for t in m.tables]
         base_all = m.tokens + 0.5 * (m.distinct + 1)
-        row = left.slice(0, 1).to_pylist()[0] if left.num_rows else None
+        held = pc.is_valid(table.column("held"))
+        rows, right = table.filter(held).column("held").to_pylist(), table.select(["place", "n", "h"]).filter(pc.invert(held))
+        row = pa.ipc.open_stream(rows[0]).read_all().to_pylist()[0] if len(rows) == 1 else None
         if row is None or right.num_rows != row["words"]:
-            raise RuntimeError("a block's words differ between two reads of the input")
+            raise RuntimeError("a block's words are not all those that were sent")
         k, place = len(m.counts), right.column("place").to_numpy()
         c, h, at = np.zeros(k + len(place)), np.zeros(k + len(place), np.uint64), np.full(k + len(place), -1)
         c[:k], h[:k], at[:k] = m.counts, common_hash, np.arange(k)
@@ -395,10 +461,9 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         total = np.bincount(np.repeat(np.arange(len(n)), n + 1), weights=own, minlength=len(n)) + np.bincount(owner, weights=share[code], minlength=len(n))
         return pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pc.invert(pa.array(row["learn"], pa.bool_())), "n_tokens": n + 1, "n_known": known, "train_tokens": np.full(len(n), m.tokens), "base_score": base, "score": total})
 
-    found = texts.mapInArrow(words, "block long, place int, word string").join(counts, "word", "left")
-    found = found.select("block", "place", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.xxhash64("word").alias("h"))
-    held = texts.mapInArrow(codes, "block long, doc_id array<long>, learn array<boolean>, n array<long>, codes binary, words long")
-    return held.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(join, RESULT)
+    found = texts.mapInArrow(blocks, "block long, place int, word string, held binary").join(counts, "word", "left")
+    found = found.select("block", "place", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.xxhash64("word").alias("h"), "held")
+    return found.groupBy("block").applyInArrow(join, RESULT)
 
 
 def score_documents(docs: DataFrame, learn: Column, rounds: int = 1) -> DataFrame:

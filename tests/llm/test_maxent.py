@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import maxent as M
@@ -141,3 +142,35 @@ def test_updates_do_not_sort_by_an_index(monkeypatch):
     assert (seen == np.bincount(np.concatenate(rows), minlength=40)).all()
     total = 0.1 + (slope**2).mean(1)
     assert np.allclose(square, total, rtol=1e-4) and np.allclose(table, -M.STEP * slope / np.sqrt(total)[:, None], rtol=1e-3, atol=1e-5)
+
+
+def test_all_lengths_are_hashed_as_by_the_library():
+    """In arrays, so that words under 32 bytes take no call each; slices and missing bytes too."""
+    words = pa.array(["x" * n for n in range(70)] + ["aé中🙂"[n % 4] * (n % 11) + "z" * (n % 7) for n in range(80)])
+    for own in (words, words[3:90], words[:0], pa.array([""])):
+        assert M.hashes(own).tolist() == [xxhash.xxh64_intdigest(w, 42) for w in own.to_pylist()]
+
+
+def test_short_words_take_no_call_each(monkeypatch):
+    def refuse(*args):
+        raise AssertionError("a call a word")
+
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", refuse)
+    assert len(set(M.hashes(pa.array(["a", "word", "longer than eight"])).tolist())) == 3
+
+
+def test_slopes_of_rows_with_few_and_many_tokens():
+    rng = np.random.default_rng(4)
+    size = rng.permutation(np.array([1, 2, 3, M.FEW, M.FEW + 1, 500, 1, 7]))
+    e, token = rng.normal(size=(600, 16)).astype(np.float32), rng.integers(0, 600, size.sum())
+    cuts = np.cumsum(size) - size
+    want = np.array([e[token[a : a + n]].astype(np.float64).sum(0) for a, n in zip(cuts, size)])
+    assert np.allclose(M._slopes(e, token, cuts, size), want, atol=1e-4)
+
+
+def test_scoring_reads_texts_once(spark):
+    """Words and texts of a block go one way together; they were split from the texts once for each."""
+    docs = spark.createDataFrame([(i, f"a b word{i}") for i in range(5)], "doc_id long, text string").withColumn("learn", F.lit(True))
+    counts = M._word_counts(docs)
+    plan = M.score(docs, counts, M.fit(docs, counts))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("blocks(") == 1 and "FlatMapCoGroups" not in plan
